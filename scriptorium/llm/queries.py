@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm.chat import op8_chat
+from scriptorium.llm.language import op7_language
+from scriptorium.llm.minhash import OP1_SQL, op1_minhash
 from scriptorium.llm.mixing import op9_mixing
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.token_files import op5_token_files
+from scriptorium.llm.topk import OP2_SQL, op2_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op7_language": op7_language,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_topk": OP2_SQL}
