@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.chat import op8_chat
 from scriptorium.llm.language import op7_language
+from scriptorium.llm.lines import op10_lines
 from scriptorium.llm.minhash import OP1_SQL, op1_minhash
 from scriptorium.llm.mixing import op9_mixing
 from scriptorium.llm.packing import op3_packing
+from scriptorium.llm.suffixes import op6_suffixes
 from scriptorium.llm.token_files import op5_token_files
 from scriptorium.llm.topk import OP2_SQL, op2_topk
 
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op6_suffixes": op6_suffixes,
     "op7_language": op7_language,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
+    "op10_lines": op10_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_topk": OP2_SQL}
