@@ -95,7 +95,7 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     signature = np.full(len(sets) * slots, np.iinfo(np.uint64).max, np.uint64)
     have = np.zeros(len(sets) * slots, bool)
     for j in range(slots):
-        draw = mix64(h + np.uint64(j + 1) * _ODD)
+        draw = mix64(h + np.uint64((j + 1) * int(_ODD) % 2**64))
         k = j + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
         slot = perm[row, k]
         perm[row, k] = perm[row, j]
