@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium.llm.chat import op8_chat
 from scriptorium.llm.language import op7_language
 from scriptorium.llm.lines import op10_lines
+from scriptorium.llm.media import op4_media
 from scriptorium.llm.minhash import OP1_SQL, op1_minhash
 from scriptorium.llm.mixing import op9_mixing
 from scriptorium.llm.packing import op3_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
     "op5_token_files": op5_token_files,
     "op6_suffixes": op6_suffixes,
     "op7_language": op7_language,
