@@ -7,9 +7,9 @@ its least rank. Once every slot of a document has a value from a step that is ov
 one, so the document stops: large sets need a few steps only.
 
 Documents with equal sets form a class, and only its smallest id goes on. Bands of ROWS slots are bucket
-keys. In a bucket every member is compared with the smallest id, never all with all; where members are
-then left in different components, those not yet compared are paired across components after a check of
-their sketches, in blocks of bounded size. Every link is confirmed on whole sets. Components come from
+keys. In a bucket every member is compared with one leader (the document that meets the most others in
+all its buckets), never all with all; where members are then left in different components, they are compared across components after a check of their sketches, in
+cells of bounded size. Every link is confirmed on whole sets. Components come from
 alternating large and small stars over the links.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with a
@@ -177,13 +177,16 @@ def _linked(percent: int):
     return confirm
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar enough. Sets are made for paired documents only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(written(wanted), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = written(texts.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]))
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, elements) of the documents in ``ids``."""
+    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    return written(texts.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets are similar enough."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right_set")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left_set")), "a")
-    return joined.mapInPandas(_linked(percent), "a long, b long")
+    return written(joined.mapInPandas(_linked(percent), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,18 +230,30 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's members in different components whose sketches agree often enough."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    x = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(len(left), -1)
-    y = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-    ids, roots, other = right["member"].to_numpy(), right["root"].to_numpy(), right["n_shingles"].to_numpy()
-    out = []
-    for row, member, root, n in zip(x, left["member"].tolist(), left["root"].tolist(), left["n_shingles"].tolist()):
-        able = np.flatnonzero((roots != root) & (ids != member) & (5 * np.minimum(other, n) >= 4 * np.maximum(other, n)))
-        able = able[(y[able] == row).sum(1) >= SKETCH_LEAST]
-        out += [(min(member, z), max(member, z)) for z in ids[able].tolist()]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+def _across(percent: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a cell between its left members and right members of other components: those whose
+        sketches agree often enough are compared on whole sets."""
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        sketch = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
+        ids, roots = right["member"].to_numpy(), right["root"].to_numpy()
+        sets = [np.frombuffer(e, np.uint64) for e in right["elements"]]
+        sizes = np.array([len(s) for s in sets])
+        out = set()
+        for own, elements, member, root in zip(left["sketch"], left["elements"], left["member"].tolist(), left["root"].tolist()):
+            mine = np.frombuffer(elements, np.uint64)
+            able = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
+            able = able[(sketch[able] == np.frombuffer(own, np.uint8)).sum(1) >= SKETCH_LEAST]
+            for at in range(0, len(able), 256):
+                some = able[at : at + 256]
+                every = np.concatenate([sets[i] for i in some])
+                found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                common = np.add.reduceat(found, np.cumsum([0, *sizes[some][:-1]]), dtype=np.int64)
+                for other in ids[some[100 * common >= percent * (len(mine) + sizes[some] - common)]].tolist():
+                    out.add((min(member, other), max(member, other)))
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,28 +270,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n_shingles")))
     member = classes.select(F.col("rep").alias("member"), F.explode("bands").alias("key"))
-    shared = written(member.groupBy("key").agg(F.min("member").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
-    dealt = written(member.join(shared, "key").filter("member <> leader"))
-    pairs = written(dealt.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct())
-    links = written(confirmed(pairs, texts, width, percent))
+    shared = written(member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = written(member.join(shared, "key"))
+    # The original of many edited copies meets more documents in its buckets than a copy does.
+    fame = written(met.groupBy("member").agg(F.sum("n").alias("fame")))
+    leaders = met.join(fame, "member").groupBy("key").agg(F.max(F.struct("fame", (-F.col("member")).alias("id"))).alias("best"))
+    dealt = written(met.join(written(leaders.select("key", (-F.col("best.id")).alias("leader"))), "key").filter("member <> leader"))
+    pairs = written(dealt.select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).distinct())
+    sets = sets_of(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width)
+    links = confirmed(pairs, sets, percent)
     roots = components(links)
-    # Buckets whose members, the leader aside, are still in different components.
-    placed = written(dealt.filter("n > 2").join(roots, F.col("member") == F.col("id"), "left").select("key", "member", F.coalesce("root", "member").alias("root")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    mixed = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    sketches = classes.select(F.col("rep").alias("member"), "sketch", "n_shingles")
-    block = placed.join(mixed, "key").join(sketches, "member").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")))
-    grid = block.select(
-        "key", "member", "root", "sketch", "n_shingles",
-        F.explode(F.concat(
-            F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))),
-        )).alias("cell"),
-    ).select("key", "member", "root", "sketch", "n_shingles", "cell.*")
-    more = grid.groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more)
+    # Buckets whose members are still in different components: those outside the largest one there (outliers)
+    # are compared with all others of the bucket, in cells of bounded size. A pair was compared already.
+    placed = written(met.filter("n > 2").join(roots, F.col("member") == F.col("id"), "left").select("key", "member", F.coalesce("root", "member").alias("root")))
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    mixed = written(shares.filter("parts > 1").select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("outer"), F.ceil(F.col("n") / BLOCK).alias("all")))
+    place = placed.join(mixed, "key").withColumns({"i": F.pmod(F.xxhash64("member"), F.col("outer")), "j": F.pmod(F.xxhash64("member"), F.col("all"))})
+    grid = place.select("key", "member", "root", F.explode(F.concat(
+        F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.lit(1).alias("side"))),
+    )).alias("cell")).select("key", "member", "root", "cell.*")
+    facts = classes.select(F.col("rep").alias("member"), "sketch").join(sets.withColumnRenamed("id", "member"), "member")
+    more = written(grid.join(written(facts), "member").groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
     if not more.isEmpty():
-        roots = components(links.unionByName(written(confirmed(more, texts, width, percent))))
+        roots = components(links.unionByName(more))
     reps = written(classes.join(roots, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return (
