@@ -2,4 +2,5 @@
 
 import scriptorium.plans.aggregate_queries  # noqa: F401
 import scriptorium.plans.listing_queries  # noqa: F401
+import scriptorium.plans.markup_queries  # noqa: F401
 import scriptorium.plans.text_queries  # noqa: F401
