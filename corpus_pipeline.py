@@ -26,7 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id")
-    kept = docs.select(*COLUMNS).join(written(gone), "doc_id", "left_anti")
+    kept = docs.select(*COLUMNS).join(written(gone).hint("merge"), "doc_id", "left_anti")
     # Repeated rows share an id: one of them stays. Rows without an id stay.
     return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
@@ -42,7 +42,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A mean over equal ids, so that repeated rows are not multiplied by one another.
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
     times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    return docs.select(*COLUMNS).join(written(copies.filter("copies > 0")), F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, times).drop("copy")
+    # Merged at every size: the copies' table grows with the documents, so it is never broadcast.
+    taken = written(copies.filter("copies > 0")).hint("merge")
+    return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, times).drop("copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
