@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units: lines, cut further into sentences.
+"""Substring dedup by hashing units: lines, cut further into clauses at punctuation after a word.
 
 A unit is normalised (words as UTF-8, A-Z lower-cased, white space between words ignored) and hashed. Over
 all documents the earliest occurrence of a digest, by doc_id and place, is kept. Elsewhere the unit is a
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import mix64, small_batches, span_hashes, written
 from scriptorium.llm.minhash import _LOWER, _SPACE
 
-#: A run of repeats goes from 30 words on; units under 4 words are neutral.
-LEAST_WORDS, SHORT = 30, 4
-_STOPS = np.isin(np.arange(256), list(b".!?"))
+#: A run of repeats goes from 25 words on; units under 3 words are neutral.
+LEAST_WORDS, SHORT = 25, 3
+_STOPS = np.isin(np.arange(256), list(b".!?,;:"))
 _LAST = (1 << 63) - 1
 
 
