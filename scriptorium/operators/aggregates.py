@@ -108,3 +108,36 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
             F.when(changed, F.lit(number)).otherwise(F.col("rounds")).alias("rounds"), (F.col("too_long") | over).alias("too_long"),
         ))
     return state.drop("own")
+
+
+#: A tag condition around text without another one in it.
+IFTAGS = r"(?i)\[\[iftags\s*([^\]]*)\]\]((?:(?!\[\[/?iftags)[\s\S])*?)\[\[/iftags\]\]"
+
+
+def condition_holds(condition: Column, tags: Column) -> Column:
+    """A tag condition given as a column: as TagCondition, with the tokens in the row."""
+    tokens = F.filter(F.split(F.trim(condition), r"\s+"), lambda t: t != "")
+    named = lambda sign: F.transform(F.filter(tokens, lambda t: t.startswith(sign) & (F.length(t) > 1)), lambda t: F.substring(t, 2, 1 << 20))
+    bare = F.filter(tokens, lambda t: ~t.rlike("^[+-]"))
+    holds = F.forall(named("+"), lambda t: F.array_contains(tags, t)) & ~F.arrays_overlap(named("-"), tags) & ((F.size(bare) == 0) | F.arrays_overlap(bare, tags))
+    return (F.size(tokens) > 0) & ~F.array_contains(tokens, "+") & holds
+
+
+def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataFrame:
+    """(page_id, source_text) with tag conditions resolved, innermost first; a round takes one level of nesting."""
+    materialize = materialize or (lambda df: df.checkpoint())
+    state = texts.select("page_id", "tags", "source_text")
+    for _ in range(rounds):
+        found = state.select("page_id", "tags", F.posexplode(F.regexp_extract_all("source_text", F.lit(IFTAGS), 0)).alias("ord", "directive"))
+        inner = F.when(condition_holds(F.regexp_extract("directive", IFTAGS, 1), F.col("tags")), F.regexp_extract("directive", IFTAGS, 2)).otherwise("")
+        swaps = materialize(found.groupBy("page_id").agg(F.collect_set(F.struct("directive", inner.alias("text"))).alias("swaps")))
+        if swaps.isEmpty():
+            break
+        made = F.aggregate("swaps", F.col("source_text"), lambda text, s: F.replace(text, s["directive"], s["text"]))
+        state = materialize(state.join(swaps, "page_id", "left").select("page_id", "tags", F.coalesce(made, "source_text").alias("source_text")))
+    return state.select("page_id", "source_text")
+
+
+def inserted_once(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """An insert that may run again: rows whose key is there already stay out."""
+    return table.unionByName(rows.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti"))

@@ -184,3 +184,32 @@ def include_edges(spark, folder: str) -> DataFrame:
     users, _ = _library(Wiki(spark, folder))
     given = F.array_join(F.transform("assignments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
     return aggregates.include_edges(users).select("page_id", "ord", "page", given.alias("given"))
+
+
+@query(
+    "it_source_expansion",
+    sql(PAGES, TAGS, body="""SELECT p.page_id, 'a' || CASE WHEN list_contains(e, 'flag-r') THEN '<r' || CASE WHEN list_contains(e, '_bulk') THEN '' ELSE 'small' END || '>' ELSE '' END
+      || 'b' || CASE WHEN list_has_any(e, ['flag-a', 'flag-n']) THEN 'an' ELSE '' END || 'c' AS source_text
+      FROM (SELECT p.page_id, coalesce(l.every, CAST([] AS VARCHAR[])) AS e FROM w_pages p LEFT JOIN w_lists l USING (page_id) WHERE p.page_id < 3000) p"""),
+)
+def iftags_expansion(spark, folder: str) -> DataFrame:
+    wiki = Wiki(spark, folder)
+    none = F.array().cast("array<string>")
+    source = "a[[iftags +flag-r]]<r[[iftags -_bulk]]small[[/iftags]]>[[/iftags]]b[[iftags flag-a flag-n]]an[[/iftags]]c[[iftags]]never[[/iftags]]"
+    tags = F.coalesce(F.array_union("tags", "hidden_tags"), none)
+    pages = wiki.pages().filter("page_id < 3000").select("page_id").join(wiki.tag_lists(), "page_id", "left")
+    return aggregates.expand_iftags(pages.select("page_id", tags.alias("tags"), F.lit(source).alias("source_text")))
+
+
+@query("sk_insert_once", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'late ' || c_custkey END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey < 100")
+def insert_once(spark, folder: str) -> DataFrame:
+    users = Wiki(spark, folder).users().select("user_id", "name")
+    late = users.filter("user_id < 100").select("user_id", F.concat(F.lit("late "), F.col("user_id").cast("string")).alias("name"))
+    return aggregates.inserted_once(users.filter("user_id % 2 = 0"), late.unionByName(late), "user_id")
+
+
+@query("sc_collected_references", sql(LINKS, body="SELECT count(DISTINCT target) AS targets, count(DISTINCT target) FILTER (starts_with(target, '/')) AS local FROM w_links"))
+def collected_references(spark, folder: str) -> DataFrame:
+    """The references that a renderer has to look up, each once."""
+    targets = Wiki(spark, folder).links().select("target").distinct()
+    return targets.agg(F.count("*").alias("targets"), F.count_if(F.col("target").startswith("/")).alias("local"))
