@@ -181,8 +181,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at, a, b, piece = (np.concatenate(c) for c in zip(*parts))
         move = np.array([g[2] for g in group], np.int64) - bounds[:-1]
         kid, tie = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int32)
-        cols = [key.view(np.int64), kid[piece], tie[piece], *((x + move[piece]).astype(np.int32) for x in (at, a, b))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "kid", "tie", "at", "first", "last"])
+        # Starts go as distances from the anchor: small numbers, which shuffle files pack well.
+        cols = [key.view(np.int64), kid[piece], tie[piece], (at + move[piece]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "kid", "tie", "at", "before", "more"])
 
     for batch in batches:
         group, size = [], 0
@@ -210,8 +211,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kid, tie, text, own in zip(*(batch.column(c).to_pylist() for c in ("kid", "tie", "text", "own"))):
             raw, strings = text.encode(), None
             for a in own:
-                at, first, last = a["at"], a["first"], a["last"]
-                if a["n"] <= HOT:
+                at, first = a["at"], a["at"] - a["before"]
+                last = first + a["more"]
+                if not a["hot"]:
                     cold.append((a["key"], kid, tie, at, first, last, raw[first : last + LENGTH], False))
                 else:
                     if strings is None or not strings[1] <= first <= last < strings[2]:
@@ -302,14 +304,16 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, removed (byte spans), kept_sha256 of the bytes left."""
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("kid"), F.hash(text).alias("tie"), F.col("doc_id").cast("long"), text.alias("text"))
-    found = written(keyed.select("kid", "tie", "text").filter(f"octet_length(text) >= {LENGTH}").mapInArrow(_anchor_rows, "key long, kid long, tie int, at int, first int, last int"))
-    shared = written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    own = found.join(shared, "key").groupBy("kid", "tie").agg(F.collect_list(F.struct("key", "at", "first", "last", "n")).alias("own"))
+    # Both joins to the texts read the same columns, so that one shuffle of the texts serves both. A few values
+    # of a text's hash tell apart documents that share an id.
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("kid"), F.coalesce(F.pmod(F.hash(text), F.lit(128)), F.lit(0)).alias("tie"), text.alias("text"))
+    found = written(keyed.select("kid", "tie", "text").filter(f"octet_length(text) >= {LENGTH}").mapInArrow(_anchor_rows, "key long, kid long, tie int, at int, before short, more short"))
+    shared = written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > HOT).alias("hot")))
+    own = found.join(shared, "key").groupBy("kid", "tie").agg(F.collect_list(F.struct("key", "at", "before", "more", "hot")).alias("own"))
     members = keyed.join(own, ["kid", "tie"]).select("kid", "tie", "text", "own").mapInArrow(_members, _MEMBER)
     runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "kid long, tie int, first int, last int")
     runs = runs.groupBy("kid", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    out = keyed.join(runs, ["kid", "tie"], "left").select("doc_id", "text", "runs")
+    out = keyed.join(runs, ["kid", "tie"], "left").select(F.when(F.col("kid") != _NONE, F.col("kid")).alias("doc_id"), "text", "runs")
     return out.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string")
 
 
