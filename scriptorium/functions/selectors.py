@@ -87,7 +87,8 @@ def parent_predicate(selector: str | None, parent: Column, current: int, current
     if not text:
         return None
     own = F.lit(current_parent).cast("long")
-    return {"-": parent.isNull(), "=": parent.eqNullSafe(own), "-=": ~parent.eqNullSafe(own), ".": parent == current}.get(text, parent == F.expr(f"try_cast('{int(text) if text.isdigit() else ''}' as bigint)"))
+    named = parent == F.lit(int(text) if text.isdigit() else None).cast("long")
+    return {"-": parent.isNull(), "=": parent.eqNullSafe(own), "-=": ~parent.eqNullSafe(own), ".": parent == current}.get(text, named)
 
 
 @dataclass(frozen=True)

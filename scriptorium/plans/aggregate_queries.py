@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import aggregates, ratings
 from scriptorium.plans.base_sql import AXES, LINKS, PAGES, TAGS, VOTES, sql
 from scriptorium.registry import query
-from scriptorium.sources.wiki import Wiki
+from scriptorium.sources.wiki import Wiki, page_key, split_fullname
 
 _ALLOWED = "CASE WHEN rate > 0 THEN allow_up WHEN rate < 0 THEN allow_down ELSE allow_neutral END"
 _AXIS_VOTES = f"""w_open AS (
@@ -136,8 +136,6 @@ def missing_links(spark, folder: str) -> DataFrame:
 @query("ag_first_seen_links", sql(LINKS, body="SELECT page_id, target, min(ord) AS first_ord, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(ord)) AS INTEGER) AS number FROM w_links GROUP BY page_id, target"))
 def first_seen_links(spark, folder: str) -> DataFrame:
     """Distinct references of a page in the order they are first seen, numbered: as a bibliography is."""
-    from pyspark.sql import Window
-
     firsts = Wiki(spark, folder).links().groupBy("page_id", "target").agg(F.min("ord").alias("first_ord"))
     return firsts.withColumn("number", F.row_number().over(Window.partitionBy("page_id").orderBy("first_ord")))
 
@@ -213,3 +211,9 @@ def collected_references(spark, folder: str) -> DataFrame:
     """The references that a renderer has to look up, each once."""
     targets = Wiki(spark, folder).links().select("target").distinct()
     return targets.agg(F.count("*").alias("targets"), F.count_if(F.col("target").startswith("/")).alias("local"))
+
+
+@query("sc_split_fullname", sql(PAGES, body="SELECT page_id, category AS cat, name AS rest, fullname AS again FROM w_pages"))
+def split_fullnames(spark, folder: str) -> DataFrame:
+    category, name = split_fullname(F.col("fullname"))
+    return Wiki(spark, folder).pages().select("page_id", category.alias("cat"), name.alias("rest"), page_key(category, name).alias("again"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.listing import Current, Listing, PageQuery, Template, assembled, bound_query, rendered, with_children, with_owners, with_parents
@@ -110,8 +110,6 @@ def flagship(spark, folder: str) -> DataFrame:
 def parent_children(spark, folder: str) -> DataFrame:
     listing = Listing(Wiki(spark, folder), PageQuery(category="*", page_range="before", order="unknown asc"), NOW)
     rows = listing.matching().orderBy("page_id").limit(20)
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy("page_id")).cast("long")
     rows = with_children(with_parents(rows.withColumn("index", place), listing.wiki), listing.wiki).crossJoin(listing.matching().agg(F.count("*").alias("total")))
     return rows.select("page_id", "index", Template("%%name%% < %%parent_title_linked%% has %%children%% / %%total%%").column().alias("item"))

@@ -25,11 +25,8 @@ def page_key(category: Column, name: Column) -> Column:
 def split_fullname(fullname: Column) -> tuple[Column, Column]:
     """Category and name, cut at the first colon; no colon means the default category."""
     at = F.instr(fullname, ":")
-    return F.when(at > 0, F.substring(fullname, F.lit(1), at - 1)).otherwise("_default"), F.when(at > 0, F.expr(f"substring({_sql(fullname)}, instr({_sql(fullname)}, ':') + 1)")).otherwise(fullname)
-
-
-def _sql(column: Column) -> str:
-    return column._jc.toString() if hasattr(column, "_jc") else str(column)
+    category = F.when(at > 0, fullname.substr(F.lit(1), at - 1)).otherwise("_default")
+    return category, F.when(at > 0, fullname.substr(at + 1, F.length(fullname))).otherwise(fullname)
 
 
 @dataclass(frozen=True)
