@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import WORD_PATTERN, written
@@ -83,8 +83,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tu
     )
     counts = ranked.groupBy("source_no", "part").agg(F.max("rank_here").alias("n"))
     # A row for each source and partition: their running sums are the ranks' bases.
-    earlier = counts.alias("a").join(counts.alias("b"), F.expr("a.source_no = b.source_no and b.part < a.part"), "left")
-    bases = earlier.groupBy("a.source_no", "a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("source_no", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rank = F.col("rank_here") + F.col("base")
     crossed = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
     return (

@@ -106,7 +106,7 @@ def _pieces(tokenizer: str, length: int, end_id: int, count: int):
     return pack
 
 
-def _merge(length: int, level: int):
+def _merge(length: int):
     """Open windows of a group as items of one size each; best fit decreasing."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     pieces = written(texts.mapInArrow(_pieces(tokenizer, length, end_id, open_windows), _PIECE))
     rest = pieces.filter("left_open").groupBy("window", "part").agg(F.sum("length").alias("used"))
     rest = rest.withColumn("grp", F.floor(F.col("part") / FAN_IN))
-    moved = rest.select("window", "used", "grp").groupBy("grp").applyInPandas(_merge(length, 1), "window long, merged long, base long")
+    moved = rest.select("window", "used", "grp").groupBy("grp").applyInPandas(_merge(length), "window long, merged long, base long")
     open_pieces = pieces.filter("left_open").join(moved, "window")
     # Merged sequences have odd ids, the others even ones.
     closed = pieces.filter("not left_open").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("window") * 2).alias("sequence_id"), F.col("at").alias("offset"), "ids")
