@@ -31,7 +31,7 @@ from scriptorium.llm.common import small_batches
 #: Subword lengths in bytes, buckets for each, and the embedding's width.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 14, 16
 #: At most so many labelled rows are learned from; a fifth of them calibrate.
-SAMPLE, EPOCHS, RATE = 3000, 4, 0.6
+SAMPLE, EPOCHS, RATE = 2000, 4, 0.6
 #: Share of the calibration rows' correct predictions that rejection may cost.
 COST = 0.002
 
