@@ -17,23 +17,30 @@ _ALNUM = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Any text: a chunk is a run of white space with the word after it; a lone full stop or comma after a
 #: letter or digit is a chunk of its own, which spares most of the variants of a word.
 _CHUNK = re.compile(rf"[{_WS}]*[^{_WS}.,]*[{_ALNUM}](?=[.,](?:[{_WS}]|\Z))|[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: Texts whose white space is more than single blanks and line feeds between words.
-_UNUSUAL = re.compile(rf"\0|[^\S \n]|[{_WS}][{_WS}]|[{_WS}]\Z|\A[{_WS}]")
-_ODD_STOP = re.compile(rf"[^{_ALNUM}][.,][ \n]|\A[.,]")
-#: Chunks that a worker remembers, and the longest chunk worth remembering.
-MEMO_CHUNKS, MEMO_CHARS = 900_000, 64
+_ODD_STOP = re.compile(rf"(?<![{_ALNUM}])[.,](?=[ \n])")
+#: Chunks in each of a worker's two generations, and the longest chunk worth remembering.
+MEMO_CHUNKS, MEMO_CHARS = 280_000, 64
 
 _memos: dict[str, "ChunkMemo"] = {}
 
 
+def _plain(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between words."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return text.replace("\n", "").isprintable()
+
+
 def _keys(text: str) -> list[str]:
     """Chunks of a text as memo keys: a bare word stands for itself after a blank, a word after NUL for
     itself with nothing before it, a word after a line feed for both."""
     if not text:
         return []
-    if not _UNUSUAL.search(text):
+    if _plain(text):
+        # A full stop or comma is a chunk of its own where all of them follow letters or digits.
+        stops = not _ODD_STOP.search(text)
         text = text.replace("\n", " \n")
-        if not _ODD_STOP.search(text):
+        if stops:
             text = text.replace(". ", " \0. ").replace(", ", " \0, ")
         found = text.split(" ")
         found[0] = "\0" + found[0]
@@ -64,6 +71,7 @@ class ChunkMemo:
         rules = json.loads(self.tokenizer.to_str())
         self.lower = "Lowercase" in json.dumps(rules["normalizer"])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _word(self, key: str) -> bytes:
         """Ids of a word of letters."""
@@ -76,12 +84,14 @@ class ChunkMemo:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.known) > MEMO_CHUNKS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         if self.lower:
             texts = [x.lower() if x.isascii() else x for x in texts]
-        known, large, cut, rest = self.known, {}, [_keys(x) for x in texts], []
+        known, older, large, cut, rest = self.known, self.older, {}, [_keys(x) for x in texts], []
         for k in set().union(*cut).difference(known):
-            if len(k) <= MEMO_CHARS and _LETTERS.fullmatch(k):
+            if k in older:
+                known[k] = older[k]
+            elif len(k) <= MEMO_CHARS and _LETTERS.fullmatch(k):
                 known[k] = self._word(k)
             else:
                 rest.append(k)
