@@ -11,13 +11,19 @@ import json
 import re
 from array import array
 
+import numpy as np
+
 #: White space as the tokenizers' own patterns see it (fixed values).
 _WS = "\t-\r \x85\xa0  -     　"
 _ALNUM = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Any text: a chunk is a run of white space with the word after it; a lone full stop or comma after a
 #: letter or digit is a chunk of its own, which spares most of the variants of a word.
 _CHUNK = re.compile(rf"[{_WS}]*[^{_WS}.,]*[{_ALNUM}](?=[.,](?:[{_WS}]|\Z))|[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_ODD_STOP = re.compile(rf"(?<![{_ALNUM}])[.,](?=[ \n])")
+_STOP = np.isin(np.arange(256), list(b".,"))
+_GAP = np.isin(np.arange(256), list(b" \n"))
+_WORD = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+#: Second bytes of the letters from U+00C0 to U+00FF, all but the signs for times and divided by.
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 #: Chunks in each of a worker's two generations, and the longest chunk worth remembering.
 MEMO_CHUNKS, MEMO_CHARS = 280_000, 64
 
@@ -31,6 +37,15 @@ def _plain(text: str) -> bool:
     return text.replace("\n", "").isprintable()
 
 
+def _plain_stops(text: str) -> bool:
+    """Whether every full stop or comma before a blank follows a letter or digit, Latin ones with accents included."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.flatnonzero(_STOP[data[1:-1]] & _GAP[data[2:]]) + 1
+    before = data[at - 1]
+    fine = _WORD[before] | (_LATIN[before] & (data[at - 2] == 0xC3) & (at > 1))
+    return bool(fine.all()) and not (len(data) > 1 and _STOP[data[0]] and _GAP[data[1]])
+
+
 def _keys(text: str) -> list[str]:
     """Chunks of a text as memo keys: a bare word stands for itself after a blank, a word after NUL for
     itself with nothing before it, a word after a line feed for both."""
@@ -38,7 +53,7 @@ def _keys(text: str) -> list[str]:
         return []
     if _plain(text):
         # A full stop or comma is a chunk of its own where all of them follow letters or digits.
-        stops = not _ODD_STOP.search(text)
+        stops = _plain_stops(text)
         text = text.replace("\n", " \n")
         if stops:
             text = text.replace(". ", " \0. ").replace(", ", " \0, ")
