@@ -35,12 +35,20 @@ def rendered_condition(spark, folder: str) -> DataFrame:
 
 
 def _math(name: str, source: str, rule: str) -> None:
-    @query(name, f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem WHERE l_orderkey % 5 = 0")
-    def run(spark, folder: str) -> DataFrame:
-        lines = Wiki(spark, folder).table("lineitem").filter("l_orderkey % 5 = 0")
+    """Two queries: ``name`` over every fifth order, as its SQL says, and ``name``_all over every row of lineitem."""
+
+    def values(lines: DataFrame) -> DataFrame:
         value = expression(source, quantity=F.col("l_quantity"), price=F.col("l_extendedprice"), discount=F.col("l_discount"), tax=F.col("l_tax"), line=F.col("l_linenumber"))
         return lines.select("l_orderkey", "l_linenumber", value.alias("value"))
 
+    @query(name, f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem WHERE l_orderkey % 5 = 0")
+    def run(spark, folder: str) -> DataFrame:
+        return values(Wiki(spark, folder).table("lineitem").filter("l_orderkey % 5 = 0"))
+
+    @query(f"{name}_all", f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem")
+    def run_all(spark, folder: str) -> DataFrame:
+        return values(Wiki(spark, folder).table("lineitem"))
+
 
 _math("mx_arithmetic", "price * (1 - discount) + quantity % 7 - -line", "l_extendedprice * (1 - l_discount) + l_quantity % 7 + l_linenumber")
 _math("mx_power_unary", "-2 ^ 2 + line ^ 2", "4.0 + CAST(l_linenumber AS DOUBLE) * l_linenumber")
