@@ -38,6 +38,19 @@ def axis_rating(spark, folder: str) -> DataFrame:
     return ratings.axis_ratings(wiki, wiki.pages().filter("page_id < 1200"))
 
 
+@query(
+    "ag_axis_rating_all",
+    sql(VOTES, AXES, _AXIS_VOTES, body="""SELECT p.page_id, a.axis_key, a.label, CAST(coalesce(sum(rate), 0) AS BIGINT) AS points, count(v.vote_id) AS votes,
+      CAST(CASE WHEN count(v.vote_id) > 0 THEN floor(count(*) FILTER (rate > 0) / count(v.vote_id) * 100 + 0.5) ELSE 0 END AS BIGINT) AS percent
+      FROM (SELECT o_orderkey AS page_id FROM orders) p CROSS JOIN w_axes a
+      LEFT JOIN w_open v ON v.page_id = p.page_id AND v.axis_key = a.axis_key WHERE a.enabled AND a.show_aggregate GROUP BY ALL"""),
+)
+def axis_rating_all(spark, folder: str) -> DataFrame:
+    """The ratings of every page."""
+    wiki = Wiki(spark, folder)
+    return ratings.axis_ratings(wiki, wiki.pages())
+
+
 @query("sk_latest_votes", sql(VOTES, body="SELECT user_id, page_id, vote_id, axis_key, rate FROM w_votes"))
 def latest_votes(spark, folder: str) -> DataFrame:
     """Upserts as a log: the last vote of each user and page."""
@@ -151,10 +164,10 @@ def page_tree(spark, folder: str) -> DataFrame:
     return aggregates.page_tree(Wiki(spark, folder), 3, 3)
 
 
-def _library(wiki: Wiki) -> tuple[DataFrame, DataFrame]:
+def _library(wiki: Wiki, which: str = "page_id < 2000") -> tuple[DataFrame, DataFrame]:
     """Pages that include others, and the pages that can be included."""
     key = F.col("page_id").cast("string")
-    users = wiki.pages().filter("page_id < 2000").select(
+    users = wiki.pages().filter(which).select(
         "page_id", F.concat(F.lit("page-"), key).alias("fullname"),
         F.concat(F.lit("Title "), key, F.lit("\n[[include part-"), (F.col("page_id") % 5).cast("string"), F.lit(" | who = "), key, F.lit(" | empty = ]]\n"), F.lit("[[include page-"), key, F.lit("]]\nend")).alias("source_text"),
     )
@@ -177,11 +190,33 @@ def include_expansion(spark, folder: str) -> DataFrame:
     return aggregates.expand_includes(users, library)
 
 
+@query(
+    "dt_include_expansion_all",
+    sql(PAGES, body=f"""SELECT page_id, 'Title ' || page_id || chr(10) || {_PART} || chr(10) || '[[include page-' || page_id || ']]' || chr(10) || 'end' AS source_text,
+      CASE page_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS rounds, false AS too_long FROM w_pages"""),
+)
+def include_expansion_all(spark, folder: str) -> DataFrame:
+    """The includes of every page."""
+    users, library = _library(Wiki(spark, folder), "true")
+    return aggregates.expand_includes(users, library)
+
+
+def _edges(users: DataFrame) -> DataFrame:
+    given = F.array_join(F.transform("assignments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
+    return aggregates.include_edges(users).select("page_id", "ord", "page", given.alias("given"))
+
+
 @query("dt_include_edges", sql(PAGES, body="SELECT page_id, ord, CASE ord WHEN 0 THEN 'part-' || page_id % 5 ELSE 'page-' || page_id END AS page, CASE ord WHEN 0 THEN 'who=' || page_id ELSE '' END AS given FROM w_pages, (VALUES (0), (1)) v(ord) WHERE page_id < 2000"))
 def include_edges(spark, folder: str) -> DataFrame:
     users, _ = _library(Wiki(spark, folder))
-    given = F.array_join(F.transform("assignments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
-    return aggregates.include_edges(users).select("page_id", "ord", "page", given.alias("given"))
+    return _edges(users)
+
+
+@query("dt_include_edges_all", sql(PAGES, body="SELECT page_id, ord, CASE ord WHEN 0 THEN 'part-' || page_id % 5 ELSE 'page-' || page_id END AS page, CASE ord WHEN 0 THEN 'who=' || page_id ELSE '' END AS given FROM w_pages, (VALUES (0), (1)) v(ord)"))
+def include_edges_all(spark, folder: str) -> DataFrame:
+    """The includes of every page as edges."""
+    users, _ = _library(Wiki(spark, folder), "true")
+    return _edges(users)
 
 
 @query(
@@ -192,11 +227,27 @@ def include_edges(spark, folder: str) -> DataFrame:
 )
 def iftags_expansion(spark, folder: str) -> DataFrame:
     wiki = Wiki(spark, folder)
+    return _expanded(wiki, wiki.pages().filter("page_id < 3000"))
+
+
+@query(
+    "it_source_expansion_all",
+    sql(PAGES, TAGS, body="""SELECT p.page_id, 'a' || CASE WHEN list_contains(e, 'flag-r') THEN '<r' || CASE WHEN list_contains(e, '_bulk') THEN '' ELSE 'small' END || '>' ELSE '' END
+      || 'b' || CASE WHEN list_has_any(e, ['flag-a', 'flag-n']) THEN 'an' ELSE '' END || 'c' AS source_text
+      FROM (SELECT p.page_id, coalesce(l.every, CAST([] AS VARCHAR[])) AS e FROM w_pages p LEFT JOIN w_lists l USING (page_id)) p"""),
+)
+def iftags_expansion_all(spark, folder: str) -> DataFrame:
+    """The conditions of every page."""
+    wiki = Wiki(spark, folder)
+    return _expanded(wiki, wiki.pages())
+
+
+def _expanded(wiki: Wiki, pages: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     source = "a[[iftags +flag-r]]<r[[iftags -_bulk]]small[[/iftags]]>[[/iftags]]b[[iftags flag-a flag-n]]an[[/iftags]]c[[iftags]]never[[/iftags]]"
     tags = F.coalesce(F.array_union("tags", "hidden_tags"), none)
-    pages = wiki.pages().filter("page_id < 3000").select("page_id").join(wiki.tag_lists(), "page_id", "left")
-    return aggregates.expand_iftags(pages.select("page_id", tags.alias("tags"), F.lit(source).alias("source_text")))
+    tagged = pages.select("page_id").join(wiki.tag_lists(), "page_id", "left")
+    return aggregates.expand_iftags(tagged.select("page_id", tags.alias("tags"), F.lit(source).alias("source_text")))
 
 
 @query("sk_insert_once", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'late ' || c_custkey END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey < 100")

@@ -29,3 +29,11 @@ def test_expressions_over_every_line(spark, name):
     mine = rows(QUERIES[name](spark, SF).toPandas())
     assert len(mine) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     pd.testing.assert_frame_equal(mine, rows(con.sql(ORACLE_SQL[name]).df()), check_dtype=False)
+
+
+@pytest.mark.parametrize("name", ["ag_axis_rating_all", "dt_include_expansion_all", "dt_include_edges_all", "it_source_expansion_all"])
+def test_every_page(spark, name):
+    con = tables()
+    mine = rows(QUERIES[name](spark, SF).toPandas())
+    assert mine["page_id"].nunique() == con.sql("SELECT count(*) FROM orders").fetchall()[0][0]
+    pd.testing.assert_frame_equal(mine, rows(con.sql(ORACLE_SQL[name]).df()), check_dtype=False)
