@@ -15,7 +15,7 @@ Buckets of more than HOT occurrences are split by the strings themselves: each s
 own, counted within a batch first, so that a passage that everyone quotes makes one row for each batch.
 
 Nulls: a null text is empty; a null doc_id is kept. Rows with the same doc_id are documents of their own;
-equal rows are copies of each other. Very long texts are cut into pieces that overlap by LENGTH - 1 bytes.
+equal rows are copies of each other, told apart from others by 64-bit hashes of id and text. Very long texts are cut into pieces that overlap by LENGTH - 1 bytes.
 Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -38,7 +38,6 @@ LENGTH, GRAM, HOT = 200, 64, 256
 PIECE, BLOCK = 1 << 20, 20_000
 #: A perfect difference set (fixed values): every residue modulo PERIOD is a difference of two of COVER.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-_NONE = -(1 << 63)
 
 
 def _shifts() -> np.ndarray:
@@ -167,8 +166,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(group: list) -> pa.RecordBatch:
         """Anchors of the pieces of texts in a group, found together; strings across two pieces don't count."""
-        data = np.frombuffer(b"".join(g[3] for g in group), np.uint8)
-        bounds = np.cumsum([0, *(len(g[3]) for g in group)])
+        data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
+        bounds = np.cumsum([0, *(len(g[2]) for g in group)])
         key, at, first, last = anchors(data)
         own = np.searchsorted(bounds, first, "right") - 1
         to = np.searchsorted(bounds, last, "right") - 1
@@ -179,28 +178,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (own + step <= to) & (a <= b)
             parts.append((key[ok], at[ok], a[ok], b[ok], piece[ok]))
         key, at, a, b, piece = (np.concatenate(c) for c in zip(*parts))
-        move = np.array([g[2] for g in group], np.int64) - bounds[:-1]
-        kid, tie = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int32)
+        move = np.array([g[1] for g in group], np.int64) - bounds[:-1]
+        doc = np.array([g[0] for g in group], np.int64)
         # Starts go as distances from the anchor: small numbers, which shuffle files pack well.
-        cols = [key.view(np.int64), kid[piece], tie[piece], (at + move[piece]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "kid", "tie", "at", "before", "more"])
+        cols = [key.view(np.int64), doc[piece], (at + move[piece]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "at", "before", "more"])
 
     for batch in batches:
         group, size = [], 0
-        for kid, tie, text in zip(*(batch.column(c).to_pylist() for c in ("kid", "tie", "text"))):
+        for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "text"))):
             raw = (text or "").encode()
             for start in range(0, max(len(raw) - LENGTH + 1, 0), PIECE):
                 piece = raw[start : start + PIECE + LENGTH - 1]
                 if group and size + len(piece) > PIECE:
                     yield flush(group)
                     group, size = [], 0
-                group.append((kid, tie, start, piece))
+                group.append((doc, start, piece))
                 size += len(piece)
         if group:
             yield flush(group)
 
 
-_MEMBER = "key long, kid long, tie int, at int, first int, last int, around binary, sure boolean"
+_MEMBER = "key long, doc long, at int, first int, last int, around binary, sure boolean"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,45 +207,45 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cold: list[tuple] = []
         hot = []
-        for kid, tie, text, own in zip(*(batch.column(c).to_pylist() for c in ("kid", "tie", "text", "own"))):
+        for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "own"))):
             raw, strings = text.encode(), None
             for a in own:
                 at, first = a["at"], a["at"] - a["before"]
                 last = first + a["more"]
                 if not a["hot"]:
-                    cold.append((a["key"], kid, tie, at, first, last, raw[first : last + LENGTH], False))
+                    cold.append((a["key"], doc, at, first, last, raw[first : last + LENGTH], False))
                 else:
                     if strings is None or not strings[1] <= first <= last < strings[2]:
                         to = min(max(last + 1, first + PIECE), len(raw) - LENGTH + 1)
                         strings = (window_hashes(np.frombuffer(raw, np.uint8)[first : to + LENGTH - 1], LENGTH), first, to)
-                    hot.append((strings[0][first - strings[1] : last + 1 - strings[1]], np.arange(first, last + 1), np.full(last - first + 1, kid), np.full(last - first + 1, tie)))
-        cols = [list(c) for c in zip(*cold)] if cold else [[] for _ in range(8)]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        names = ["key", "kid", "tie", "at", "first", "last", "around", "sure"]
+                    hot.append((strings[0][first - strings[1] : last + 1 - strings[1]], np.arange(first, last + 1), np.full(last - first + 1, doc)))
+        cols = [list(c) for c in zip(*cold)] if cold else [[] for _ in range(7)]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        names = ["key", "doc", "at", "first", "last", "around", "sure"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
         if hot:
-            key, start, kid, tie = (np.concatenate(c) for c in zip(*hot))
-            order = np.lexsort((start, tie, kid, key))
-            key, start, kid, tie = key[order], start[order], kid[order], tie[order]
+            key, start, doc = (np.concatenate(c) for c in zip(*hot))
+            order = np.lexsort((start, doc, key))
+            key, start, doc = key[order], start[order], doc[order]
             head = np.concatenate([[True], key[1:] != key[:-1]])
             lone = head & np.concatenate([key[1:] != key[:-1], [True]])
             # Strings met twice in the batch are repeats already, one of each stands for the batch.
-            order = np.lexsort((start, tie, kid))
+            order = np.lexsort((start, doc))
             again = order[~lone[order]]
-            k, t, s = kid[again], tie[again], start[again]
-            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1), [True]])) if len(s) else np.zeros(1, int)
+            d, s = doc[again], start[again]
+            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1), [True]])) if len(s) else np.zeros(1, int)
             a, b = cut[:-1], cut[1:] - 1
-            for kk, ki, ti, fi, la, sure in ((s[a] * 0x9E3779B1, k[a], t[a], s[a], s[b], True), (key[head].view(np.int64), kid[head], tie[head], start[head], start[head], False)):
-                n = len(ki)
+            for kk, di, fi, la, sure in ((s[a] * 0x9E3779B1, d[a], s[a], s[b], True), (key[head].view(np.int64), doc[head], start[head], start[head], False)):
+                n = len(di)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kk, pa.int64()), pa.array(ki, pa.int64()), pa.array(ti.astype(np.int32)), pa.array(fi.astype(np.int32)), pa.array(fi.astype(np.int32)), pa.array(la.astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(np.full(n, sure))],
+                    [pa.array(kk, pa.int64()), pa.array(di, pa.int64()), pa.array(fi.astype(np.int32)), pa.array(fi.astype(np.int32)), pa.array(la.astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(np.full(n, sure))],
                     names=names,
                 )
 
 
 def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of starts that are repeats, from bucket rows in order of their keys."""
-    cols = ["kid", "tie", "first", "last"]
+    cols = ["doc", "first", "last"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         sure = pdf[pdf["sure"]]
@@ -262,7 +261,7 @@ def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cuts = (at - first).tolist()
             found = repeated_starts(cold["key"].to_numpy(), [x[:c][::-1] for x, c in zip(around, cuts)], [x[c:] for x, c in zip(around, cuts)], at - last, at - first)
             row, low, high = _runs(found)
-            out.append(pd.DataFrame({"kid": cold["kid"].to_numpy()[row], "tie": cold["tie"].to_numpy()[row], "first": at[row] - high, "last": at[row] - low}))
+            out.append(pd.DataFrame({"doc": cold["doc"].to_numpy()[row], "first": at[row] - high, "last": at[row] - low}))
         return pd.concat(out, ignore_index=True)
 
     held, size = [], 0
@@ -304,16 +303,16 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, removed (byte spans), kept_sha256 of the bytes left."""
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    # Both joins to the texts read the same columns, so that one shuffle of the texts serves both. A few values
-    # of a text's hash tell apart documents that share an id.
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("kid"), F.coalesce(F.pmod(F.hash(text), F.lit(128)), F.lit(0)).alias("tie"), text.alias("text"))
-    found = written(keyed.select("kid", "tie", "text").filter(f"octet_length(text) >= {LENGTH}").mapInArrow(_anchor_rows, "key long, kid long, tie int, at int, before short, more short"))
+    # Both joins to the texts read the same columns, so that one shuffle of the texts serves both. A document is known
+    # by 64 bits of its id and text, equal rows by the same ones: sets keep one of each of their anchors and runs.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text).alias("doc"), text.alias("text"))
+    found = written(keyed.select("doc", "text").filter(f"octet_length(text) >= {LENGTH}").mapInArrow(_anchor_rows, "key long, doc long, at int, before short, more short"))
     shared = written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > HOT).alias("hot")))
-    own = found.join(shared, "key").groupBy("kid", "tie").agg(F.collect_list(F.struct("key", "at", "before", "more", "hot")).alias("own"))
-    members = keyed.join(own, ["kid", "tie"]).select("kid", "tie", "text", "own").mapInArrow(_members, _MEMBER)
-    runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "kid long, tie int, first int, last int")
-    runs = runs.groupBy("kid", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    out = keyed.join(runs, ["kid", "tie"], "left").select(F.when(F.col("kid") != _NONE, F.col("kid")).alias("doc_id"), "text", "runs")
+    own = found.join(shared, "key").groupBy("doc").agg(F.collect_set(F.struct("key", "at", "before", "more", "hot")).alias("own"))
+    members = keyed.join(own, "doc").select("doc_id", "doc", "text", "own").mapInArrow(_members, _MEMBER)
+    runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "doc long, first int, last int")
+    runs = runs.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    out = keyed.join(runs, "doc", "left").select("doc_id", "text", "runs")
     return out.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string")
 
 
