@@ -1,10 +1,12 @@
-"""Substring dedup by hashing units: lines, cut further into clauses at punctuation after a word.
+"""Substring dedup by hashing units: whole lines, and chains of short pieces cut by their content.
 
-A unit is normalised (words as UTF-8, A-Z lower-cased, white space between words ignored) and hashed. Over
-all documents the earliest occurrence of a digest, by doc_id and place, is kept. Elsewhere the unit is a
-repeat; a run of repeats is removed once it has ``least_words`` words, so a passage goes also where
-it stands in the middle of a line, and short lines that many texts have by chance stay. Units under
-``short`` words neither start nor end a run. The rest keeps its offsets in the original text.
+Words are normalised (UTF-8, A-Z lower-cased, white space between words ignored) and hashed. A text is cut into
+pieces after words whose hash is the least of five neighbours, with words before punctuation coming first, so a
+passage is cut alike wherever it stands, but for a few words at its edges. Pieces have 3 to 16 words, 18 at an edge;
+each chain of CHAIN pieces is a unit, and so is each line of ``short`` words. Over all documents the earliest occurrence of
+a digest, by doc_id and place, is kept. Elsewhere the unit is a repeat; a repeated line is removed, and a run of repeated
+words once it has ``least_words``, so a passage goes also where it stands in the middle of a line. The rest keeps
+its offsets in the original text.
 
 Nulls: a null text stays null and has nothing removed; a null doc_id ranks after all others. Rows of
 the same doc_id rank by text; equal rows are one occurrence and stay alike. Empty texts stay. Very long texts
@@ -24,29 +26,63 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import mix64, small_batches, span_hashes, written
 from scriptorium.llm.minhash import _LOWER, _SPACE
 
-#: A run of repeats goes from 25 words on; units under 3 words are neutral.
+#: A run of repeats goes from 25 words on, a repeated line from 3 words on; pieces to a unit, most words of a piece.
 LEAST_WORDS, SHORT = 25, 3
+CHAIN, LONGEST, NEAR = 3, 16, 2
 _STOPS = np.isin(np.arange(256), list(b".!?,;:"))
 _LAST = (1 << 63) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def pieces(words: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """First words of the pieces of a text of hashed words. A cut depends on NEAR words before it and NEAR + 1 after."""
+    n = len(words)
+    rank = mix64(words + np.append(words[1:], np.uint64(0)) * np.uint64(3)) >> np.uint64(1)
+    rank[~stops] |= np.uint64(1 << 63)
+    wide = np.concatenate([np.full(NEAR, ~np.uint64(0)), rank, np.full(NEAR, ~np.uint64(0))])
+    least = np.ones(n, bool)
+    for d in range(1, NEAR + 1):
+        least &= (rank < wide[NEAR - d : NEAR - d + n]) & (rank <= wide[NEAR + d : NEAR + d + n])
+    cuts = np.flatnonzero(least) + 1
+    cuts = np.concatenate([[0], cuts[(cuts > NEAR) & (n - cuts > NEAR)]])
+    gaps = np.diff(np.append(cuts, n))
+    more = np.maximum((gaps - NEAR - 1) // LONGEST, 0)  # words that repeat give no least one
+    step = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    return np.repeat(cuts, more + 1) + step * LONGEST
+
+
+def _digests(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    n = np.diff(np.append(first, len(words)))
+    place = np.arange(len(words)) - np.repeat(first, n)
+    return mix64(np.add.reduceat(mix64(words + place.astype(np.uint64) * _ODD), first) ^ n.astype(np.uint64))
 
 
-def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first byte, end and number of words of each unit of a text."""
+def units(text: bytes, short: int = SHORT) -> tuple[np.ndarray, ...]:
+    """Of each unit its place (twice its first word, plus one for lines), digest, first word and the word after its last;
+    and the words' starts."""
     data = np.frombuffer(text + b"\n", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     words = span_hashes(_LOWER[data], starts, ends)
-    breaks = np.cumsum(data == 10)
-    after = np.concatenate([breaks[starts[1:]] - breaks[ends[:-1] - 1] > 0, [True]])
-    last = np.flatnonzero(_STOPS[data[ends - 1]] | after)
-    first = np.concatenate([[0], last[:-1] + 1])
-    n = last - first + 1
-    place = np.arange(len(words)) - np.repeat(first, n)
-    digest = np.add.reduceat(mix64(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
-    return mix64(digest ^ n.astype(np.uint64)).view(np.int64), starts[first], ends[last], n
+    first = pieces(words, _STOPS[data[ends - 1]])
+    own = _digests(words, first)
+    chain = min(CHAIN, len(first))
+    count = len(first) - chain + 1
+    digest = np.zeros(count, np.uint64)
+    for k in range(chain):
+        digest = mix64(digest * _ODD + own[k : k + count])
+    upto = np.append(first, len(words))[chain:]
+    line = np.cumsum(data == 10)[starts]
+    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    stop = np.append(begin[1:], len(words))
+    long = stop - begin >= short
+    lines = mix64(_digests(words, begin) ^ _ODD)[long]
+    begin, stop = begin[long], stop[long]
+    place = np.concatenate([2 * first[:count], 2 * begin + 1])
+    return place, np.concatenate([digest, lines]).view(np.int64), np.concatenate([first[:count], begin]), np.concatenate([upto, stop]), starts
 
 
 def _unit_rows(short: int):
@@ -55,9 +91,8 @@ def _unit_rows(short: int):
             kid, tie, texts = (batch.column(c).to_pylist() for c in ("kid", "tie", "text"))
             found = []
             for k, t, text in zip(kid, tie, texts):
-                digest, _, _, n = units((text or "").encode())
-                place = np.flatnonzero(n >= short)
-                found.append((np.full(len(place), k, np.int64), np.full(len(place), t, np.int32), place.astype(np.int32), digest[place]))
+                place, digest, *_ = units((text or "").encode(), short)
+                found.append((np.full(len(place), k, np.int64), np.full(len(place), t, np.int32), place.astype(np.int32), digest))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["kid", "tie", "place", "digest"])
 
@@ -65,25 +100,26 @@ def _unit_rows(short: int):
 
 
 def repeated_spans(text: bytes, repeats: np.ndarray, least_words: int, short: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of repeats; ``repeats`` are places of units. A span reaches to the next unit."""
-    _, starts, ends, n = units(text)
-    again = np.zeros(len(n), bool)
-    again[repeats] = True
-    out, run, words, upto = [], -1, 0, -1
-    nexts = np.append(starts[1:], len(text))
-    for i in range(len(n)):
-        if again[i]:
-            if run < 0:
-                run, words = i, 0
-            words += int(n[i])
-            upto = i
-        elif run >= 0 and n[i] >= short:
-            if words >= least_words:
-                out.append((int(starts[run]), int(nexts[upto])))
-            run = -1
-    if run >= 0 and words >= least_words:
-        out.append((int(starts[run]), int(nexts[upto])))
-    return out
+    """Byte spans of repeats; ``repeats`` are places of units. A span reaches to the next word."""
+    place, _, first, upto, starts = units(text, short)
+    hit = np.isin(place, repeats)
+
+    def marked(which: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(change, first[which], 1)
+        np.add.at(change, upto[which], -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.diff(np.pad(flags.astype(np.int8), 1))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    gone = marked(hit & (place % 2 == 1))
+    for a, b in zip(*runs(marked(hit))):
+        if b - a >= least_words:
+            gone[a:b] = True
+    nexts = np.append(starts, len(text))
+    return [(int(nexts[a]), int(nexts[b])) for a, b in zip(*runs(gone))]
 
 
 def _without_repeats(least_words: int, short: int):

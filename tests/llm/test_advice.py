@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import suffixes
-from tests.llm.test_training_data import covered, prose
+from scriptorium.llm import lines, suffixes
+from tests.llm.test_training_data import WORDS, covered, prose
 
 
 @pytest.mark.parametrize("hot", [256, 1])
@@ -20,3 +20,37 @@ def test_suffixes_tell_texts_of_one_id_apart(spark, hot, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = suffixes.repeated_substrings(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed"), "kept_sha256").collect()
     assert sorted(map(str, map(tuple, found))) == sorted(str((r[0], *c)) for r, c in zip(rows, covered([r[1] for r in rows])))
+
+
+def test_lines_with_a_stop_after_most_words():
+    """An exact copy of shouted words, as sf0.01 documents 913 and 957 are of 521."""
+    rng = random.Random(1)
+    raw = " ".join(f"{rng.choice(WORDS).upper()}x{rng.randrange(50)}!!" for _ in range(169)).encode()
+    place = lines.units(raw)[0]
+    assert lines.repeated_spans(raw, place, lines.LEAST_WORDS, lines.SHORT) == [(0, len(raw))]
+
+
+def test_lines_cut_passages_of_few_stops(spark):
+    """Passages of 50 words without a stop, in the middle of two long lines."""
+    rng = random.Random(2)
+    word = lambda: f"{rng.choice(WORDS)}{rng.randrange(9)}"
+    run = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for n in range(200):
+        passage = run(50)
+        rows += [(2 * n, f"{run(31)} {passage} {run(20)}"), (2 * n + 1, f"{run(17)} {passage} {run(43)}")]
+    found = {r["doc_id"]: r for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[2 * n]["removed"] == [] for n in range(200))
+    assert sum(bool(found[2 * n + 1]["removed"]) for n in range(200)) == 200
+
+
+def test_lines_repeat_whatever_their_length(spark):
+    rows = [(1, "Alpha beta.\nOne line of nine words that comes again here.\ngamma"), (2, "Delta\none line  of nine words that comes again here.\nepsilon"), (3, "Alpha beta.\nzeta")]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: rows[0][1], 2: "Delta\nepsilon", 3: rows[2][1]}
+
+
+def test_lines_of_documents_named_in_the_review(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["removed"] for r in lines.dedup_units(docs).filter("doc_id in (913, 957, 554, 774, 551)").collect()}
+    assert all(found[i] for i in (913, 957, 554, 774, 551))
