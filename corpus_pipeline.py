@@ -39,12 +39,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; copies share their doc_id."""
-    # A mean over equal ids, so that repeated rows are not multiplied by one another.
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
+    # Rows are numbered once and written, so that each has copies of its own, whatever its id.
+    keyed = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_no")))
+    copies = mix_sources(keyed, keys=("row_no",)).filter("copies > 0").select("row_no", F.col("copies").cast("int").alias("copies"))
     times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     # Merged at every size: the copies' table grows with the documents, so it is never broadcast.
-    taken = written(copies.filter("copies > 0")).hint("merge")
-    return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, times).drop("copy")
+    return keyed.join(written(copies).hint("merge"), "row_no").select(*COLUMNS, times).drop("copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,11 +66,11 @@ def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.assign(part=part, rank_here=rank.astype("int64"))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tuple[float, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies and taken (size times copies)."""
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tuple[float, ...] = (5, 2, 1), seed: int = 17, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies and taken (size times copies), then the long columns ``keys``."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie")))
+    sized = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie"), *keys))
     sums = {r["source"]: r["total"] for r in sized.groupBy("source").agg(F.sum("size").alias("total")).collect()}
     goal = targets(sums, source_weights(list(sums)), share, cap)
     rows = [(n, s, sums[s], float(goal[s]), goal[s] / sums[s] if sums[s] else 0.0, _offset(s, seed)) for n, s in enumerate(sorted(sums, key=lambda s: (s is None, s or "")))]
@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tu
     order = ("source_no", "size", "doc_id", "tie")
     ranked = written(
         numbered.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInPandas(_ranked, "doc_id long, source string, size long, tie long, source_no int, part int, rank_here long")
+        .mapInPandas(_ranked, "doc_id long, source string, size long, tie long, source_no int, part int, rank_here long" + "".join(f", {k} long" for k in keys))
     )
     counts = ranked.groupBy("source_no", "part").agg(F.max("rank_here").alias("n"))
     # A row for each source and partition: their running sums are the ranks' bases.
@@ -90,8 +90,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tu
     return (
         ranked.join(bases, ["source_no", "part"])
         .join(table.drop("source"), "source_no")
-        .select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(int(cap))).cast("long").alias("copies"))
+        .select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(int(cap))).cast("long").alias("copies"), *keys)
         .withColumn("taken", F.col("copies") * F.col("size"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *keys)
     )
 
 

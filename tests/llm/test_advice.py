@@ -1,11 +1,17 @@
 """Cases of the review's first round."""
 
 import random
+import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import lines, suffixes
+import corpus_pipeline
+from scriptorium.llm import lines, mixing, suffixes
+from scriptorium.llm.token_files import read_token_files, token_positions, write_token_files
+from scriptorium.llm.tokens import tokenizer_path
 from tests.llm.test_training_data import WORDS, covered, prose
 
 
@@ -54,3 +60,24 @@ def test_lines_of_documents_named_in_the_review(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = {r["doc_id"]: r["removed"] for r in lines.dedup_units(docs).filter("doc_id in (913, 957, 554, 774, 551)").collect()}
     assert all(found[i] for i in (913, 957, 554, 774, 551))
+
+
+def test_mixing_stage_copies_each_row_by_its_own_number(spark):
+    """Rows without an id keep their sources' shares of the mix."""
+    rng = random.Random(5)
+    rows = [(None, prose(rng, 40), "en", f"s{n % 3}", 0) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    want = {r["source"]: r["n"] for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    found = {r["source"]: r["count"] for r in corpus_pipeline.mixed(spark, docs, "").groupBy("source").count().collect()}
+    assert found == want and len(set(want.values())) > 1
+
+
+def test_token_positions_are_in_the_order_of_the_file(spark, tmp_path):
+    """Many texts without an id: each start is where the ids are in the files."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(None if n % 2 else 7, prose(rng, rng.randrange(1, 30))) for n in range(60)], "doc_id long, text string")
+    write_token_files(docs, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
+    files = read_token_files(spark, str(tmp_path / "t"))
+    ids = [i for p in sorted((tmp_path / "t").glob("part-*.parquet")) for row in pq.read_table(p)["tokens"].to_pylist() for i in row]
+    for r in token_positions(files).collect():
+        assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["n_tokens"]], "<u4").tobytes()) == r["ids_crc32"]
