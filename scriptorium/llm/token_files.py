@@ -60,9 +60,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The token lists with the number of their file; columns and row filters reach the scan."""
+    """The token lists with the number of their file and row; columns and row filters reach the scan."""
     number = F.regexp_extract(F.input_file_name(), r"part-(\d+)-[^/]*$", 1).cast("int")
-    return spark.read.schema(SCHEMA).parquet(path).withColumn("file_no", number)
+    return spark.read.schema(SCHEMA).parquet(path).withColumns({"file_no": number, "row_no": F.col("_metadata.row_index")})
 
 
 def token_positions(files: DataFrame, end_id: int = 1) -> DataFrame:
@@ -77,15 +77,15 @@ def token_positions(files: DataFrame, end_id: int = 1) -> DataFrame:
             data = memoryview(np.ascontiguousarray(column.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
             sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("file_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
-                names=["doc_id", "file_no", "n_tokens", "ids_crc32"],
+                [batch.column("doc_id"), batch.column("file_no"), batch.column("row_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
+                names=["doc_id", "file_no", "row_no", "n_tokens", "ids_crc32"],
             )
 
-    found = files.select("doc_id", "file_no", "tokens").mapInArrow(digest, "doc_id long, file_no int, n_tokens long, ids_crc32 long")
+    found = files.select("doc_id", "file_no", "row_no", "tokens").mapInArrow(digest, "doc_id long, file_no int, row_no long, n_tokens long, ids_crc32 long")
     totals = files.groupBy("file_no").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
     bases = totals.select("file_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("file_no").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     return (
         found.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(bases, "file_no")
