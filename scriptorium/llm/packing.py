@@ -3,8 +3,8 @@
 Each partition keeps a fixed number of open windows. A document's ids are cut into full windows and a
 rest; the rest goes to the open window that it fills best. When none has room, the fullest window is
 emitted if its gap is small, else it is filled with the first ids of the piece and then emitted. The
-windows that are open at a partition's end are merged with those of other partitions, whole windows at a
-time, and again over groups, so no task sees more than a fixed number of windows.
+windows that are open at a partition's end are merged once with those of FAN_IN partitions, whole windows at a
+time, so no task sees more than a fixed number of windows. Each group leaves at most one window that is not over half full.
 
 Nulls: a null text is an empty document, which still has its end id; a null doc_id is kept. Repeated rows
 are packed each on its own. Extra columns are ignored. An empty table gives no pieces.
