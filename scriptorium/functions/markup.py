@@ -97,10 +97,11 @@ def headings(texts: DataFrame) -> DataFrame:
 
 
 def heading_parents(found: DataFrame) -> DataFrame:
-    """Each heading with the number of the last heading before it on a smaller level, null at the top."""
+    """Each heading with the number of the last heading before it on a smaller level, null at the top: the latest of
+    the last headings of each of the five smaller levels."""
     before = Window.partitionBy("page_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("number", "level")).over(before)
-    return found.withColumn("parent", F.array_max(F.transform(F.filter(seen, lambda h: h["level"] < F.col("level")), lambda h: h["number"])))
+    last = [F.when(F.col("level") > n, F.max(F.when(F.col("level") == n, F.col("number"))).over(before)) for n in range(1, 6)]
+    return found.withColumn("parent", F.greatest(*last))
 
 
 def page_links(texts: DataFrame) -> DataFrame:

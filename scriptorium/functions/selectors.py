@@ -50,7 +50,7 @@ def tags_predicate(selector: str | None, visible: Column, hidden: Column, curren
     return rule
 
 
-_NUMBER = re.compile(r"(<=|>=|<|>|=)?\s*([+-]?(?:\d+\.?\d*|\.\d+))")
+_NUMBER = re.compile(r"(<=|>=|<|>|=)?\s*(-?\d+(?:\.\d+)?)")
 
 
 def _compared(column: Column, op: str, value: Column) -> Column:
@@ -58,37 +58,59 @@ def _compared(column: Column, op: str, value: Column) -> Column:
 
 
 def number_predicate(selector: str | None, column: Column) -> Column | None:
-    """``>=3``, ``<2``; a bare number is equality."""
+    """``>=3``, ``<2``; a bare number is equality. Other spellings of numbers (``+3``, ``3.``, ``.5``) are no selector."""
     found = _NUMBER.fullmatch((selector or "").strip())
     return _compared(column, found[1] or "=", F.lit(float(found[2]))) if found else None
 
 
+_UNITS = ("day", "week", "month")
+
+
+def _back(words: list[str]) -> tuple[int, str] | None:
+    """Count and unit of ``last [n] days``."""
+    if len(words) not in (2, 3) or words[0] != "last":
+        return None
+    count, unit = words[1] if len(words) == 3 else "1", words[-1].removesuffix("s")
+    return (int(count), unit) if count.isdecimal() and unit in _UNITS else None
+
+
+def _first_day(text: str, form: str) -> datetime | None:
+    try:
+        return datetime.strptime(text, form)
+    except ValueError:
+        return None
+
+
 def date_predicate(selector: str | None, column: Column, now: datetime) -> Column | None:
     """``2024``, ``2024.3``, ``>= 2024-03-01``, ``last 2 weeks``: ranges that a scan can be pruned by."""
     text = (selector or "").strip()
-    relative = re.fullmatch(r"last\s+(?:(\d+)\s+)?(day|week|month)s?", text, re.I)
-    if relative:
-        count, unit = int(relative[1] or 1), relative[2].lower()
-        back = F.make_interval(**{f"{unit}s": F.lit(count)})
-        return column >= F.lit(now) - back if count else None
-    if re.fullmatch(r"\d{4}", text):
-        return (column >= F.lit(datetime(int(text), 1, 1))) & (column < F.lit(datetime(int(text) + 1, 1, 1)))
-    month = re.fullmatch(r"(\d{4})\.(\d{1,2})", text)
-    if month and 1 <= int(month[2]) <= 12:
-        first = datetime(int(month[1]), int(month[2]), 1)
-        return (column >= F.lit(first)) & (column < F.lit(first) + F.make_interval(months=F.lit(1)))
-    compared = re.fullmatch(r"(<=|>=|<>|<|>|=)\s*(\d{4}-\d{2}-\d{2})", text)
-    return _compared(column, compared[1], F.lit(datetime.fromisoformat(compared[2]))) if compared else None
+    back = _back(text.lower().split())
+    if back:
+        count, unit = back
+        return column >= F.lit(now) - F.make_interval(**{f"{unit}s": F.lit(count)}) if count else None
+    if len(text) == 4 and (year := _first_day(text, "%Y")):
+        return (column >= F.lit(year)) & (column < F.lit(year) + F.make_interval(years=F.lit(1)))
+    if text[4:5] == "." and (month := _first_day(text, "%Y.%m")):
+        return (column >= F.lit(month)) & (column < F.lit(month) + F.make_interval(months=F.lit(1)))
+    op = text[: len(text) - len(text.lstrip("<>="))]
+    day = text[len(op) :].strip()
+    if op in ("<", ">", "<=", ">=", "=", "<>") and len(day) == 10 and (first := _first_day(day, "%Y-%m-%d")):
+        return _compared(column, op, F.lit(first))
+    return None
 
 
 def parent_predicate(selector: str | None, parent: Column, current: int, current_parent: int | None) -> Column | None:
-    """``-`` no parent, ``=`` the current page's parent, ``-=`` another, ``.`` children of the current page, else an id."""
-    text = (selector or "").strip()
-    if not text:
-        return None
+    """``-`` no parent, ``=`` the current page's parent, ``-=`` another, ``.`` children of the current page. A page's
+    name is no rule over the row alone: see ``parent_name``."""
     own = F.lit(current_parent).cast("long")
-    named = parent == F.lit(int(text) if text.isdigit() else None).cast("long")
-    return {"-": parent.isNull(), "=": parent.eqNullSafe(own), "-=": ~parent.eqNullSafe(own), ".": parent == current}.get(text, named)
+    rules = {"-": parent.isNull(), "=": parent.eqNullSafe(own), "-=": ~parent.eqNullSafe(own), ".": parent == current}
+    return rules.get((selector or "").strip())
+
+
+def parent_name(selector: str | None) -> str | None:
+    """The fullname that a parent selector names, if it names one."""
+    text = (selector or "").strip()
+    return text if text and text not in ("-", "=", "-=", ".") else None
 
 
 @dataclass(frozen=True)

@@ -43,15 +43,26 @@ def source_space(text: Column) -> Column:
     return F.regexp_replace(out, "^\n+|\n+$", "")
 
 
+def _words(text: Column) -> Column:
+    """Runs of letters and digits, joined by single hyphens."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0), "-")
+
+
 def page_slug(name: Column) -> Column:
-    """A page name as links have it: lower case, runs of other characters as one hyphen, the last colon
-    after the category; names are expected in composed form."""
-    out = F.regexp_replace(F.lower(F.regexp_replace(F.trim(name), "^/", "")), r"[^\p{L}\p{N}:_-]", "-")
-    out = F.regexp_replace(out, ":(?=.*:)", "-")
-    out = F.regexp_replace(out, "(?<!^|:)_", "-")
-    out = F.regexp_replace(F.regexp_replace(out, "-+", "-"), "^-|-$", "")
-    out = F.regexp_replace(F.regexp_replace(out, "-*([:_])-*", "$1"), "^:|:$", "")
-    return F.regexp_replace(out, "^_default:", "")
+    """A page name as links have it, in lower case: category and name apart at the last colon, and each of them its runs
+    of letters and digits with single hyphens between. An underscore at the front of a part marks a hidden one and stays.
+    The default category isn't named. Names are expected in composed form."""
+    whole = F.lower(F.regexp_replace(F.trim(name), "^/", ""))
+    at = F.length(whole) - F.instr(F.reverse(whole), ":")  # characters before the last colon
+    cut = F.instr(whole, ":") > 0
+
+    def part(text: Column) -> Column:
+        words = _words(text)
+        return F.when((words != "") & text.startswith("_"), F.concat(F.lit("_"), words)).otherwise(words)
+
+    category = F.when(cut, part(whole.substr(F.lit(1), at))).otherwise("")
+    rest = part(F.when(cut, whole.substr(at + 2, F.length(whole))).otherwise(whole))
+    return F.when((category == "") | (category == "_default"), rest).when(rest == "", category).otherwise(F.concat_ws(":", category, rest))
 
 
 def lookup_name(name: Column) -> Column:
@@ -73,10 +84,16 @@ def escape_html(text: Column) -> Column:
 
 def literal_markup(text: Column) -> Column:
     """Text that markup can't act in: every character as a numeric entity, inside ``@<...>@``."""
-    coded = F.array_join(F.transform(F.split(text, ""), lambda c: F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))), "")
+    coded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))), "")
     return F.when(text == "", "").otherwise(F.concat(F.lit("@<"), coded, F.lit(">@")))
 
 
+def first_paragraph(readable: Column) -> Column:
+    """The first of a readable text's paragraphs, which blank lines part, that isn't empty."""
+    parts = F.transform(F.split(readable, r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.coalesce(F.get(F.filter(parts, lambda p: p != ""), F.lit(0)), F.lit(""))
+
+
 def section(text: Column, number: int) -> Column:
     """The n-th part of a text cut at lines of four or more ``=``, trimmed; empty where there is none."""
     return F.regexp_replace(F.coalesce(F.get(F.split(text, r"(?m)^={4,}[ ]*$"), F.lit(number - 1)), F.lit("")), r"^\s+|\s+$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,22 @@ def scaled(low: float, high: float, share: Column) -> Column:
     return F.floor(F.lit(low) + F.lit(high - low) * share + 0.5).cast("int")
 
 
+def cloud_limit(given: str | None) -> int:
+    """A tag cloud's limit from its attribute: digits that make a number over 0, else 50."""
+    return int(given) if given and given.isascii() and given.isdecimal() and 0 < int(given) < 1 << 53 else 50
+
+
+def cloud_status(wiki: Wiki, category: str | None = None) -> DataFrame:
+    """One row (status, message): ``ok``, ``no-tags``, or ``category-not-found`` where no page is in the category."""
+    pages = wiki.pages() if category is None else wiki.pages().filter(F.col("category") == category)
+    there = pages.select(F.lit(1).alias("n")).limit(1).agg(F.count("*").alias("found"))
+    tagged = tag_counts(wiki, category).limit(1).agg(F.count("*").alias("tags"))
+    missing = F.lit(category is not None) & (F.col("found") == 0)
+    status = F.when(missing, "category-not-found").when(F.col("tags") == 0, "no-tags").otherwise("ok")
+    message = F.when(missing, F.lit(f'Category "{category}" can not be found.'))
+    return there.crossJoin(tagged).select(status.alias("status"), message.alias("message"))  # one row with one row
+
+
 def tag_cloud(wiki: Wiki, category: str | None = None, limit: int = 50, sizes: tuple[int, int] = (100, 300), colors: tuple[tuple[int, int, int], tuple[int, int, int]] = ((128, 128, 192), (64, 64, 128)), target: str = "/system:page-tags/tag/", unit: str = "%") -> DataFrame:
     """The heaviest tags, in order of name, with size, color and link. Only the top-k meets in one task."""
     top = tag_counts(wiki, category).orderBy(F.col("weight").desc(), "tag").limit(limit)
@@ -64,17 +82,22 @@ def page_tree(wiki: Wiki, root: int, depth: int) -> DataFrame:
 
 #: Rounds of includes, and the longest text that including may give.
 INCLUDE_ROUNDS, INCLUDE_MOST = 10, 1_000_000
-INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:\s*\|[^\]|]*)*)\s*\]\]"
+#: A directive at the start of a line: its page, ``page`` or ``:site:page``, and its arguments. Double brackets inside them
+#: (a link, a module) don't end it; one level of them is known.
+INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]\n]*\]\]|\[(?!\[)|\](?!\])|[^\[\]])*)\]\]"
 
 
 def include_edges(texts: DataFrame) -> DataFrame:
-    """(page_id, ord, page, assignments): what each text includes, in order."""
+    """(page_id, ord, directive, site, page, assignments): what each text includes, in order; a null site is this one."""
     found = F.regexp_extract_all("source_text", F.lit(INCLUDE), 0)
     rows = texts.select("page_id", F.posexplode(found).alias("ord", "directive"))
     pairs = F.filter(F.split(F.regexp_extract("directive", INCLUDE, 2), r"\|"), lambda p: F.trim(p).rlike(r"^[^=]+=\s*\S"))
     # The first assignment of a key takes all its places.
-    keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
-    return rows.select("page_id", "ord", "directive", F.lower(F.regexp_extract("directive", INCLUDE, 1)).alias("page"), keyed.alias("assignments"))
+    keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), r"^\s+|\s+$", "").alias("value")))
+    target = F.lower(F.regexp_extract("directive", INCLUDE, 1))
+    away = target.rlike("^:[^:]*:")
+    site, page = F.when(away, F.regexp_extract(target, "^:([^:]*):", 1)), F.when(away, F.regexp_replace(target, "^:[^:]*:", "")).otherwise(target)
+    return rows.select("page_id", "ord", "directive", site.alias("site"), page.alias("page"), keyed.alias("assignments"))
 
 
 def substituted(content: Column, assignments: Column) -> Column:
@@ -82,32 +105,49 @@ def substituted(content: Column, assignments: Column) -> Column:
     return F.aggregate(assignments, content, lambda text, a: F.replace(text, F.concat(F.lit("{$"), a["key"], F.lit("}")), a["value"]))
 
 
-def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_ROUNDS, most: int = INCLUDE_MOST, materialize=None) -> DataFrame:
-    """Texts with includes put in place: (page_id, source_text, rounds, too_long).
+def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_ROUNDS, most: int = INCLUDE_MOST, materialize=None, trace: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Texts with includes put in place: (page_id, source_text, rounds, too_long), with ``trace`` also ``included``:
+    round, place and page of what was put in.
 
     Each round joins the directives of the texts that still have some to ``library`` (page, content), replaces
-    them, and stops where none is left. A page that includes itself keeps the directive; a missing page gives
-    an error block; a text over ``most`` is left as it was before the round. ``materialize`` cuts lineage.
+    them, and stops where none is left; only unfinished texts go from round to round. A page that includes itself keeps
+    the directive; a missing page, and any page of another site, gives an error block; a text over ``most`` is left as it
+    was before the round. ``only``: no other pages than these are put in. ``materialize`` cuts lineage.
     """
     materialize = materialize or (lambda df: df.checkpoint())
-    state = texts.select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"))
+    step = "array<struct<round:int,ord:int,page:string>>"
+    kept = ["page_id", "source_text", "rounds", "too_long", "included"]
+    state = texts.select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"), F.array().cast(step).alias("included"))
+    done = []
     for number in range(1, rounds + 1):
-        edges = include_edges(state.filter(~F.col("too_long"))).join(state.select("page_id", "own"), "page_id").filter(F.col("page") != F.col("own"))
-        edges = materialize(edges)
-        if edges.isEmpty():
-            break
+        wanted = (F.col("page") != F.col("own")) | F.col("site").isNotNull()
+        if only is not None:
+            wanted = wanted & F.col("page").isin(only) & F.col("site").isNull()
+        edges = include_edges(state).join(state.select("page_id", "own"), "page_id").withColumn("wanted", wanted)
+        content = F.when(F.col("site").isNull(), F.col("content"))
         missing = F.concat(F.lit('[[div class="error-block"]]\nIncluded page "'), F.col("page"), F.lit('" does not exist\n[[/div]]'))
-        texts_in = edges.join(library, "page", "left").select("page_id", "ord", "directive", F.coalesce(substituted(F.col("content"), F.col("assignments")), missing).alias("text"))
-        swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "directive", "text"))).alias("swaps"))
-        made = F.aggregate("swaps", F.col("source_text"), lambda text, s: F.replace(text, s["directive"], s["text"]))
-        joined = state.join(swaps, "page_id", "left").withColumn("made", F.coalesce(made, "source_text"))
+        text = F.when(F.col("wanted"), F.coalesce(substituted(content, F.col("assignments")), missing)).otherwise(F.col("directive"))
+        texts_in = edges.join(library, "page", "left").select("page_id", "ord", "page", text.alias("text"), "wanted")
+        swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "page", "wanted"))).alias("swaps"))
+        # Each directive's own place: the text between directives and what stands for them, in turn.
+        gaps = F.split("source_text", INCLUDE)
+        made = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("swaps")), lambda x: F.array(x["gap"], F.coalesce(x["swaps"]["text"], F.lit(""))))), "")
+        joined = state.join(swaps.filter(F.exists("swaps", lambda x: x["wanted"])), "page_id", "left").withColumn("made", F.when(F.col("swaps").isNull(), F.col("source_text")).otherwise(made))
         over = F.length("made") > most
         changed = F.col("swaps").isNotNull() & ~over
+        added = F.transform(F.filter("swaps", lambda x: x["wanted"]), lambda s: F.struct(F.lit(number).alias("round"), s["ord"].cast("int").alias("ord"), s["page"].alias("page")))
         state = materialize(joined.select(
-            "page_id", "own", F.when(over, F.col("source_text")).otherwise(F.col("made")).alias("source_text"),
-            F.when(changed, F.lit(number)).otherwise(F.col("rounds")).alias("rounds"), (F.col("too_long") | over).alias("too_long"),
+            "page_id", "own", F.when(over, F.col("source_text")).otherwise(F.col("made")).alias("source_text"), F.when(changed, F.lit(number)).otherwise(F.col("rounds")).alias("rounds"),
+            over.alias("too_long"), F.when(changed, F.concat("included", added)).otherwise(F.col("included")).alias("included"), changed.alias("open"),
         ))
-    return state.drop("own")
+        done.append(state.filter(~F.col("open")).select(*kept))
+        state = state.filter("open").drop("open")
+        if state.isEmpty():
+            break
+    else:
+        done.append(state.select(*kept))
+    out = reduce(DataFrame.unionByName, done)
+    return out if trace else out.drop("included")
 
 
 #: A tag condition around text without another one in it.
@@ -124,11 +164,12 @@ def condition_holds(condition: Column, tags: Column) -> Column:
 
 
 def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataFrame:
-    """(page_id, source_text) with tag conditions resolved, innermost first; a round takes one level of nesting."""
+    """(page_id, source_text) with tag conditions resolved, innermost first; a round takes one level of nesting.
+    Where tags are null nothing can be decided yet, and the text stays as it is."""
     materialize = materialize or (lambda df: df.checkpoint())
     state = texts.select("page_id", "tags", "source_text")
     for _ in range(rounds):
-        found = state.select("page_id", "tags", F.posexplode(F.regexp_extract_all("source_text", F.lit(IFTAGS), 0)).alias("ord", "directive"))
+        found = state.filter("tags is not null").select("page_id", "tags", F.posexplode(F.regexp_extract_all("source_text", F.lit(IFTAGS), 0)).alias("ord", "directive"))
         inner = F.when(condition_holds(F.regexp_extract("directive", IFTAGS, 1), F.col("tags")), F.regexp_extract("directive", IFTAGS, 2)).otherwise("")
         swaps = materialize(found.groupBy("page_id").agg(F.collect_set(F.struct("directive", inner.alias("text"))).alias("swaps")))
         if swaps.isEmpty():
@@ -141,3 +182,45 @@ def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataF
 def inserted_once(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """An insert that may run again: rows whose key is there already stay out."""
     return table.unionByName(rows.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti"))
+
+
+def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table with rows of ``changes`` (key and some of its columns) laid over it; null there is no change."""
+    columns = [c for c in changes.columns if c != key]
+    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
+    return table.join(new, key, "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+
+def deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """A delete that cascades: each table without the rows of the keys in ``gone``."""
+    return {name: table.join(gone.select(key), key, "left_anti") for name, table in tables.items()}
+
+
+def content_blobs(pages: DataFrame, key: str, content: str, kind: str = "html") -> DataFrame:
+    """(path, page, digest, content): content-addressed blobs ``local--kind/page/hash``; equal contents of a page are one."""
+    digest = F.sha2(content, 256)
+    path = F.concat(F.lit(f"local--{kind}/"), F.col(key).cast("string"), F.lit("/"), F.substring(digest, 1, 16))
+    return pages.select(path.alias("path"), F.col(key).alias("page"), digest.alias("digest"), F.col(content).alias("content")).dropDuplicates(["path"])
+
+
+def blobs_written(table: DataFrame, blobs: DataFrame) -> DataFrame:
+    """A blob table after a write that may run again: blobs whose path is there stay as they are."""
+    return inserted_once(table, blobs, "path")
+
+
+def blobs_without(table: DataFrame, prefix: str) -> DataFrame:
+    """A blob table without the paths under a prefix."""
+    return table.filter(~F.col("path").startswith(prefix))
+
+
+def from_json_list(spark, keys: str, name: str, kind: str = "bigint") -> DataFrame:
+    """A JSON array given as a parameter, as a relation of one column."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(keys), f"array<{kind}>")).alias(name))
+
+
+def lookups(targets: DataFrame, wiki: Wiki) -> DataFrame:
+    """Per target of (fullname): whether its page exists, its title and its owner's name; every target once."""
+    wanted = targets.select(F.lower(F.trim("fullname")).alias("fullname")).distinct()
+    users = wiki.users().select(F.col("user_id").alias("owner_id"), F.col("name").alias("owner"))
+    known = wiki.pages().select("fullname", "title", "owner_id").join(users, "owner_id", "left")
+    return wanted.join(known, "fullname", "left").select("fullname", F.col("title").isNotNull().alias("present"), "title", "owner")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import aggregates, ratings
-from scriptorium.plans.base_sql import AXES, LINKS, PAGES, TAGS, VOTES, sql
+from scriptorium.plans.base_sql import ALLOWED, ALLOWED_VOTES, AXES, LINKS, PAGES, TAGS, USERS, VOTES, sql
 from scriptorium.registry import query
 from scriptorium.sources.wiki import Wiki, page_key, split_fullname
 
-_ALLOWED = "CASE WHEN rate > 0 THEN allow_up WHEN rate < 0 THEN allow_down ELSE allow_neutral END"
-_AXIS_VOTES = f"""w_open AS (
-  SELECT * EXCLUDE (place) FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, page_id, axis_key ORDER BY ts DESC, vote_id DESC) AS place
-    FROM w_events e JOIN w_axes USING (axis_key) WHERE enabled AND can_vote AND {_ALLOWED}) WHERE place = 1)"""
-
-
 @query("ag_main_rating", sql(VOTES, body="SELECT page_id, rating, rating_votes, positive, rating_percent FROM w_ratings"))
 def main_rating(spark, folder: str) -> DataFrame:
     return ratings.main_ratings(Wiki(spark, folder))
@@ -28,24 +24,12 @@ def own_vote(spark, folder: str) -> DataFrame:
 
 @query(
     "ag_axis_rating",
-    sql(VOTES, AXES, _AXIS_VOTES, body="""SELECT p.page_id, a.axis_key, a.label, CAST(coalesce(sum(rate), 0) AS BIGINT) AS points, count(v.vote_id) AS votes,
-      CAST(CASE WHEN count(v.vote_id) > 0 THEN floor(count(*) FILTER (rate > 0) / count(v.vote_id) * 100 + 0.5) ELSE 0 END AS BIGINT) AS percent
-      FROM (SELECT o_orderkey AS page_id FROM orders WHERE o_orderkey < 1200) p CROSS JOIN w_axes a
-      LEFT JOIN w_open v ON v.page_id = p.page_id AND v.axis_key = a.axis_key WHERE a.enabled AND a.show_aggregate GROUP BY ALL"""),
-)
-def axis_rating(spark, folder: str) -> DataFrame:
-    wiki = Wiki(spark, folder)
-    return ratings.axis_ratings(wiki, wiki.pages().filter("page_id < 1200"))
-
-
-@query(
-    "ag_axis_rating_all",
-    sql(VOTES, AXES, _AXIS_VOTES, body="""SELECT p.page_id, a.axis_key, a.label, CAST(coalesce(sum(rate), 0) AS BIGINT) AS points, count(v.vote_id) AS votes,
+    sql(VOTES, AXES, ALLOWED_VOTES, body="""SELECT p.page_id, a.axis_key, a.label, CAST(coalesce(sum(rate), 0) AS BIGINT) AS points, count(v.vote_id) AS votes,
       CAST(CASE WHEN count(v.vote_id) > 0 THEN floor(count(*) FILTER (rate > 0) / count(v.vote_id) * 100 + 0.5) ELSE 0 END AS BIGINT) AS percent
       FROM (SELECT o_orderkey AS page_id FROM orders) p CROSS JOIN w_axes a
       LEFT JOIN w_open v ON v.page_id = p.page_id AND v.axis_key = a.axis_key WHERE a.enabled AND a.show_aggregate GROUP BY ALL"""),
 )
-def axis_rating_all(spark, folder: str) -> DataFrame:
+def axis_rating(spark, folder: str) -> DataFrame:
     """The ratings of every page."""
     wiki = Wiki(spark, folder)
     return ratings.axis_ratings(wiki, wiki.pages())
@@ -57,14 +41,14 @@ def latest_votes(spark, folder: str) -> DataFrame:
     return ratings.latest(Wiki(spark, folder).vote_events(), "user_id", "page_id").select("user_id", "page_id", "vote_id", "axis_key", "rate")
 
 
-@query("sk_guarded_votes", sql(VOTES, AXES, _AXIS_VOTES, body="SELECT user_id, page_id, axis_key, vote_id, rate FROM w_open"))
+@query("sk_guarded_votes", sql(VOTES, AXES, ALLOWED_VOTES, body="SELECT user_id, page_id, axis_key, vote_id, rate FROM w_open"))
 def guarded_votes(spark, folder: str) -> DataFrame:
     return ratings.accepted_votes(Wiki(spark, folder)).select("user_id", "page_id", "axis_key", "vote_id", "rate")
 
 
 @query(
     "sk_cancelled_votes",
-    sql(VOTES, AXES, _AXIS_VOTES, body="""SELECT user_id, page_id, axis_key, rate FROM w_open o WHERE NOT EXISTS (
+    sql(VOTES, AXES, ALLOWED_VOTES, body="""SELECT user_id, page_id, axis_key, rate FROM w_open o WHERE NOT EXISTS (
       SELECT 1 FROM w_events c JOIN w_axes a USING (axis_key) WHERE enabled AND can_cancel AND c.vote_id % 7 = 0
         AND c.user_id = o.user_id AND c.page_id = o.page_id AND c.axis_key = o.axis_key)"""),
 )
@@ -77,7 +61,7 @@ def cancelled_votes(spark, folder: str) -> DataFrame:
 @query(
     "sk_checked_writes",
     sql(VOTES, AXES, body=f"""SELECT vote_id, axis_key, page_id, rate, CASE WHEN label IS NULL THEN 'unknown axis' WHEN NOT enabled THEN 'disabled'
-      WHEN NOT can_vote THEN 'closed' WHEN NOT {_ALLOWED} THEN 'value not allowed' WHEN page_id % 10 = 0 THEN 'locked' END AS refused
+      WHEN NOT can_vote THEN 'closed' WHEN NOT {ALLOWED} THEN 'value not allowed' WHEN page_id % 10 = 0 THEN 'locked' END AS refused
       FROM w_events LEFT JOIN w_axes USING (axis_key)"""),
 )
 def checked_writes(spark, folder: str) -> DataFrame:
@@ -101,10 +85,112 @@ def recalculated(spark, folder: str) -> DataFrame:
 def updated_pages(spark, folder: str) -> DataFrame:
     """Update and cascading delete as an overlay and an anti join."""
     pages = Wiki(spark, folder).pages().select("page_id", "title", "size")
-    changes = pages.filter("page_id % 20 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("new_title"), (F.col("size") + 1).alias("new_size"))
-    gone = pages.filter("page_id % 33 = 1").select("page_id")
-    kept = pages.join(gone, "page_id", "left_anti").join(changes, "page_id", "left")
-    return kept.select("page_id", F.coalesce("new_title", "title").alias("title"), F.coalesce("new_size", "size").alias("size"))
+    changes = pages.filter("page_id % 20 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("title"), (F.col("size") + 1).alias("size"))
+    kept = aggregates.deleted({"pages": pages}, pages.filter("page_id % 33 = 1"), "page_id")["pages"]
+    return aggregates.updated(kept, changes, "page_id")
+
+
+@query(
+    "sk_cascading_delete",
+    sql(PAGES, TAGS, VOTES, body="""SELECT 'pages' AS kind, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids FROM w_pages WHERE page_id % 3 <> 1
+      UNION ALL SELECT 'tags', count(*), CAST(sum(page_id) AS BIGINT) FROM w_tag_rows WHERE page_id % 3 <> 1 UNION ALL SELECT 'votes', count(*), CAST(sum(page_id) AS BIGINT) FROM w_events WHERE page_id % 3 <> 1 OR page_id NOT IN (SELECT page_id FROM w_pages)"""),
+)
+def cascading_delete(spark, folder: str) -> DataFrame:
+    """A delete of pages that takes their tags and votes along."""
+    wiki = Wiki(spark, folder)
+    tables = {"pages": wiki.pages(), "tags": wiki.page_tags(), "votes": wiki.vote_events()}
+    left = aggregates.deleted(tables, wiki.pages().filter("page_id % 3 = 1"), "page_id")
+    return reduce(DataFrame.unionByName, [t.agg(F.lit(name).alias("kind"), F.count("*").alias("n"), F.sum("page_id").alias("ids")) for name, t in left.items()])
+
+
+@query("sk_inserted_pages", sql(PAGES, body="SELECT page_id, title FROM w_pages WHERE page_id % 4 <> 0 UNION ALL SELECT page_id, title || ' again' FROM w_pages WHERE page_id % 4 = 0"))
+def inserted_pages(spark, folder: str) -> DataFrame:
+    """An insert of pages, some of which are there already."""
+    pages = Wiki(spark, folder).pages().select("page_id", "title")
+    rows = pages.filter("page_id % 2 = 0").select("page_id", F.concat("title", F.lit(" again")).alias("title"))
+    return aggregates.inserted_once(pages.filter("page_id % 4 <> 0"), rows, "page_id")
+
+
+@query("sk_vote_deleted", sql(VOTES, body="SELECT user_id, page_id, rate FROM w_votes v WHERE NOT EXISTS (SELECT 1 FROM w_events c WHERE c.axis_key = 'signup' AND c.user_id = v.user_id AND c.page_id = v.page_id)"))
+def vote_deleted(spark, folder: str) -> DataFrame:
+    votes = Wiki(spark, folder).vote_events()
+    return ratings.without_own_vote(ratings.latest(votes, "user_id", "page_id"), votes.filter("axis_key = 'signup'")).select("user_id", "page_id", "rate")
+
+
+_BLOBS = "w_blobs AS (SELECT DISTINCT 'local--html/' || page_id || '/' || substring(sha256(html), 1, 16) AS path, page_id AS page, sha256(html) AS digest FROM pages)"
+
+
+@query("sk_blobs_written", sql(_BLOBS, body="SELECT path, CASE WHEN page % 2 = 0 THEN 'old' ELSE 'new' END AS kept FROM w_blobs"))
+def blobs_written(spark, folder: str) -> DataFrame:
+    """A write of all blobs over a table that has those of every second page."""
+    blobs = aggregates.content_blobs(Wiki(spark, folder).table("pages"), "page_id", "html").select("path", "page")
+    return aggregates.blobs_written(blobs.filter("page % 2 = 0").select("path", F.lit("old").alias("kept")), blobs.select("path", F.lit("new").alias("kept")))
+
+
+@query("sk_blobs_without", sql(_BLOBS, body="SELECT path, digest FROM w_blobs WHERE NOT starts_with(path, 'local--html/1')"))
+def blobs_without(spark, folder: str) -> DataFrame:
+    blobs = aggregates.content_blobs(Wiki(spark, folder).table("pages"), "page_id", "html")
+    return aggregates.blobs_without(blobs, "local--html/1").select("path", "digest")
+
+
+@query("sc_blob_read", sql(_BLOBS, body="SELECT path, digest FROM w_blobs WHERE page IN (2, 3, 5, 8)"))
+def blob_read(spark, folder: str) -> DataFrame:
+    """Blobs by key: the keys come as a JSON array."""
+    blobs = aggregates.content_blobs(Wiki(spark, folder).table("pages"), "page_id", "html")
+    return blobs.join(aggregates.from_json_list(spark, "[2, 3, 5, 8, 8, -1]", "page"), "page", "left_semi").select("path", "digest")
+
+
+@query("sc_json_list", sql(PAGES, body="SELECT page_id, fullname FROM w_pages WHERE page_id IN (3, 7, 11, 100)"))
+def json_list(spark, folder: str) -> DataFrame:
+    return Wiki(spark, folder).pages().join(aggregates.from_json_list(spark, "[3, 7, 11, 100]", "page_id"), "page_id", "left_semi").select("page_id", "fullname")
+
+
+@query(
+    "sc_lookups",
+    sql(PAGES, USERS, body="""SELECT fullname, title IS NOT NULL AS present, title, u.name AS owner
+      FROM (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN fullname ELSE 'none:' || page_id END AS fullname FROM w_pages) t LEFT JOIN w_pages p USING (fullname) LEFT JOIN w_users u ON u.user_id = p.owner_id"""),
+)
+def lookups(spark, folder: str) -> DataFrame:
+    """Existence, title and owner of every referenced page, in one join."""
+    wiki = Wiki(spark, folder)
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), F.upper(F.substring("fullname", 1, 1)), F.expr("substring(fullname, 2)"))).otherwise(F.concat(F.lit("none:"), F.col("page_id").cast("string")))
+    return aggregates.lookups(wiki.pages().select(name.alias("fullname")), wiki)
+
+
+_REFS = "w_refs AS (SELECT DISTINCT page_id, CASE WHEN axis_key = 'click' THEN NULL WHEN axis_key = 'signup' THEN 'other' ELSE axis_key END AS axis_key FROM w_events)"
+
+
+@query(
+    "jn_rating_states",
+    sql(VOTES, AXES, ALLOWED_VOTES, _REFS, body="""SELECT r.page_id, coalesce('custom:' || r.axis_key, 'main') AS ref, r.axis_key IS NULL OR a.axis_key IS NOT NULL AS declared, CASE WHEN r.axis_key IS NULL THEN 'Rating' ELSE a.label END AS label,
+      CASE WHEN r.axis_key IS NULL THEN m.rating WHEN show_aggregate THEN coalesce(x.points, 0) END AS points, CASE WHEN r.axis_key IS NULL THEN m.rating_votes WHEN show_aggregate THEN coalesce(x.n, 0) END AS votes,
+      CASE WHEN r.axis_key IS NULL THEN m.rating_percent WHEN show_aggregate THEN coalesce(x.share, 0) END AS percent
+      FROM w_refs r LEFT JOIN (SELECT * FROM w_axes WHERE enabled) a USING (axis_key) LEFT JOIN w_ratings m ON m.page_id = r.page_id
+      LEFT JOIN (SELECT page_id, axis_key, CAST(sum(rate) AS BIGINT) AS points, count(*) AS n, CAST(floor(count(*) FILTER (rate > 0) / count(*) * 100 + 0.5) AS BIGINT) AS share FROM w_open GROUP BY ALL) x
+        ON x.page_id = r.page_id AND x.axis_key = r.axis_key"""),
+)
+def rating_states(spark, folder: str) -> DataFrame:
+    """Rating references joined with the states of main and custom ratings."""
+    wiki = Wiki(spark, folder)
+    axis = F.when(F.col("axis_key") == "signup", "other").when(F.col("axis_key") != "click", F.col("axis_key"))
+    return ratings.rating_states(wiki.vote_events().select("page_id", axis.alias("axis_key")), wiki)
+
+
+@query("jn_authorized_references", sql(VOTES, body="SELECT vote_id, page_id, axis_key AS ref FROM w_events e WHERE EXISTS (SELECT 1 FROM w_events d WHERE d.vote_id % 3 = 0 AND d.page_id = e.page_id AND d.axis_key = e.axis_key)"))
+def authorized_references(spark, folder: str) -> DataFrame:
+    requests = Wiki(spark, folder).vote_events().select("vote_id", "page_id", F.col("axis_key").alias("ref"))
+    return ratings.authorized(requests, requests.filter("vote_id % 3 = 0")).select("vote_id", "page_id", "ref")
+
+
+@query(
+    "ag_cloud_status",
+    sql(PAGES, TAGS, body="""SELECT c.category, CASE WHEN c.category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_pages p WHERE p.category = c.category) THEN 'category-not-found'
+      WHEN NOT EXISTS (SELECT 1 FROM w_tag_rows t JOIN w_pages p USING (page_id) WHERE NOT starts_with(tag, '_') AND (c.category IS NULL OR p.category = c.category)) THEN 'no-tags' ELSE 'ok' END AS status
+      FROM (VALUES (NULL), ('o'), ('none')) c(category)"""),
+)
+def cloud_status(spark, folder: str) -> DataFrame:
+    wiki = Wiki(spark, folder)
+    return reduce(DataFrame.unionByName, [aggregates.cloud_status(wiki, c).select(F.lit(c).cast("string").alias("category"), "status") for c in (None, "o", "none")])
 
 
 @query("ag_tag_counts", sql(TAGS, body="SELECT tag, count(*) AS weight FROM w_tag_rows WHERE NOT starts_with(tag, '_') GROUP BY tag"))
@@ -164,10 +250,10 @@ def page_tree(spark, folder: str) -> DataFrame:
     return aggregates.page_tree(Wiki(spark, folder), 3, 3)
 
 
-def _library(wiki: Wiki, which: str = "page_id < 2000") -> tuple[DataFrame, DataFrame]:
+def _library(wiki: Wiki) -> tuple[DataFrame, DataFrame]:
     """Pages that include others, and the pages that can be included."""
     key = F.col("page_id").cast("string")
-    users = wiki.pages().filter(which).select(
+    users = wiki.pages().select(
         "page_id", F.concat(F.lit("page-"), key).alias("fullname"),
         F.concat(F.lit("Title "), key, F.lit("\n[[include part-"), (F.col("page_id") % 5).cast("string"), F.lit(" | who = "), key, F.lit(" | empty = ]]\n"), F.lit("[[include page-"), key, F.lit("]]\nend")).alias("source_text"),
     )
@@ -183,60 +269,56 @@ _PART = """CASE page_id % 5 WHEN 0 THEN 'Zero ' || page_id || '.' WHEN 1 THEN 'O
 @query(
     "dt_include_expansion",
     sql(PAGES, body=f"""SELECT page_id, 'Title ' || page_id || chr(10) || {_PART} || chr(10) || '[[include page-' || page_id || ']]' || chr(10) || 'end' AS source_text,
-      CASE page_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS rounds, false AS too_long FROM w_pages WHERE page_id < 2000"""),
+      CASE page_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS rounds, false AS too_long FROM w_pages"""),
 )
 def include_expansion(spark, folder: str) -> DataFrame:
+    """The includes of every page."""
     users, library = _library(Wiki(spark, folder))
     return aggregates.expand_includes(users, library)
 
 
 @query(
-    "dt_include_expansion_all",
-    sql(PAGES, body=f"""SELECT page_id, 'Title ' || page_id || chr(10) || {_PART} || chr(10) || '[[include page-' || page_id || ']]' || chr(10) || 'end' AS source_text,
-      CASE page_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS rounds, false AS too_long FROM w_pages"""),
+    "dt_include_trace",
+    sql(PAGES, body="""SELECT page_id, CASE page_id % 5 WHEN 1 THEN '1.0 part-1,2.0 part-0' WHEN 3 THEN '1.0 part-3,2.0 part-1,3.0 part-0' ELSE '1.0 part-' || page_id % 5 END AS included FROM w_pages"""),
 )
-def include_expansion_all(spark, folder: str) -> DataFrame:
-    """The includes of every page."""
-    users, library = _library(Wiki(spark, folder), "true")
-    return aggregates.expand_includes(users, library)
+def include_trace(spark, folder: str) -> DataFrame:
+    """What was put into each page, by round and place."""
+    users, library = _library(Wiki(spark, folder))
+    found = F.transform("included", lambda x: F.concat(x["round"].cast("string"), F.lit("."), x["ord"].cast("string"), F.lit(" "), x["page"]))
+    return aggregates.expand_includes(users, library, trace=True).select("page_id", F.array_join(found, ",").alias("included"))
 
 
-def _edges(users: DataFrame) -> DataFrame:
-    given = F.array_join(F.transform("assignments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
-    return aggregates.include_edges(users).select("page_id", "ord", "page", given.alias("given"))
+@query(
+    "dt_include_nested",
+    sql(PAGES, body="""SELECT page_id, ord, CASE WHEN ord = 1 THEN 'far' END AS site, CASE ord WHEN 0 THEN 'box' ELSE 'page-' || page_id END AS page,
+      CASE ord WHEN 0 THEN 'body=see [[[page-' || page_id || ']]] and [[module Rate]] [x],n=' || page_id ELSE 'a=b' END AS given FROM w_pages, (VALUES (0), (1)) v(ord)"""),
+)
+def include_nested(spark, folder: str) -> DataFrame:
+    """Directives with links and modules in their values, and pages of another site."""
+    key = F.col("page_id").cast("string")
+    source = F.concat(F.lit("x\n[[include box | body=see [[[page-"), key, F.lit("]]] and [[module Rate]] [x] | n="), key, F.lit("]]\nno [[include inline]]\n[[Include :far:page-"), key, F.lit("\n|a = b\n]]"))
+    return _edges(Wiki(spark, folder).pages().select("page_id", source.alias("source_text")), "site")
 
 
-@query("dt_include_edges", sql(PAGES, body="SELECT page_id, ord, CASE ord WHEN 0 THEN 'part-' || page_id % 5 ELSE 'page-' || page_id END AS page, CASE ord WHEN 0 THEN 'who=' || page_id ELSE '' END AS given FROM w_pages, (VALUES (0), (1)) v(ord) WHERE page_id < 2000"))
-def include_edges(spark, folder: str) -> DataFrame:
-    users, _ = _library(Wiki(spark, folder))
-    return _edges(users)
+def _edges(users: DataFrame, *more: str) -> DataFrame:
+    given = F.array_join(F.transform("assignments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
+    return aggregates.include_edges(users).select("page_id", "ord", *more, "page", given.alias("given"))
 
 
-@query("dt_include_edges_all", sql(PAGES, body="SELECT page_id, ord, CASE ord WHEN 0 THEN 'part-' || page_id % 5 ELSE 'page-' || page_id END AS page, CASE ord WHEN 0 THEN 'who=' || page_id ELSE '' END AS given FROM w_pages, (VALUES (0), (1)) v(ord)"))
-def include_edges_all(spark, folder: str) -> DataFrame:
+@query("dt_include_edges", sql(PAGES, body="SELECT page_id, ord, CASE ord WHEN 0 THEN 'part-' || page_id % 5 ELSE 'page-' || page_id END AS page, CASE ord WHEN 0 THEN 'who=' || page_id ELSE '' END AS given FROM w_pages, (VALUES (0), (1)) v(ord)"))
+def include_edges(spark, folder: str) -> DataFrame:
     """The includes of every page as edges."""
-    users, _ = _library(Wiki(spark, folder), "true")
+    users, _ = _library(Wiki(spark, folder))
     return _edges(users)
 
 
 @query(
     "it_source_expansion",
-    sql(PAGES, TAGS, body="""SELECT p.page_id, 'a' || CASE WHEN list_contains(e, 'flag-r') THEN '<r' || CASE WHEN list_contains(e, '_bulk') THEN '' ELSE 'small' END || '>' ELSE '' END
-      || 'b' || CASE WHEN list_has_any(e, ['flag-a', 'flag-n']) THEN 'an' ELSE '' END || 'c' AS source_text
-      FROM (SELECT p.page_id, coalesce(l.every, CAST([] AS VARCHAR[])) AS e FROM w_pages p LEFT JOIN w_lists l USING (page_id) WHERE p.page_id < 3000) p"""),
-)
-def iftags_expansion(spark, folder: str) -> DataFrame:
-    wiki = Wiki(spark, folder)
-    return _expanded(wiki, wiki.pages().filter("page_id < 3000"))
-
-
-@query(
-    "it_source_expansion_all",
     sql(PAGES, TAGS, body="""SELECT p.page_id, 'a' || CASE WHEN list_contains(e, 'flag-r') THEN '<r' || CASE WHEN list_contains(e, '_bulk') THEN '' ELSE 'small' END || '>' ELSE '' END
       || 'b' || CASE WHEN list_has_any(e, ['flag-a', 'flag-n']) THEN 'an' ELSE '' END || 'c' AS source_text
       FROM (SELECT p.page_id, coalesce(l.every, CAST([] AS VARCHAR[])) AS e FROM w_pages p LEFT JOIN w_lists l USING (page_id)) p"""),
 )
-def iftags_expansion_all(spark, folder: str) -> DataFrame:
+def iftags_expansion(spark, folder: str) -> DataFrame:
     """The conditions of every page."""
     wiki = Wiki(spark, folder)
     return _expanded(wiki, wiki.pages())

@@ -8,7 +8,7 @@ PAGES = """w_pages AS (
       ELSE 'Order ' || o_orderkey END AS title,
     o_orderdate AS created_at, o_orderdate + to_days(CAST(o_orderkey % 90 AS INTEGER)) AS updated_at,
     CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) END AS commented_at,
-    o_custkey AS owner_id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 8 END AS parent_id,
+    o_custkey AS owner_id, o_custkey + o_orderkey % 2 AS editor_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + o_orderkey % 5 END AS commenter_id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 8 END AS parent_id,
     CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderkey % 5 AS comments, o_orderkey % 11 AS revisions, o_orderpriority AS priority
   FROM orders)"""
 TAGS = """w_tags AS (
@@ -30,6 +30,10 @@ AXES = """w_axes(axis_key, label, allow_up, allow_neutral, allow_down, can_vote,
   ('click', 'Clarity', true, true, true, true, true, true, true), ('purchase', 'Value', true, false, false, true, false, true, true),
   ('error', 'Faults', false, true, true, true, true, true, false), ('view', 'Reach', true, true, false, false, true, true, true),
   ('signup', 'Growth', true, true, true, true, true, false, true))"""
+ALLOWED = "CASE WHEN rate > 0 THEN allow_up WHEN rate < 0 THEN allow_down ELSE allow_neutral END"
+ALLOWED_VOTES = f"""w_open AS (
+  SELECT * EXCLUDE (place) FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, page_id, axis_key ORDER BY ts DESC, vote_id DESC) AS place
+    FROM w_events e JOIN w_axes USING (axis_key) WHERE enabled AND can_vote AND {ALLOWED}) WHERE place = 1)"""
 LINKS = """w_hrefs AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1, 'i') AS h FROM pages),
 w_links AS (SELECT page_id, CAST(unnest(range(len(h))) AS INTEGER) AS ord, unnest(h) AS target FROM w_hrefs)"""
 TEXTS = """w_labels AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),

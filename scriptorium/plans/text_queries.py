@@ -23,9 +23,19 @@ def _condition(name: str, condition: str, rule: str) -> None:
 
 _condition("it_required_forbidden", "+good -_toxic", "list_contains(tags, 'good') AND NOT list_contains(tags, '_toxic')")
 _condition("it_any", "de fr -good", "list_has_any(tags, ['de', 'fr']) AND NOT list_contains(tags, 'good')")
-_condition("it_bare_plus", "+ en", "false")
-_condition("it_bare_minus", "-", "true")
-_condition("it_nothing", "", "false")
+def _undecided(name: str, condition: str, rule: str) -> None:
+    """A condition over texts of which a third have no tag list yet: null there."""
+
+    @query(name, sql(TEXTS, body=f"SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN {rule} END AS shown FROM w_texts"))
+    def run(spark, folder: str) -> DataFrame:
+        tags = F.when(F.col("page_id") % 3 != 0, F.col("tags"))
+        return Wiki(spark, folder).texts().select("page_id", TagCondition(condition).predicate(tags).alias("shown"))
+
+
+_undecided("it_bare_plus", "+ en", "false")
+_undecided("it_bare_minus", "-", "true")
+_undecided("it_nothing", "", "false")
+_undecided("it_minus_and_bare", "- en", "list_contains(tags, 'en')")
 
 
 @query("it_rendered", sql(TEXTS, body="SELECT page_id, list_contains(tags, 'good') AS shown FROM w_texts"))
@@ -35,19 +45,12 @@ def rendered_condition(spark, folder: str) -> DataFrame:
 
 
 def _math(name: str, source: str, rule: str) -> None:
-    """Two queries: ``name`` over every fifth order, as its SQL says, and ``name``_all over every row of lineitem."""
-
-    def values(lines: DataFrame) -> DataFrame:
-        value = expression(source, quantity=F.col("l_quantity"), price=F.col("l_extendedprice"), discount=F.col("l_discount"), tax=F.col("l_tax"), line=F.col("l_linenumber"))
-        return lines.select("l_orderkey", "l_linenumber", value.alias("value"))
+    """An expression over every row of lineitem."""
 
-    @query(name, f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem WHERE l_orderkey % 5 = 0")
+    @query(name, f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem")
     def run(spark, folder: str) -> DataFrame:
-        return values(Wiki(spark, folder).table("lineitem").filter("l_orderkey % 5 = 0"))
-
-    @query(f"{name}_all", f"SELECT l_orderkey, l_linenumber, {rule} AS value FROM lineitem")
-    def run_all(spark, folder: str) -> DataFrame:
-        return values(Wiki(spark, folder).table("lineitem"))
+        value = expression(source, quantity=F.col("l_quantity"), price=F.col("l_extendedprice"), discount=F.col("l_discount"), tax=F.col("l_tax"), line=F.col("l_linenumber"))
+        return Wiki(spark, folder).table("lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
 
 
 _math("mx_arithmetic", "price * (1 - discount) + quantity % 7 - -line", "l_extendedprice * (1 - l_discount) + l_quantity % 7 + l_linenumber")
@@ -57,7 +60,8 @@ _math("mx_division_by_zero", "quantity / (line - 2)", "CASE WHEN l_linenumber <>
 _math("mx_functions", "min(4, line, quantity) + max(line, 3) + abs(-line) + floor(price / 7) + ceil(tax * 10)", "least(4.0, l_linenumber, l_quantity) + greatest(l_linenumber, 3.0) + l_linenumber + floor(l_extendedprice / 7) + ceil(l_tax * 10)")
 _math("mx_round_half_up", "round(0 - line - 0.5) + round(line + 0.5)", "floor(-l_linenumber - 0.5 + 0.5) + floor(l_linenumber + 1.0)")
 _math("mx_constants", "true + false + (line <> 1) + (line != 2) + !line", "1.0 + CASE WHEN l_linenumber <> 1 THEN 1.0 ELSE 0.0 END + CASE WHEN l_linenumber <> 2 THEN 1.0 ELSE 0.0 END")
-_math("mx_roots", "sqrt(quantity) * 0 + floor(log(pow(10, line)) + 0.5) + floor(ln(exp(line)) + 0.5)", "2.0 * l_linenumber")
+_math("mx_roots", "floor(sqrt(quantity) * 1000 + 0.5) + floor(log(pow(10, line)) + 0.5) + floor(ln(exp(line)) + 0.5)", "floor(sqrt(l_quantity) * 1000 + 0.5) + 2.0 * l_linenumber")
+_math("mx_circular", "floor(sin(line) * 1000 + 0.5) + floor(cos(quantity) * 1000 + 0.5) / 7 + floor(tan(line) * 100 + 0.5)", "floor(sin(l_linenumber) * 1000 + 0.5) + floor(cos(l_quantity) * 1000 + 0.5) / 7 + floor(tan(l_linenumber) * 100 + 0.5)")
 
 
 @query("mx_truth", "SELECT event_id, NOT (lower(trim(t)) IN ('false', 'null', '', '0')) AS truth FROM (SELECT event_id, [' False ', '0', 'yes', '', 'NULL', '00', event_type][event_id % 7 + 1] AS t FROM events)")
@@ -77,15 +81,17 @@ def graphemes(spark, folder: str) -> DataFrame:
     return docs.select("doc_id", text.grapheme_count(F.col("text")).cast("long").alias("graphemes"), text.grapheme_prefix(F.col("text"), 200).alias("preview"))
 
 
-@query("st_excerpt", r"SELECT doc_id, coalesce(regexp_extract_all(text, '(?i)\b(the\s+(\w+))', 2)[2], '') AS excerpt FROM documents WHERE lang = 'en'")
+@query("st_excerpt", r"SELECT doc_id, coalesce(regexp_extract_all(text, '(?i)\b(the\s+(\w+))', 2)[2], '') AS excerpt FROM documents")
 def excerpts(spark, folder: str) -> DataFrame:
-    docs = Wiki(spark, folder).table("documents").filter("lang = 'en'")
+    docs = Wiki(spark, folder).table("documents")
     return docs.select("doc_id", text.excerpt(F.col("text"), r"\b(the\s+(\w+))", "i", group=2, match=2).alias("excerpt"))
 
 
-@query("st_excerpt_refused", "SELECT doc_id, '' AS excerpt FROM documents")
+@query("st_excerpt_refused", r"SELECT doc_id, '' AS refused, coalesce(regexp_extract(text, '[a-z]+'), '') AS taken FROM documents")
 def refused_excerpts(spark, folder: str) -> DataFrame:
-    return Wiki(spark, folder).table("documents").select("doc_id", text.excerpt(F.col("text"), r"(?=the)(.)\1").alias("excerpt"))
+    """A pattern that looks around gives nothing, a plain one its match."""
+    docs = Wiki(spark, folder).table("documents")
+    return docs.select("doc_id", text.excerpt(F.col("text"), r"(?=the)(.)\1").alias("refused"), text.excerpt(F.col("text"), "[a-z]+").alias("taken"))
 
 
 @query("st_page_slug", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9:_-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
@@ -123,9 +129,13 @@ def normalized(spark, folder: str) -> DataFrame:
     return Wiki(spark, folder).table("documents").select("doc_id", F.sha2(text.normalized_space(F.col("text")), 256).alias("digest"))
 
 
-@query("st_first_paragraph", "SELECT doc_id, string_split(text, chr(10))[1] AS first_line, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS utf16 FROM documents")
+@query(
+    "st_first_paragraph",
+    r"""SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], '') AS paragraph,
+      length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS utf16 FROM documents""",
+)
 def first_paragraph(spark, folder: str) -> DataFrame:
-    return Wiki(spark, folder).table("documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("first_line"), text.utf16_length(F.col("text")).cast("long").alias("utf16"))
+    return Wiki(spark, folder).table("documents").select("doc_id", text.first_paragraph(F.col("text")).alias("paragraph"), text.utf16_length(F.col("text")).cast("long").alias("utf16"))
 
 
 @query("da_iso_strftime", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(o_orderdate, '%a %d %B %Y, week day %w, day %j, %I:%M %p') || ' UTC +0000 100%' AS text FROM orders""")

@@ -53,22 +53,56 @@ class Wiki:
             (F.col("o_orderdate") + F.make_dt_interval(days=key % 90)).alias("updated_at"),
             F.when(key % 3 != 0, F.col("o_orderdate") + F.make_dt_interval(days=key % 30)).alias("commented_at"),
             F.col("o_custkey").alias("owner_id"),
+            (F.col("o_custkey") + key % 2).alias("editor_id"),
+            F.when(key % 3 != 0, F.col("o_custkey") + key % 5).alias("commenter_id"),
             F.when(key > 0, F.floor(key / 8)).alias("parent_id"),
             F.floor("o_totalprice").alias("size"),
             (key % 5).alias("comments"),
             (key % 11).alias("revisions"),
             F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("form_data"),
+            F.create_map(F.lit("priority"), F.substring_index("o_orderpriority", "-", 1)).alias("form_raw"),
+            F.create_map(F.lit("priority"), F.lit("Priority")).alias("form_label"),
+            F.create_map(F.lit("priority"), F.concat(F.lit("of order "), key.cast("string"))).alias("form_hint"),
         )
 
-    def page_tags(self) -> DataFrame:
+    def metadata(self) -> DataFrame:
+        """(page_id, metadata): values under registered keys, each with its type and the user that it names, if any."""
+        kinds = {"kind": "string", "text": "string", "number": "double", "date": "timestamp", "user_id": "bigint"}
+
+        def entry(kind: str, **given: Column) -> Column:
+            return F.struct(*[(F.lit(kind) if k == "kind" else given.get(k, F.lit(None))).cast(t).alias(k) for k, t in kinds.items()])
+
+        rows = {
+            "priority": entry("text", text=F.col("o_orderpriority")),
+            "price": entry("number", number=F.col("o_totalprice")),
+            "due": entry("date", date=F.col("o_orderdate") + F.make_dt_interval(days=F.lit(30))),
+            "buyer": entry("user", user_id=F.col("o_custkey")),
+        }
+        return self.table("orders").select(F.col("o_orderkey").alias("page_id"), F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), v)]).alias("metadata"))
+
+    @property
+    def metadata_keys(self) -> tuple[str, ...]:
+        """The registered keys."""
+        return ("priority", "price", "due", "buyer")
+
+    def contents(self) -> DataFrame:
+        """(page_id, content): sources of the pages that have one."""
+        return self.table("documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
+
+    def _tag_rows(self) -> DataFrame:
+        """Tags as often as the table has them: sets are made where they are gathered."""
         bulk = F.when(F.col("l_quantity") >= 49, F.lit("_bulk"))
         found = F.array(F.concat(F.lit("flag-"), F.lower("l_returnflag")), F.concat(F.lit("status-"), F.lower("l_linestatus")), bulk)
         rows = self.table("lineitem").select(F.col("l_orderkey").alias("page_id"), F.explode(F.array_compact(found)).alias("tag"))
-        return rows.distinct()
+        return rows
+
+    def page_tags(self) -> DataFrame:
+        """Each tag of each page once."""
+        return self._tag_rows().distinct()
 
     def tag_lists(self) -> DataFrame:
         """Visible and hidden tags of each tagged page, sorted; hidden tags begin with an underscore."""
-        lists = self.page_tags().groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
+        lists = self._tag_rows().groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
         return lists.select("page_id", F.filter("all", lambda t: ~t.startswith("_")).alias("tags"), F.filter("all", lambda t: t.startswith("_")).alias("hidden_tags"))
 
     def users(self) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text
 from scriptorium.functions.dates import strftime
 from scriptorium.functions.expressions import ExpressionError, expression
-from scriptorium.functions.selectors import TagCondition, category_predicate, date_predicate, number_predicate, tags_predicate
-from scriptorium.operators.listing import Template, bound_query, pager_pages, pager_url, parse_order, url_parameters
+from scriptorium.functions.selectors import TagCondition, category_predicate, date_predicate, number_predicate, parent_name, tags_predicate
+from scriptorium.operators.aggregates import cloud_limit
+from scriptorium.operators.listing import Host, PageQuery, Template, bound_query, pager_neighbours, pager_pages, pager_parameters, pager_url, parse_order, url_parameters
 
 
 def value(spark, column):
@@ -18,7 +19,7 @@ def value(spark, column):
 
 @pytest.mark.parametrize(
     ("source", "result"),
-    [("2+2", 4), ("-2^2", 4), ("2^3^2", 512), ("1/0", None), ("min(4, 1, -4, 6, -10)", -10), ("round(-2.5)", -2), ("7 % -3", 1), ("1 < 2 and not 0", 1), (".5 + 1.", 1.5), ("sqrt(-1)", None), ("pow(10, 400)", None)],
+    [("3*5-1", 14), ("-2^2", 4), ("2^3^2", 512), ("7/(2-2)", None), ("min(8, 2.5, 31)", 2.5), ("round(-2.5)", -2), ("7 % -3", 1), ("1 < 2 and not 0", 1), (".5 + 1.", 1.5), ("sqrt(-1)", None), ("pow(10, 400)", None)],
 )
 def test_expressions(spark, source, result):
     assert value(spark, expression(source)) == result
@@ -86,10 +87,14 @@ def test_orders_and_paths():
     assert parse_order("titleAsc") == ("title", False) and parse_order("rating") == ("rating", True)
     assert parse_order("name asc") == ("created_at", True) and parse_order("pagelength asc") == ("size", False)
     assert url_parameters("/start/tag/a%20b/p/2?x/y") == {"tag": "a b", "p": "2"}
+    assert url_parameters("/category/o/tags/x") == {"category": "o", "tags": "x"} and url_parameters("/") == {}
     query = bound_query({"tags": "@URL|x", "perPage": "7x", "_f": "v", "reverse": "yes"}, "/start/tags/a")
     assert (query.tags, query.per_page, query.form, query.reverse) == ("a", 7, {"f": "v"}, True)
     assert pager_pages(1, 1) == [] and pager_pages(5, 9) == [1, 3, 4, 5, 6, 7, 9]
     assert pager_url("/start/p/2/tag/x?q=1", "p", 3) == "/start/tag/x/p/3?q=1"
+    assert pager_url("/", "p", 2) == "/p/2" and pager_url("/start#top", "p", 2) == "/start/p/2#top"
+    assert pager_parameters(["", "left", "", ""]) == ["p", "left_p", "p2", "p3"]
+    assert [pager_neighbours(n, 3) for n in (1, 2, 3, 9)] == [(None, 2), (1, 3), (2, None), (None, None)]
 
 
 def test_template(spark):
@@ -97,3 +102,28 @@ def test_template(spark):
     found = row.select(Template("%%title_linked%% %%created_at|%d.%m.%Y%% %%nope%%%%title").column().alias("t")).first()["t"]
     assert found == "[[[cat:a | A]]] 05.03.2024 %%title"
     assert value(spark, strftime(F.lit(datetime(2024, 1, 2, 15, 4)), "%I:%M %p %j %q")) == "03:04 PM 002 %q"
+
+
+@pytest.mark.parametrize("selector", ["+3", "3.", ".5", "> +3", "=>3", "three", ""])
+def test_numbers_that_are_no_selector(spark, selector):
+    assert number_predicate(selector, F.lit(1)) is None
+
+
+def test_dates_that_are_no_selector(spark):
+    now = datetime(2020, 5, 1)
+    for text_ in ("last year", "last 0 days", "last two weeks", "2020.13", "202", "> 2020-1-1", ">> 2020-01-01", "> 2020-02-30", "", None):
+        assert date_predicate(text_, F.lit(now), now) is None
+
+
+def test_names_and_limits():
+    assert [parent_name(x) for x in ("o:page", " - ", "=", "-=", ".", None)] == ["o:page", None, None, None, None, None]
+    assert [cloud_limit(x) for x in ("12", "0", "-3", "4.5", None, "9" * 30)] == [12, 50, 50, 50, 50, 50]
+    assert parse_order("metadata{due} ASC") == ("metadata.due", False) and parse_order("metadata{due}") == ("metadata.due", True)
+
+
+def test_host_refuses_what_it_does_not_have():
+    host = Host()
+    assert host.accepted(PageQuery(category="*", limit=99)).limit == 20 and host.accepted(PageQuery(limit=-4)).limit == 0
+    for query in (PageQuery(rating=">1"), PageQuery(order="random"), PageQuery(parent="-")):
+        with pytest.raises(ValueError, match="support"):
+            host.accepted(query)

@@ -23,6 +23,29 @@ def test_includes(spark):
     assert found[5]["too_long"] and found[5]["source_text"] == "[[include big]]"
 
 
+def test_include_trace_and_selection(spark):
+    texts = spark.createDataFrame([(1, "a", "[[include one]]\n[[include :far:one]]\n[[include two]]"), (2, "b", "none")], "page_id long, fullname string, source_text string")
+    library = spark.createDataFrame([("one", "1\n[[include two]]"), ("two", "2")], "page string, content string")
+    found = {r["page_id"]: r for r in aggregates.expand_includes(texts, library, materialize=here, trace=True).collect()}
+    assert [(x["round"], x["ord"], x["page"]) for x in found[1]["included"]] == [(1, 0, "one"), (1, 1, "one"), (1, 2, "two"), (2, 0, "two")]
+    assert found[1]["source_text"].startswith("1\n2\n[[div") and found[1]["source_text"].endswith("\n2") and found[2]["included"] == []
+    only = aggregates.expand_includes(texts, library, materialize=here, only=["two"]).filter("page_id = 1").first()
+    assert only["source_text"] == "[[include one]]\n[[include :far:one]]\n2"
+
+
+def test_undecided_conditions_stay(spark):
+    texts = spark.createDataFrame([(1, None, "[[iftags a]]A[[/iftags]]"), (2, ["a"], "[[iftags a]]A[[/iftags]]")], "page_id long, tags array<string>, source_text string")
+    assert {r["page_id"]: r["source_text"] for r in aggregates.expand_iftags(texts, materialize=here).collect()} == {1: "[[iftags a]]A[[/iftags]]", 2: "A"}
+
+
+def test_listings_without_what_they_sort_or_rate_by(spark, folder):
+    """An unregistered key to sort by, an axis that is unknown or hidden: no result, and no other order instead."""
+    wiki = Wiki(spark, folder)
+    for query in (PageQuery(category="*", order="metadata{nothing}"), PageQuery(category="*", rating_axis="nothing"), PageQuery(category="*", rating_axis="error")):
+        assert Listing(wiki, query).page().count() == 0
+    assert Listing(wiki, PageQuery(category="*", rating_axis="click")).page().count() == 20
+
+
 def test_endless_include_stops(spark):
     texts = spark.createDataFrame([(1, "a", "[[include loop]]")], "page_id long, fullname string, source_text string")
     library = spark.createDataFrame([("loop", ".\n[[include loop]]")], "page string, content string")
