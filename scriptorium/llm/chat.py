@@ -5,10 +5,11 @@ text apart again.
 Inside texts the template's control strings are escaped by a backslash and a letter, and backslashes are
 doubled, so reading back gives every text unchanged, control strings included.
 
-Nulls: a null text or role counts as empty, rows with a null conv_id form one conversation. Repeated rows
-are turns of their own; turns of the same number stand in order of role and text. A conversation whose
-roles break the order is formatted all the same, with valid = false and the first wrong turn's place.
-Extra columns are ignored. An empty table gives no rows.
+Nulls: a null text or role counts as empty, rows with a null conv_id form one conversation; a null turn stands first.
+Repeated rows are turns of their own; turns of the same number stand in order of role and text. Very long texts are
+formatted whole: a conversation is one value of the output, so it must fit a row, however many turns it has. A conversation
+whose roles break the order is formatted all the same, with valid = false and the first wrong turn's place.
+Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,10 +112,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    done = format_conversations(turns.unionByName(extra), template)
-    back = done.withColumn("turns", read_formatted(F.col("formatted"), template)).withColumn(
-        "learned", F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["text"])), "")
-    )
+    done = format_conversations(turns.unionByName(extra), template).select("conv_id", "segments", "valid", "bad_turn")
+    # All that follows is read from the one output, the segments: the text they make, and the part under their loss flags.
+    text = F.array_join(F.transform("segments", lambda s: s["text"]), "")
+    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["text"]))
+    back = done.withColumn("formatted", text).withColumns({"turns": read_formatted(F.col("formatted"), template), "learned": F.array_join(masked, "")})
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -126,3 +128,27 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("bad_turn").cast("long").alias("bad_turn"),
     )
 
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(n)
+), e AS (
+  SELECT *, CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS code,
+    replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS escaped,
+    CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+      ELSE 'Role ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') END AS name
+  FROM c
+), a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+    sum(len('### ' || name || ': ' || escaped || '</turn>' || chr(10))) AS chars, string_agg(code, '' ORDER BY turn NULLS FIRST, role, text) AS codes
+  FROM e GROUP BY conv_id
+), v AS (
+  SELECT *, len(regexp_extract(codes, '^s?(?:ua)*u?')) AS good FROM a
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+  good = n_turns AS valid, CASE WHEN good < n_turns THEN good END AS bad_turn
+FROM v
+"""

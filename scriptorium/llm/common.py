@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
@@ -15,29 +20,115 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Only a session in one process may go without the setting and then has a temporary folder; on a cluster each
+    executor would write to a disk of its own, so the setting is asked for.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("scriptorium.scratch.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("scriptorium.scratch.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("scriptorium.scratch.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptorium/{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that a run of an operator writes to the shared folder: they cut lineage and survive lost executors.
+
+    The end of the ``with`` block deletes all but the kept ones, which the operator's result still reads; those go
+    when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[t for t, _ in self.tables])
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _written(self, df: DataFrame, rows: int | None, options: dict[str, str]) -> tuple[DataFrame, str]:
+        path = f"{shared_dir(self.spark)}/scriptorium/{uuid.uuid4().hex}"
+        with arrow_batches(self.spark, rows):
+            df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def write(self, df: DataFrame, rows: int | None = None, **options: str) -> DataFrame:
+        """A table for this run alone; ``rows``: at most so many rows in the Arrow batches on the way."""
+        self.tables.append(self._written(df, rows, options))
+        return self.tables[-1][0]
+
+    def keep(self, df: DataFrame, rows: int | None = None, **options: str) -> DataFrame:
+        """A table that the result reads after this run."""
+        table, path = self._written(df, rows, options)
+        fs, at = self._fs(path)
+        fs.deleteOnExit(at)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose last reader is done."""
+        for table in tables:
+            n = next(n for n, (t, _) in enumerate(self.tables) if t is table)
+            fs, at = self._fs(self.tables.pop(n)[1])
+            fs.delete(at, True)
+
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Bound the Arrow batches of jobs that run inside the block; the session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the Arrow batches that carry whole texts: rows and bytes in a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows: texts become Python objects a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of the taken ones equals in Spark's eyes (letter case doesn't tell names apart)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+_held: list[Callable[[], None]] = []
+
+
+def hold(drop: Callable[[], None]) -> None:
+    """Remember how to drop what the running operator keeps in this worker between its partitions."""
+    if drop not in _held:
+        release_memory()
+        _held.append(drop)
+
+
+def release_memory() -> None:
+    """Drop what another operator has kept in this worker and give freed memory back to the system.
+
+    Spark uses a Python worker again for later stages, so every operator calls this at the start of a partition.
+    """
+    while _held:
+        _held.pop()()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -51,18 +142,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+#: Powers for texts up to so many bytes stay in a worker (two tables of 16 MB); longer ones are made when needed.
+_KEPT_POWERS = 1 << 21
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd hash base and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[name] = np.cumprod(table)
-    return _POWERS["up"], _POWERS["down"]
+    up, down = _POWERS.get("up", ()), _POWERS.get("down", ())
+    if len(up) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        if size <= _KEPT_POWERS:
+            _POWERS.update(up=up, down=down)
+    return up, down
 
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

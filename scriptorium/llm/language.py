@@ -11,8 +11,9 @@ averages these: the same result without the embeddings in between.
 
 Nulls: a null text or one without a letter gets 'und', score 0, and is rejected. Rows with a null lang are
 predicted but never learned from; a null doc_id is predicted, never learned from and not held out.
-Repeated rows are rows of their own. Very long texts are read whole. Extra columns are ignored. Without
-a labelled row every text gets 'und'. An empty table gives no rows.
+Repeated rows are rows of their own, but learned from once. Very long texts are read whole. Extra columns pass through,
+but for those named as the results are, which are replaced. Of languages with equal scores the first by name is predicted.
+Without a labelled row every text gets 'und'. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches
+from scriptorium.llm.common import arrow_batches, parts, release_memory
 
 #: Subword lengths in bytes, buckets for each, and the embedding's width.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 14, 16
@@ -156,34 +158,47 @@ def learnable() -> str:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Fit on the ``sample`` learnable rows of smallest hashed id; only their bucket counts come to the driver."""
-    mine = docs.filter(learnable()).select("doc_id", "text", "lang").withColumn("place", F.xxhash64("doc_id"))
-    last = mine.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    if last is None:
-        return fit([])
+    """Fit on at most ``sample`` learnable rows; only their bucket counts come to the driver.
+
+    Each language gives as many rows as any other while it has them, those of smallest hashed id, so that a rare
+    language is learned too.
+    """
+    mine = docs.filter(learnable()).select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("tie"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie"))
+    chosen = mine.select("lang", "place", "tie", turn.alias("turn")).filter(F.col("turn") <= sample).orderBy("turn", "place", "lang", "tie").limit(sample)
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         for pdf in batches:
             pdf = pdf[[has_letter(x) for x in pdf["text"]]]
             found = [counts(x) for x in pdf["text"]]
             yield pd.DataFrame({"place": pdf["place"], "lang": pdf["lang"], "at": [a.tobytes() for a, _ in found], "share": [s.tobytes() for _, s in found]})
 
-    rows = mine.filter(F.col("place") <= last).select("place", "lang", "text").mapInPandas(shares, "place long, lang string, at binary, share binary").collect()
-    rows = sorted(rows, key=lambda r: (r["place"], r["at"], r["lang"]))[:sample]
+    # Broadcast: at most ``sample`` rows of three values.
+    texts = mine.join(F.broadcast(chosen.select("lang", "place", "tie").distinct()), ["lang", "place", "tie"], "left_semi")
+    with arrow_batches(docs.sparkSession, 1024):
+        rows = texts.dropDuplicates(["lang", "place", "tie"]).select("place", "lang", "text").mapInPandas(shares, "place long, lang string, at binary, share binary").collect()
+    rows = sorted(rows, key=lambda r: (r["place"], r["at"], r["lang"]))
     return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["lang"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The input's columns with lang_pred, score and rejected. The model (buckets x languages) is small whatever the input."""
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            langs, scores, rejected = model.predict([x if isinstance(x, str) else None for x in pdf["text"]])
-            yield pdf.assign(lang_pred=langs, score=np.array(scores, float), rejected=np.array(rejected, bool))
-
-    small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean"
-    return docs.mapInPandas(predict, schema)
+    """The input's columns with lang_pred, score and rejected; columns of these names in the input are replaced.
+
+    The model (buckets x languages) is small whatever the input.
+    """
+    added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in added])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for batch in parts(batches):
+            langs, scores, rejected = model.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(map(" ".join, added.items()))
+    return kept.mapInArrow(predict, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

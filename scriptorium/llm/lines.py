@@ -1,16 +1,17 @@
 """Substring dedup by hashing units: whole lines, and chains of short pieces cut by their content.
 
-Words are normalised (UTF-8, A-Z lower-cased, white space between words ignored) and hashed. A text is cut into
-pieces after words whose hash is the least of five neighbours, with words before punctuation coming first, so a
-passage is cut alike wherever it stands, but for a few words at its edges. Pieces have 3 to 16 words, 18 at an edge;
-each chain of CHAIN pieces is a unit, and so is each line of ``short`` words. Over all documents the earliest occurrence of
-a digest, by doc_id and place, is kept. Elsewhere the unit is a repeat; a repeated line is removed, and a run of repeated
-words once it has ``least_words``, so a passage goes also where it stands in the middle of a line. The rest keeps
-its offsets in the original text.
+Words are normalised (UTF-8, A-Z lower-cased, white space between words ignored) and hashed. Each line is a unit. A passage
+also stands in the middle of longer lines, so a text is cut into pieces as well, after words that are the least of five
+neighbours: words before punctuation come first, else the order is that of their first bytes, so a passage is cut
+alike wherever it stands, but for a few words at its edges. Pieces have 3 to 16 words, 18 at an edge, and each chain of CHAIN
+pieces is a unit. Over all documents the earliest occurrence of a digest, by doc_id and place, is kept; every later one is
+removed. The rest keeps its offsets in the original text. ``short`` (words of a line) and ``least_words`` (words of a run of
+repeats that isn't a whole line) can spare short repeats; by default none is spared.
 
 Nulls: a null text stays null and has nothing removed; a null doc_id ranks after all others. Rows of
-the same doc_id rank by text; equal rows are one occurrence and stay alike. Empty texts stay. Very long texts
-are read whole. Further columns pass through. An empty table gives no rows.
+the same doc_id rank by a hash of their text; equal rows are one occurrence and stay alike. Texts without words stay. Very
+long texts are read whole. Further columns pass through, but one named ``removed``, which is replaced. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -18,27 +19,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, small_batches, span_hashes, written
+from scriptorium.llm.common import Scratch, free_name, mix64, parts, release_memory, span_hashes
 from scriptorium.llm.minhash import _LOWER, _SPACE
 
-#: A run of repeats goes from 25 words on, a repeated line from 3 words on; pieces to a unit, most words of a piece.
-LEAST_WORDS, SHORT = 25, 3
+#: Least words of a run of repeats and of a repeated line that go; pieces to a unit, most words of a piece, neighbours of a cut.
+LEAST_WORDS, SHORT = 1, 1
 CHAIN, LONGEST, NEAR = 3, 16, 2
 _STOPS = np.isin(np.arange(256), list(b".!?,;:"))
 _LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(words: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """First words of the pieces of a text of hashed words. A cut depends on NEAR words before it and NEAR + 1 after."""
-    n = len(words)
-    rank = mix64(words + np.append(words[1:], np.uint64(0)) * np.uint64(3)) >> np.uint64(1)
-    rank[~stops] |= np.uint64(1 << 63)
+def word_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order of words for cuts: those that end in punctuation first, then by their first seven bytes."""
+    rank = (~_STOPS[data[ends - 1]]).astype(np.uint64)
+    for k in range(7):
+        at = starts + k
+        rank = rank << np.uint64(8) | np.where(at < ends, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64)
+    return rank
+
+
+def pieces(rank: np.ndarray) -> np.ndarray:
+    """First words of the pieces of a text of ranked words. A cut depends on NEAR words before it and as many after."""
+    n = len(rank)
     wide = np.concatenate([np.full(NEAR, ~np.uint64(0)), rank, np.full(NEAR, ~np.uint64(0))])
     least = np.ones(n, bool)
     for d in range(1, NEAR + 1):
@@ -66,8 +73,9 @@ def units(text: bytes, short: int = SHORT) -> tuple[np.ndarray, ...]:
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return (np.zeros(0, np.int64),) * 5
-    words = span_hashes(_LOWER[data], starts, ends)
-    first = pieces(words, _STOPS[data[ends - 1]])
+    low = _LOWER[data]
+    words = span_hashes(low, starts, ends)
+    first = pieces(word_ranks(low, starts, ends))
     own = _digests(words, first)
     chain = min(CHAIN, len(first))
     count = len(first) - chain + 1
@@ -87,12 +95,12 @@ def units(text: bytes, short: int = SHORT) -> tuple[np.ndarray, ...]:
 
 def _unit_rows(short: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kid, tie, texts = (batch.column(c).to_pylist() for c in ("kid", "tie", "text"))
+        release_memory()
+        for batch in parts(batches):
             found = []
-            for k, t, text in zip(kid, tie, texts):
-                place, digest, *_ = units((text or "").encode(), short)
-                found.append((np.full(len(place), k, np.int64), np.full(len(place), t, np.int32), place.astype(np.int32), digest))
+            for k, t, text in zip(*(batch.column(c).to_pylist() for c in ("kid", "tie", "text"))):
+                place, digest, *_ = units(text.encode(), short)
+                found.append((np.full(len(place), k, np.int64), np.full(len(place), t, np.int64), place.astype(np.int32), digest))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["kid", "tie", "place", "digest"])
 
@@ -122,47 +130,101 @@ def repeated_spans(text: bytes, repeats: np.ndarray, least_words: int, short: in
     return [(int(nexts[a]), int(nexts[b])) for a, b in zip(*runs(gone))]
 
 
-def _without_repeats(least_words: int, short: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, spans = [], []
-            for text, places in zip(pdf["text"], pdf["places"]):
-                found = []
-                if isinstance(text, str) and places is not None and len(places):
-                    raw = text.encode()
-                    found = repeated_spans(raw, np.asarray(places, np.int64), least_words, short)
-                    at, parts = 0, []
-                    for a, b in found:
-                        parts.append(raw[at:a])
-                        at = b
-                    text = b"".join([*parts, raw[at:]]).decode() if found else text
-                texts.append(text)
+def _without_repeats(text_at: int, least_words: int, short: int):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            *columns, places = batch.columns
+            texts, spans = columns[text_at].to_pylist(), []
+            for n, found in enumerate(places.to_pylist()):
+                found = repeated_spans(raw := texts[n].encode(), np.array(found, np.int64), least_words, short) if found else []
+                if found:
+                    edges = [0, *(x for span in found for x in span), len(raw)]
+                    texts[n] = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])).decode()
                 spans.append([{"start": a, "length": b - a} for a, b in found])
-            yield pdf.drop(columns="places").assign(text=texts, removed=spans)
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*batch.schema.names[:-1], "removed"])
 
     return cut
 
 
 def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, short: int = SHORT) -> DataFrame:
     """The input's rows with their texts' repeats removed, and ``removed``: byte spans of the original text."""
-    small_batches(docs.sparkSession)
-    keyed = docs.withColumns({"__kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tie": F.hash("text")})
-    found = written(
-        keyed.filter("text is not null").select(F.col("__kid").alias("kid"), F.col("__tie").alias("tie"), "text")
-        .mapInArrow(_unit_rows(short), "kid long, tie int, place int, digest long")
-    )
+    names = [c for c in docs.columns if c.lower() != "removed"]
+    kid, tie, places = (free_name(x, names) for x in ("kid", "tie", "places"))
+    keyed = docs.select(*[f"`{c}`" for c in names]).withColumns({
+        kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), tie: F.xxhash64(F.col("text"), F.col("doc_id").isNull())
+    })
     where = F.struct("kid", "tie", "place")
-    firsts = written(found.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("digest", "first"))
-    repeats = found.join(firsts, "digest").filter(where != F.col("first"))
-    places = repeats.groupBy(F.col("kid").alias("__kid"), F.col("tie").alias("__tie")).agg(F.collect_set("place").alias("places"))
-    joined = keyed.join(places, ["__kid", "__tie"], "left").select(*[f"`{c}`" for c in docs.columns], "places")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed array<struct<start:long,length:long>>"
-    return joined.mapInPandas(_without_repeats(least_words, short), schema)
+    with Scratch(docs.sparkSession) as scratch:
+        texts = keyed.filter("text is not null").select(F.col(kid).alias("kid"), F.col(tie).alias("tie"), "text")
+        found = scratch.write(texts.mapInArrow(_unit_rows(short), "kid long, tie long, place int, digest long"), rows=1024)
+        firsts = scratch.write(found.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("digest", "first"))
+        repeats = found.join(firsts, "digest").filter(where != F.col("first"))
+        gone = scratch.keep(repeats.groupBy(F.col("kid").alias(kid), F.col("tie").alias(tie)).agg(F.collect_set("place").alias(places)))
+    joined = keyed.join(gone, [kid, tie], "left").select(*[f"`{c}`" for c in names], f"`{places}`")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-1]) + ", removed array<struct<start:long,length:long>>"
+    return joined.mapInArrow(_without_repeats(names.index("text"), least_words, short), schema)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated passages: the text left, its size, and the spans removed."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_units(docs)
+    """All documents without repeated passages: the text left, how much is gone, and where it stood (start+length in bytes)."""
+    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_spans"), size.alias("n_removed"), "removed")
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))), ",")
+    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_spans"), size.alias("n_removed"), spans.alias("removed"))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT doc_id, text, coalesce(regexp_extract(text, '^[\x20\x09-\x0D]*'), '') AS head,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), []) AS tokens
+  FROM documents
+), u AS (
+  SELECT doc_id, head, len(tokens) AS n, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t
+), w AS (
+  SELECT *, translate(regexp_extract(token, '^[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word,
+    strlen(head) + coalesce(sum(strlen(token)) OVER before, 0) AS byte,
+    coalesce(sum(len(token) - len(replace(token, chr(10), ''))) OVER before, 0) AS line
+  FROM u WINDOW before AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), k AS (
+  SELECT *, CASE WHEN right(word, 1) IN ('.', '!', '?', ',', ';', ':') THEN '0' ELSE '1' END || substr(hex(word), 1, 14) AS rank FROM w
+), c AS (
+  SELECT *, i >= 2 AND n - i > 3 AND rank < lag(rank, 1, 'x') OVER d AND rank < lag(rank, 2, 'x') OVER d
+    AND rank <= lead(rank, 1, 'x') OVER d AND rank <= lead(rank, 2, 'x') OVER d AS cut
+  FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cuts FROM c
+), h AS (
+  SELECT *, i - min(i) OVER p AS j, greatest((count(*) OVER p - 3) // 16, 0) AS more FROM g WINDOW p AS (PARTITION BY doc_id, cuts)
+), p AS (
+  SELECT doc_id, cuts, least(j // 16, more) AS step, string_agg(word, ' ' ORDER BY i) AS body, min(i) AS a, max(i) + 1 AS b FROM h GROUP BY ALL
+), q AS (
+  SELECT doc_id, a, count(*) OVER (PARTITION BY doc_id) AS m, row_number() OVER o AS r,
+    body || coalesce(chr(10) || lead(body, 1) OVER o, '') || coalesce(chr(10) || lead(body, 2) OVER o, '') AS body,
+    coalesce(lead(b, 2) OVER o, lead(b, 1) OVER o, b) AS b
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+), units AS (
+  SELECT 'chain' AS kind, body, doc_id, 2 * a AS place, a, b FROM q WHERE r <= greatest(m - 2, 1)
+  UNION ALL
+  SELECT 'line', string_agg(word, ' ' ORDER BY i), doc_id, 2 * min(i) + 1, min(i), max(i) + 1 FROM w GROUP BY doc_id, line
+), again AS (
+  SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY kind, body ORDER BY doc_id NULLS LAST, place) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM again
+), s AS (
+  SELECT w.*, gone.i IS NOT NULL AS out, w.i - row_number() OVER (PARTITION BY w.doc_id, gone.i IS NOT NULL ORDER BY w.i) AS run
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i
+), spans AS (
+  SELECT doc_id, min(byte) AS start, sum(strlen(token)) AS length FROM s WHERE out GROUP BY doc_id, run
+), sums AS (
+  SELECT doc_id, count(*) AS n_spans, sum(length) AS n_removed, string_agg(CAST(start AS BIGINT) || '+' || CAST(length AS BIGINT), ',' ORDER BY start) AS removed
+  FROM spans GROUP BY doc_id
+), left_over AS (
+  SELECT doc_id, string_agg(token, '' ORDER BY i) FILTER (WHERE NOT out) AS kept FROM s GROUP BY doc_id
+)
+SELECT t.doc_id, CASE WHEN x.doc_id IS NULL THEN t.text ELSE t.head || coalesce(y.kept, '') END AS text,
+  coalesce(x.n_spans, 0) AS n_spans, CAST(coalesce(x.n_removed, 0) AS BIGINT) AS n_removed, coalesce(x.removed, '') AS removed
+FROM t LEFT JOIN sums x ON x.doc_id = t.doc_id LEFT JOIN left_over y ON y.doc_id = t.doc_id
+"""

@@ -8,9 +8,11 @@ one, so the document stops: large sets need a few steps only.
 
 Documents with equal sets form a class, and only its smallest id goes on. Bands of ROWS slots are bucket
 keys. In a bucket every member is compared with one leader (the document that meets the most others in
-all its buckets), never all with all; where members are then left in different components, they are compared across components after a check of their sketches, in
-cells of bounded size. Every link is confirmed on whole sets. Components come from
-alternating large and small stars over the links.
+all its buckets), never all with all. Where members are then left in different components, those outside the largest
+one meet the others in cells of bounded size: each pair in the first bucket that it shares, after a check of sketches (a
+byte for each slot), and not if the cell has joined the two components by then, so a cell gives fewer links than it has
+members. Every link is confirmed on whole sets. Components come from union-find, and from alternating large and small
+stars where there are many links.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with a
 null doc_id are linked with nothing and have a null component_id and kept = true. Repeated rows are copies of each
@@ -29,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, small_batches, span_hashes, written
+from scriptorium.llm.common import Scratch, mix64, parts, release_memory, span_hashes
 
 #: 30 bands of 5: a pair of similarity 0.8 shares no bucket once in 150,000 times.
 ROWS, BANDS = 5, 30
 SLOTS = ROWS * BANDS
 #: Sketch agreement below which a pair isn't compared: 0.8 less 4.5 standard deviations.
 SKETCH_LEAST = int(SLOTS * (0.8 - 4.5 * (0.16 / SLOTS) ** 0.5))
-#: Members of a bucket in a block of comparisons.
-BLOCK = 1024
+#: Members of a bucket in a block of comparisons, and links that one union-find takes.
+BLOCK, TOGETHER = 1024, 250_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,10 +126,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signed(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, len(texts), 256):
-                sets = shingle_sets(texts[at : at + 256], width)
+                sets = shingle_sets(texts.slice(at, 256).to_pylist(), width)
                 full = [n for n, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
                 sketch: list = [None] * len(sets)
@@ -152,7 +155,7 @@ def _signed(width: int):
 
 def _with_sets(width: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"])
 
@@ -177,20 +180,26 @@ def _linked(percent: int):
     return confirm
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(id, elements) of the documents in ``ids``."""
     texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    return written(texts.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]))
+    return scratch.write(texts.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]), rows=1024)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar enough."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets of shingles are similar enough."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right_set")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left_set")), "a")
-    return written(joined.mapInPandas(_linked(percent), "a long, b long"))
+    return scratch.write(joined.mapInPandas(_linked(percent), "a long, b long"), rows=1024)
+
 
+def components(links: DataFrame, scratch: Scratch, together: int = TOGETHER) -> DataFrame:
+    """(id, root) for every linked id but the roots: the smallest id it can reach. ``links`` are pairs (a, b), a < b.
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every linked id: the smallest id it can reach. ``links`` are pairs (a, b), a < b."""
+    Union-find makes trees of about ``together`` links at a time; where there are more, alternating large and small
+    stars join the trees, in a number of rounds that grows with the logarithm of the longest chain.
+    """
+    written = scratch.write
+    groups = -(-links.count() // together)
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Union-find over a partition's links: the same components from fewer links."""
@@ -207,13 +216,15 @@ def components(links: DataFrame) -> DataFrame:
                 x, y = root(x), root(y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-            if len(parent) > 500_000:
+            if len(parent) > 4 * together:
                 yield pd.DataFrame([(x, root(x)) for x in parent], columns=["big", "small"])
                 parent = {}
         if parent:
             yield pd.DataFrame([(x, root(x)) for x in parent], columns=["big", "small"])
 
-    edges = written(links.mapInPandas(forest, "big long, small long"))
+    edges = written(links.coalesce(max(groups, 1)).mapInPandas(forest, "big long, small long"))
+    if groups <= 1:
+        return edges.select(F.col("big").alias("id"), F.col("small").alias("root"))
     mark = None
     while True:
         both = edges.select(F.col("big").alias("x"), F.col("small").alias("y")).unionByName(edges.select(F.col("small").alias("x"), F.col("big").alias("y")))
@@ -221,9 +232,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("big"), F.col("m").alias("small")).filter("big <> small").distinct()
         large = written(large)
         parent = written(large.groupBy("big").agg(F.min("small").alias("m")))
-        paired = large.join(parent, "big")
+        paired, before = large.join(parent, "big"), edges
         small = paired.select("big", F.col("m").alias("small")).unionByName(paired.filter("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small")))
         edges = written(small.distinct())
+        scratch.drop(before, least, large, parent)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("big").alias("id"), F.col("small").alias("root"))
@@ -232,26 +244,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def _across(percent: int):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of a cell between its left members and right members of other components: those whose
-        sketches agree often enough are compared on whole sets."""
+        """Links of a cell between its left members and right members of other components."""
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         sketch = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-        ids, roots = right["member"].to_numpy(), right["root"].to_numpy()
+        bands = np.stack(right["bands"].to_list()) if len(right) else np.zeros((0, BANDS), np.int64)
+        ids, component = right["member"].to_numpy(), right["root"].to_numpy(copy=True)
         sets = [np.frombuffer(e, np.uint64) for e in right["elements"]]
         sizes = np.array([len(s) for s in sets])
-        out = set()
-        for own, elements, member, root in zip(left["sketch"], left["elements"], left["member"].tolist(), left["root"].tolist()):
-            mine = np.frombuffer(elements, np.uint64)
-            able = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
+        key = pdf["key"].iloc[0]
+        now: dict[int, int] = {}  # what a component has been joined to in this cell
+        out = []
+        for own, keys, elements, member, root in zip(left["sketch"], left["bands"], left["elements"], left["member"].tolist(), left["root"].tolist()):
+            mine, root = np.frombuffer(elements, np.uint64), now.get(root, root)
+            able = np.flatnonzero((component != root) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
             able = able[(sketch[able] == np.frombuffer(own, np.uint8)).sum(1) >= SKETCH_LEAST]
-            for at in range(0, len(able), 256):
-                some = able[at : at + 256]
+            earlier = int(np.flatnonzero(keys == key)[0])
+            able = able[~(bands[able, :earlier] == keys[:earlier]).any(1)]
+            while len(able):
+                some, able = able[:64], able[64:]
                 every = np.concatenate([sets[i] for i in some])
                 found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
                 common = np.add.reduceat(found, np.cumsum([0, *sizes[some][:-1]]), dtype=np.int64)
-                for other in ids[some[100 * common >= percent * (len(mine) + sizes[some] - common)]].tolist():
-                    out.add((min(member, other), max(member, other)))
-        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+                for i in some[100 * common >= percent * (len(mine) + sizes[some] - common)].tolist():
+                    if component[i] != root:
+                        other = int(component[i])
+                        out.append((min(member, int(ids[i])), max(member, int(ids[i]))))
+                        component[component == other] = root
+                        now = {k: root if v == other else v for k, v in now.items()} | {other: root}
+                able = able[component[able] != root]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return links
 
@@ -264,9 +285,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     if percent < 80:
         raise ValueError("bands and sketches are set for a similarity of 0.8 or more")
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = written(texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width, percent, scratch)
+
+
+def _near_duplicates(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    written = scratch.write
+    signed = written(texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), rows=1024)
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n_shingles")))
     member = classes.select(F.col("rep").alias("member"), F.explode("bands").alias("key"))
@@ -275,14 +300,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # The original of many edited copies meets more documents in its buckets than a copy does.
     fame = written(met.groupBy("member").agg(F.sum("n").alias("fame")))
     leaders = met.join(fame, "member").groupBy("key").agg(F.max(F.struct("fame", (-F.col("member")).alias("id"))).alias("best"))
-    dealt = written(met.join(written(leaders.select("key", (-F.col("best.id")).alias("leader"))), "key").filter("member <> leader"))
+    led = written(leaders.select("key", (-F.col("best.id")).alias("leader")))
+    dealt = met.join(led, "key").filter("member <> leader")
     pairs = written(dealt.select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).distinct())
-    sets = sets_of(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width)
-    links = confirmed(pairs, sets, percent)
-    roots = components(links)
+    scratch.drop(shared, fame, led)
+    sets = sets_of(texts, scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width, scratch)
+    links = confirmed(pairs, sets, percent, scratch)
+    roots = components(links, scratch)
     # Buckets whose members are still in different components: those outside the largest one there (outliers)
-    # are compared with all others of the bucket, in cells of bounded size. A pair was compared already.
+    # meet all others of the bucket, in cells of bounded size.
     placed = written(met.filter("n > 2").join(roots, F.col("member") == F.col("id"), "left").select("key", "member", F.coalesce("root", "member").alias("root")))
+    scratch.drop(met)
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     mixed = written(shares.filter("parts > 1").select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("outer"), F.ceil(F.col("n") / BLOCK).alias("all")))
     place = placed.join(mixed, "key").withColumns({"i": F.pmod(F.xxhash64("member"), F.col("outer")), "j": F.pmod(F.xxhash64("member"), F.col("all"))})
@@ -290,13 +318,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.lit(1).alias("side"))),
     )).alias("cell")).select("key", "member", "root", "cell.*")
-    facts = classes.select(F.col("rep").alias("member"), "sketch").join(sets.withColumnRenamed("id", "member"), "member")
-    more = written(grid.join(written(facts), "member").groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
+    facts = classes.select(F.col("rep").alias("member"), "sketch", "bands").join(sets.withColumnRenamed("id", "member"), "member")
+    more = written(grid.join(facts, "member").groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    reps = written(classes.join(roots, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component")))
+        roots = components(links.unionByName(more), scratch)
+    reps = classes.join(roots, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return (
+    return scratch.keep(
         signed.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,8 +6,10 @@ emitted if its gap is small, else it is filled with the first ids of the piece a
 windows that are open at a partition's end are merged once with those of FAN_IN partitions, whole windows at a
 time, so no task sees more than a fixed number of windows. Each group leaves at most one window that is not over half full.
 
-Nulls: a null text is an empty document, which still has its end id; a null doc_id is kept. Repeated rows
-are packed each on its own. Extra columns are ignored. An empty table gives no pieces.
+Nulls: a null text is an empty document, as an empty one is: its end id alone; a null doc_id is kept. A very long text
+fills windows of its own and leaves its rest to the open ones. Repeated rows are packed each on its own, so the pieces
+of rows with one doc_id are told apart by their sequence and offset only. Windows with equal room are taken in the order
+in which they were opened. Extra columns are ignored, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches, written
+from scriptorium.llm.common import Scratch, parts
 from scriptorium.llm.tokens import chunk_memo, tokenizer_path
 
 LENGTH, END_ID = 2048, 1
@@ -88,7 +90,7 @@ def _pieces(tokenizer: str, length: int, end_id: int, count: int):
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "at", "part", "left_open", "ids"],
             )
 
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("doc_id").to_pylist()
             for doc, data in zip(ids, memo.encode([t or "" for t in batch.column("text").to_pylist()])):
                 data += end
@@ -129,9 +131,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
 
     The pieces of a sequence have offsets from 0 without gaps; no sequence exceeds ``length``.
     """
-    small_batches(docs.sparkSession, 512)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = written(texts.mapInArrow(_pieces(tokenizer, length, end_id, open_windows), _PIECE))
+    # The result reads the pieces, so they are kept.
+    pieces = Scratch(docs.sparkSession).keep(texts.mapInArrow(_pieces(tokenizer, length, end_id, open_windows), _PIECE), rows=512)
     rest = pieces.filter("left_open").groupBy("window", "part").agg(F.sum("length").alias("used"))
     rest = rest.withColumn("grp", F.floor(F.col("part") / FAN_IN))
     moved = rest.select("window", "used", "grp").groupBy("grp").applyInPandas(_merge(length), "window long, merged long, base long")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.chat import op8_chat
+from scriptorium.llm.chat import OP8_SQL, op8_chat
 from scriptorium.llm.language import op7_language
-from scriptorium.llm.lines import op10_lines
+from scriptorium.llm.lines import OP10_SQL, op10_lines
 from scriptorium.llm.media import op4_media
 from scriptorium.llm.minhash import OP1_SQL, op1_minhash
-from scriptorium.llm.mixing import op9_mixing
+from scriptorium.llm.mixing import OP9_SQL, op9_mixing
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.suffixes import op6_suffixes
 from scriptorium.llm.token_files import op5_token_files
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_topk": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_topk": OP2_SQL, "op8_chat": OP8_SQL, "op9_mixing": OP9_SQL, "op10_lines": OP10_SQL}

@@ -11,12 +11,14 @@ places, whose ranks decide. Shared lengths of neighbours in both orders give cla
 two occurrences share the string that starts d bytes before the anchor if they are in one class of prefixes at
 depth d and in one class of suffixes at depth LENGTH - d.
 
-Buckets of more than HOT occurrences are split by the strings themselves: each string's hash is a bucket of its
-own, counted within a batch first, so that a passage that everyone quotes makes one row for each batch.
-
-Nulls: a null text is empty; a null doc_id is kept. Rows with the same doc_id are documents of their own;
-equal rows are copies of each other, told apart from others by 64-bit hashes of id and text. Very long texts are cut into pieces that overlap by LENGTH - 1 bytes.
-Extra columns are ignored. An empty table gives no rows.
+Large buckets are split: strings whose distances from the anchor lie in one range of ``width`` share the bytes that all
+of the range have, so these bytes name a smaller bucket, down to single strings (SPLITS). A partition sends an equal
+occurrence once however often it meets it, so a passage that everyone quotes makes a row for each partition. All buckets
+are solved in the same way, on their bytes.
+
+Nulls: a null text is empty; a null doc_id is kept. Rows with the same doc_id are documents of their own, known by id and
+a 64-bit hash of the text; equal rows are copies of each other. Very long texts are cut into pieces that overlap by
+LENGTH - 1 bytes. Strings that tie in all bytes are one string. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches, window_hashes, written
+from scriptorium.llm.common import Scratch, parts, release_memory, window_hashes
 
-LENGTH, GRAM, HOT = 200, 64, 256
-#: Bytes hashed together, and members of buckets sorted together.
-PIECE, BLOCK = 1 << 20, 20_000
+LENGTH, GRAM = 200, 64
+#: Distances from an anchor to the starts of its strings.
+SPAN = LENGTH - GRAM + 1
+#: Width of the ranges of distances that a bucket is split into, by its number of occurrences.
+SPLITS = ((1 << 16, 1), (256, 23), (0, SPAN))
+#: Bytes hashed together, members of buckets sorted together, and occurrences that a partition remembers to have sent.
+PIECE, BLOCK, SENT = 1 << 20, 20_000, 50_000
 #: A perfect difference set (fixed values): every residue modulo PERIOD is a difference of two of COVER.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
@@ -114,7 +120,7 @@ def repeated_starts(keys: np.ndarray, before: list[bytes], after: list[bytes], l
 
     ``keys`` come in order; a member's strings start ``low`` to ``high`` bytes before its anchor.
     """
-    n, span = len(keys), LENGTH - GRAM + 1
+    n, span = len(keys), SPAN
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     buckets = [list(range(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
     right, right_depth = _sorted_depths(after, buckets, LENGTH)
@@ -145,7 +151,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor, first and last start of the strings that have it. ``data``: under 4 MB."""
-    width = LENGTH - GRAM + 1
+    width = SPAN
     gram = window_hashes(data, GRAM)
     count = len(gram) - width + 1
     if count <= 0:
@@ -179,14 +185,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((key[ok], at[ok], a[ok], b[ok], piece[ok]))
         key, at, a, b, piece = (np.concatenate(c) for c in zip(*parts))
         move = np.array([g[1] for g in group], np.int64) - bounds[:-1]
-        doc = np.array([g[0] for g in group], np.int64)
+        doc, tie = (np.array([g[0][k] for g in group], np.int64) for k in (0, 1))
         # Starts go as distances from the anchor: small numbers, which shuffle files pack well.
-        cols = [key.view(np.int64), doc[piece], (at + move[piece]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "at", "before", "more"])
+        cols = [key.view(np.int64), doc[piece], tie[piece], (at + move[piece]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "tie", "at", "before", "more"])
 
-    for batch in batches:
+    release_memory()
+    for batch in parts(batches):
         group, size = [], 0
-        for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "text"))):
+        for *doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text"))):
             raw = (text or "").encode()
             for start in range(0, max(len(raw) - LENGTH + 1, 0), PIECE):
                 piece = raw[start : start + PIECE + LENGTH - 1]
@@ -199,69 +206,81 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(group)
 
 
-_MEMBER = "key long, doc long, at int, first int, last int, around binary, sure boolean"
+_MEMBER = {"key": pa.int64(), "doc": pa.int64(), "tie": pa.int64(), "at": pa.int32(), "first": pa.int32(), "last": pa.int32(), "around": pa.binary(), "sure": pa.bool_()}
+MEMBER = "key long, doc long, tie long, at int, first int, last int, around binary, sure boolean"
+
+
+def _split(raw: bytes, at: int, first: int, last: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """Key, first and last start of the smaller buckets of a member whose strings start at ``first`` to ``last``."""
+    for low in range((at - last) // width * width, at - first + 1, width):
+        core = raw[at - low : at - (low + width - 1) + LENGTH]  # what every string of the range has
+        key = hashlib.blake2b(core, digest_size=8, key=bytes([low, width])).digest()
+        yield int.from_bytes(key, "little", signed=True), max(first, at - (low + width - 1)), min(last, at - low)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows of documents: text around an anchor, or for hot anchors single strings."""
-    for batch in batches:
-        cold: list[tuple] = []
-        hot = []
-        for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "own"))):
-            raw, strings = text.encode(), None
+    """Bucket rows of documents: the text around an anchor, whole or in ranges. An occurrence in a split bucket that
+    equals one that was sent before is a repeat for sure, and so is that one."""
+    sent: dict[tuple, tuple | None] = {}
+
+    def sure(doc: int, tie: int, first: int, last: int) -> tuple:
+        """A row that no other has to meet: its key only deals it out."""
+        return (doc + first * 0x9E3779B1) % (1 << 63), doc, tie, first, first, last, None, True
+
+    for batch in parts(batches):
+        rows: list[tuple] = []
+        for doc, tie, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "own"))):
+            raw, again = text.encode(), []
             for a in own:
-                at, first = a["at"], a["at"] - a["before"]
+                at, first, width = a["at"], a["at"] - a["before"], a["width"]
                 last = first + a["more"]
-                if not a["hot"]:
-                    cold.append((a["key"], doc, at, first, last, raw[first : last + LENGTH], False))
+                if width == SPAN:
+                    rows.append((a["key"], doc, tie, at, first, last, raw[first : last + LENGTH], False))
+                    continue
+                for key, low, high in _split(raw, at, first, last, width):
+                    around = raw[low : high + LENGTH]
+                    seen = (key, at - low, around)
+                    if seen not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent[seen] = (doc, tie, low, high)
+                        rows.append((key, doc, tie, at, low, high, around, False))
+                        continue
+                    if sent[seen] is not None:
+                        rows.append(sure(*sent[seen]))
+                        sent[seen] = None
+                    again.append((low, high))
+            run: list[int] = []
+            for low, high in sorted(again):
+                if run and low <= run[1] + 1:
+                    run[1] = max(run[1], high)
                 else:
-                    if strings is None or not strings[1] <= first <= last < strings[2]:
-                        to = min(max(last + 1, first + PIECE), len(raw) - LENGTH + 1)
-                        strings = (window_hashes(np.frombuffer(raw, np.uint8)[first : to + LENGTH - 1], LENGTH), first, to)
-                    hot.append((strings[0][first - strings[1] : last + 1 - strings[1]], np.arange(first, last + 1), np.full(last - first + 1, doc)))
-        cols = [list(c) for c in zip(*cold)] if cold else [[] for _ in range(7)]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        names = ["key", "doc", "at", "first", "last", "around", "sure"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-        if hot:
-            key, start, doc = (np.concatenate(c) for c in zip(*hot))
-            order = np.lexsort((start, doc, key))
-            key, start, doc = key[order], start[order], doc[order]
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            lone = head & np.concatenate([key[1:] != key[:-1], [True]])
-            # Strings met twice in the batch are repeats already, one of each stands for the batch.
-            order = np.lexsort((start, doc))
-            again = order[~lone[order]]
-            d, s = doc[again], start[again]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1), [True]])) if len(s) else np.zeros(1, int)
-            a, b = cut[:-1], cut[1:] - 1
-            for kk, di, fi, la, sure in ((s[a] * 0x9E3779B1, d[a], s[a], s[b], True), (key[head].view(np.int64), doc[head], start[head], start[head], False)):
-                n = len(di)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kk, pa.int64()), pa.array(di, pa.int64()), pa.array(fi.astype(np.int32)), pa.array(fi.astype(np.int32)), pa.array(la.astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(np.full(n, sure))],
-                    names=names,
-                )
+                    if run:
+                        rows.append(sure(doc, tie, *run))
+                    run = [low, high]
+            if run:
+                rows.append(sure(doc, tie, *run))
+        cols = list(zip(*rows)) if rows else [()] * len(_MEMBER)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _MEMBER.values())], names=list(_MEMBER))
 
 
 def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of starts that are repeats, from bucket rows in order of their keys."""
-    cols = ["doc", "first", "last"]
+    cols = ["doc", "tie", "first", "last"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sure = pdf[pdf["sure"]]
-        rest = pdf[~pdf["sure"] & pdf.duplicated(["key"], keep=False)]
-        single = rest["around"].isna()
-        lone = rest[single]
-        out = [sure[cols], lone[lone.duplicated(["key"], keep=False)][cols]]
-        cold = rest[~single]
-        cold = cold[cold.duplicated(["key"], keep=False)]
-        if len(cold):
-            at, first, last = (cold[c].to_numpy(np.int64) for c in ("at", "first", "last"))
-            around = cold["around"].tolist()
+        rest = pdf[~pdf["sure"]]
+        rest = rest[rest.duplicated(["key"], keep=False)]
+        out = [pdf.loc[pdf["sure"], cols]]
+        if len(rest):
+            at, first, last = (rest[c].to_numpy(np.int64) for c in ("at", "first", "last"))
+            around = rest["around"].tolist()
             cuts = (at - first).tolist()
-            found = repeated_starts(cold["key"].to_numpy(), [x[:c][::-1] for x, c in zip(around, cuts)], [x[c:] for x, c in zip(around, cuts)], at - last, at - first)
+            before, after = [x[:c][::-1] for x, c in zip(around, cuts)], [x[c:] for x, c in zip(around, cuts)]
+            found = repeated_starts(rest["key"].to_numpy(), before, after, at - last, at - first)
             row, low, high = _runs(found)
-            out.append(pd.DataFrame({"doc": cold["doc"].to_numpy()[row], "first": at[row] - high, "last": at[row] - low}))
+            doc, tie = (rest[c].to_numpy()[row] for c in ("doc", "tie"))
+            out.append(pd.DataFrame({"doc": doc, "tie": tie, "first": at[row] - high, "last": at[row] - low}))
         return pd.concat(out, ignore_index=True)
 
     held, size = [], 0
@@ -301,18 +320,21 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, removed (byte spans), kept_sha256 of the bytes left."""
-    small_batches(docs.sparkSession)
-    text = F.col("text").cast("string")
-    # Both joins to the texts read the same columns, so that one shuffle of the texts serves both. A document is known
-    # by 64 bits of its id and text, equal rows by the same ones: sets keep one of each of their anchors and runs.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text).alias("doc"), text.alias("text"))
-    found = written(keyed.select("doc", "text").filter(f"octet_length(text) >= {LENGTH}").mapInArrow(_anchor_rows, "key long, doc long, at int, before short, more short"))
-    shared = written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > HOT).alias("hot")))
-    own = found.join(shared, "key").groupBy("doc").agg(F.collect_set(F.struct("key", "at", "before", "more", "hot")).alias("own"))
-    members = keyed.join(own, "doc").select("doc_id", "doc", "text", "own").mapInArrow(_members, _MEMBER)
-    runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "doc long, first int, last int")
-    runs = runs.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    out = keyed.join(runs, "doc", "left").select("doc_id", "text", "runs")
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    # Both joins to the texts read the same columns, so that one shuffle of the texts serves both. Equal rows have one key:
+    # sets keep one of each of their anchors and runs.
+    tie = F.xxhash64(text, doc.isNull())
+    keyed = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc"), tie.alias("tie"), text.alias("text"))
+    width = F.expr("case " + " ".join(f"when n > {n} then {w}" for n, w in SPLITS) + " end").cast("short")
+    with Scratch(docs.sparkSession) as scratch:
+        long = keyed.filter(f"octet_length(text) >= {LENGTH}").select("doc", "tie", "text")
+        found = scratch.write(long.mapInArrow(_anchor_rows, "key long, doc long, tie long, at int, before short, more short"), rows=1024)
+        shared = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", width.alias("width")))
+        own = scratch.keep(found.join(shared, "key").groupBy("doc", "tie").agg(F.collect_set(F.struct("key", "at", "before", "more", "width")).alias("own")))
+    members = keyed.join(own, ["doc", "tie"]).select("doc", "tie", "text", "own").mapInArrow(_members, MEMBER)
+    runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "doc long, tie long, first int, last int")
+    runs = runs.groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    out = keyed.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs")
     return out.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string")
 
 

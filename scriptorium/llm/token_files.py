@@ -1,12 +1,14 @@
 """Token-ID output: Parquet files of token lists, dictionary-encoded ids, delta-encoded metadata columns,
 bounded row groups and pages with page indexes, so that a reader fetches only the documents it asks for.
 
-Nulls: a null text counts as empty; a null doc_id sorts first. Repeated rows each get their own entry.
-An empty table gives files without rows. Extra columns of the input are ignored, whatever their names.
+Nulls: a null text counts as empty, so it has the end id alone; a null doc_id sorts first. Rows of one doc_id stand in
+order of a hash of their texts, and starts follow the files' own order of rows. Repeated rows each get their own entry. A very
+long text is one row, whole. An empty table gives files without rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import shared_dir, small_batches
+from scriptorium.llm.common import parts, shared_dir
 from scriptorium.llm.tokens import chunk_memo, tokenizer_path
 
 #: One row per document: its ids (the end id included) and their number.
@@ -39,23 +41,24 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = chunk_memo(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            parts = [x + end for x in memo.encode([t or "" for t in batch.column("text").to_pylist()])]
-            lengths = np.array([len(x) // 4 for x in parts], np.int64)
+        for batch in parts(batches):
+            found = [x + end for x in memo.encode([t or "" for t in batch.column("text").to_pylist()])]
+            lengths = np.array([len(x) // 4 for x in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
+            ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), ids), pa.array(lengths)],
                 names=["doc_id", "tokens", "n_tokens"],
             )
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Write the documents' ids as files of ascending doc_id: file n holds smaller ids than file n + 1."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, all the null ones for example, are dealt to several files by a hash of their texts.
+    order = (F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     encode_documents(ordered, tokenizer, end_id).write.options(**LAYOUT).mode("overwrite").parquet(path)
 
 
@@ -96,8 +99,6 @@ def token_positions(files: DataFrame, end_id: int = 1) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files of the word-end BPE, read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    import uuid
-
     path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"))
     return token_positions(read_token_files(spark, path))

@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from scriptorium.llm.common import hold
+
 #: White space as the tokenizers' own patterns see it (fixed values).
 _WS = "\t-\r \x85\xa0  -     　"
 _ALNUM = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -24,8 +26,9 @@ _GAP = np.isin(np.arange(256), list(b" \n"))
 _WORD = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 #: Second bytes of the letters from U+00C0 to U+00FF, all but the signs for times and divided by.
 _LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
-#: Chunks in each of a worker's two generations, and the longest chunk worth remembering.
-MEMO_CHUNKS, MEMO_CHARS = 280_000, 64
+#: Chunks in each of a memo's two generations (about 200 bytes each), the longest chunk worth remembering, and the
+#: characters of texts that are cut into chunks together.
+MEMO_CHUNKS, MEMO_CHARS, TOGETHER = 220_000, 64, 1 << 18
 
 _memos: dict[str, "ChunkMemo"] = {}
 
@@ -82,9 +85,14 @@ class ChunkMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         rules = json.loads(self.tokenizer.to_str())
         self.lower = "Lowercase" in json.dumps(rules["normalizer"])
+        #: Control strings that the tokenizer takes out of a text before anything else; a text with one is encoded whole.
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]) or r"\Z.", re.IGNORECASE)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -98,6 +106,23 @@ class ChunkMemo:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if "<|" in text and self.special.search(text):
+                out += self._group(group)
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMO_CHUNKS:
             self.known, self.older = {}, self.known
         if self.lower:
@@ -121,9 +146,11 @@ class ChunkMemo:
 
 
 def chunk_memo(path: str) -> ChunkMemo:
-    """The worker's memo for a tokenizer file; it lives as long as the worker."""
+    """The worker's memo for a tokenizer file. It serves all partitions of a stage; the first partition of another
+    operator in the same worker drops its chunks."""
     if path not in _memos:
         _memos[path] = ChunkMemo(path)
+    hold(_memos[path].clear)
     return _memos[path]
 
 

@@ -1,14 +1,17 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Every vector belongs to its nearest pivot. A cell's summary (count, radius, distances of its vectors
-nearest to the pivot) bounds the scores of its vectors for any query: q.p - |q| d <= q.x <= q.p + |q| d.
-The summaries give a query a score that its k-th hit must reach; it is sent only to cells that can reach
-it. Cells are dealt in slices of bounded size and queries in blocks, so a large cell, or many copies of
-one vector, is spread over tasks; each slice is solved locally and the hits are merged.
-
-Vectors that are null or hold null or non-finite components take no part; a null id neither. Vectors of
-different lengths are compared as if the shorter ended in zeros. Repeated rows are rows of their own
-(a query's own id is never its hit). Extra columns are ignored. No vectors, or no queries: no rows.
+Every vector belongs to its nearest pivot, and there are about as many pivots as the square root of the rows, up to a
+bound. A cell's summary (count and radius r) bounds the scores of its vectors for any query: q.x <= q.p + |q| r. Each query
+is solved in the cells nearest to it that hold rows enough, which gives a score that its k-th hit must reach. It then goes only to the other cells that can reach that score, and brings from
+them only hits that do. Queries of one first cell stand in blocks, for they want much the same cells, and a cell's rows
+are copied to the blocks of which some query wants it, to no others. Cells are dealt in slices of bounded size, so a
+large cell, or many copies of one vector, is spread over tasks; each slice is solved locally and the hits are merged.
+
+Vectors that are null or hold null or non-finite components take no part; a null id neither. Components are whole numbers
+in doubles, exact up to 2**53; a score that doesn't fit a long raises an error. Vectors of different lengths are
+compared as if the shorter ended in zeros; an empty one is all zeros. Repeated rows are rows of their own (a query's own
+id is never its hit), and a query id that stands in several rows asks with each of their vectors: its hits are the best of
+all. Equal scores go to the smaller vec_id. Extra columns are ignored. No vectors, or no queries: no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import Scratch, release_memory
 
-PIVOTS, QUERY_BLOCK = 48, 2048
-#: Rows in a slice of a cell: a 400th of all rows, within these bounds.
-SLICES, SLICE_LEAST, SLICE_MOST = 400, 256, 32768
+#: Most pivots (their vectors and summaries are what the driver and the tasks hold), and queries in a block.
+PIVOTS, QUERY_BLOCK = 1024, 2048
+#: Rows in a slice of a cell, and times k rows that a query's first cells hold.
+SLICE, FIRST_ROWS = 32768, 4
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -42,87 +46,116 @@ def _exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = 1024.0, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest floor(scale * x) inner products, ties to the smaller id."""
-    whole = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    ints = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    table = written(vectors.filter(whole).select(F.col("vec_id").cast("long"), ints.alias("v")))
-    facts = table.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.expr(is_query)).alias("queries")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not facts["n"] or not facts["queries"]:
-        return table.sparkSession.createDataFrame([], schema)
-    n, dims, blocks = facts["n"], max(facts["dims"], 1), -(-facts["queries"] // QUERY_BLOCK)
-    centre = _matrix(pd.Series([r["v"] for r in table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]), dims)
+class Cells:
+    """Pivots with the summaries of their cells; a row for each pivot, so small."""
+
+    def __init__(self, pivots: np.ndarray, summaries: list):
+        self.number = np.array([c["cell"] for c in summaries], np.int32)
+        self.pivot = pivots[self.number]
+        self.radius = np.array([c["radius"] for c in summaries])
+        self.count = np.array([c["n"] for c in summaries])
+
+    def nearest(self, q: np.ndarray, rows: int) -> list[np.ndarray]:
+        """For each query the cells of highest score of pivot that hold ``rows`` rows together."""
+        order = np.argsort(-(q @ self.pivot.T), axis=1, kind="stable")
+        return [self.number[o[: int(np.searchsorted(self.count[o].cumsum(), rows)) + 1]] for o in order]
 
+    def able(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Queries x cells: whether a vector of the cell can reach the query's score."""
+        at, wide = q @ self.pivot.T, np.sqrt((q**2).sum(1))[:, None] * self.radius
+        return at + wide + 1e-6 * (1 + np.abs(at) + wide) >= least[:, None]
+
+
+def _nearest(centre: np.ndarray, dims: int):
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _matrix(pdf["v"], dims)
-            far = (x**2).sum(1)[:, None] - 2 * x @ centre.T + (centre**2).sum(1)
-            cell = far.argmin(1)
-            dist = np.sqrt(((x - centre[cell]) ** 2).sum(1))
-            order = pd.Series(dist).groupby(cell).rank(method="first")
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "cell": cell.astype("int32"), "dist": dist, "near": order.to_numpy() <= k + 1})
-
-    celled = written(table.mapInPandas(to_cells, "vec_id long, v array<long>, cell int, dist double, near boolean"))
-    size = int(np.clip(n // SLICES, SLICE_LEAST, SLICE_MOST))
-    # As many rows as there are pivots come to the driver.
-    cells = celled.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("dist").alias("radius"), F.slice(F.array_sort(F.collect_list(F.when(F.col("near"), F.col("dist")))), 1, k + 1).alias("nearest")
-    ).collect()
-    pivot = np.array([centre[c["cell"]] for c in cells])
-    radius = np.array([c["radius"] for c in cells])
-    near = [np.array(c["nearest"]) for c in cells]
-    number = np.array([c["cell"] for c in cells])
-    slices = {c["cell"]: -(-c["n"] // size) for c in cells}
-
-    def to_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(pdf):
+                x = _matrix(pdf["v"], dims)
+                cell = ((centre**2).sum(1) - 2 * x @ centre.T).argmin(1)
+                yield pdf.assign(cell=cell.astype("int32"), dist=np.sqrt(((x - centre[cell]) ** 2).sum(1)))
+
+    return to_cells
+
+
+def _first_cells(cells: Cells, dims: int, rows: int):
+    def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            q = _matrix(pdf["v"], dims)
-            at, norm = q @ pivot.T, np.sqrt((q**2).sum(1))
-            slack = 1e-6 * (1 + np.abs(at).max() + norm.max() * radius.max())
-            wanted = []
-            for row, length in zip(at, norm):
-                sure = np.sort(np.concatenate([s - length * d for s, d in zip(row, near)]))
-                least = sure[-(k + 1)] if len(sure) > k else -np.inf
-                wanted.append(number[row + length * radius >= least - slack].tolist())
-            yield pd.DataFrame({"query_id": pdf["vec_id"], "q": pdf["v"], "cells": wanted})
-
-    deal = F.create_map(*[F.lit(x) for c, s in slices.items() for x in (int(c), int(s))])
-    queries = (
-        celled.filter(is_query).select("vec_id", "v").mapInPandas(to_targets, "query_id long, q array<long>, cells array<int>")
-        .select("query_id", "q", F.explode("cells").alias("cell"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.element_at(deal, F.col("cell")) - 1)))
-    )
-    data = celled.select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.element_at(deal, F.col("cell"))).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    )
+            if len(pdf):
+                found = cells.nearest(_matrix(pdf["v"], dims), rows)
+                yield pd.DataFrame({"query_id": pdf["vec_id"], "q": pdf["v"], "home": [c[0] for c in found], "cells": found})
+
+    return targets
 
+
+def _other_cells(cells: Cells, dims: int):
+    def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                able = cells.able(_matrix(pdf["q"], dims), pdf["least"].to_numpy())
+                yield pdf.assign(cells=[np.setdiff1d(cells.number[row], done) for row, done in zip(able, pdf["cells"])])
+
+    return targets
+
+
+def _solve(dims: int, k: int):
     def solve(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x = x.sort_values("vec_id", kind="stable", ignore_index=True)
-        ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
-        scores = _exact_scores(_matrix(q["q"], dims), _matrix(x["v"], dims))
-        out = []
-        for query, row in zip(own, scores):
-            mine = ids != query
-            row, there = row[mine], ids[mine]
-            if len(row) > k:
-                floor = np.sort(row)[-k]
-                keep = np.flatnonzero(row >= floor)
-                keep = keep[np.argsort(-row[keep], kind="stable")][:k]
-                row, there = row[keep], there[keep]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": there, "score": row.astype("int64")}))
+        """The k best rows of a slice for each query of a block, of those that reach the query's score."""
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")]
+        if len(x) and len(q):
+            x = x.sort_values("vec_id", kind="stable", ignore_index=True)
+            ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
+            scores = _exact_scores(_matrix(q["q"], dims), _matrix(x["v"], dims))
+            for query, row, least in zip(own, scores, q["least"].to_numpy()):
+                able = np.flatnonzero((row >= least) & (ids != query))
+                if len(able) > k:
+                    floor = np.partition(row[able], -k)[-k]
+                    able = able[row[able] >= floor]
+                able = able[np.argsort(-row[able], kind="stable")][:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[able], "score": row[able].astype("int64")}))
         return pd.concat(out, ignore_index=True)
 
-    key = ("cell", "slice", "block")
-    hits = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return solve
+
+
+def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = 1024.0, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest floor(scale * x) inner products, ties to the smaller id."""
+    whole = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    ints = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    with Scratch(vectors.sparkSession) as scratch:
+        table = scratch.write(vectors.filter(whole).select(F.col("vec_id").cast("long"), ints.alias("v")))
+        facts = table.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.expr(is_query)).alias("queries")).first()
+        if not facts["n"] or not facts["queries"]:
+            return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        dims, count = max(facts["dims"], 1), int(np.clip(round(facts["n"] ** 0.5), 1, pivots))
+        centre = _matrix(pd.Series([r["v"] for r in table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()]), dims)
+        celled = scratch.write(table.mapInPandas(_nearest(centre, dims), "vec_id long, v array<long>, cell int, dist double"))
+        # As many rows as there are pivots come to the driver.
+        summaries = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
+        cells = Cells(centre, summaries)
+        slices = F.create_map(*[F.lit(x) for c in summaries for x in (int(c["cell"]), -(-int(c["n"]) // SLICE))])
+        block = F.pmod(F.xxhash64("query_id"), F.lit(-(-facts["queries"] // QUERY_BLOCK))).cast("int")
+        query = "query_id long, q array<long>, home int, cells array<int>"
+        asked = scratch.write(celled.filter(is_query).select("vec_id", "v").mapInPandas(_first_cells(cells, dims, FIRST_ROWS * k), query).withColumn("block", block))
+
+        def hits(queries: DataFrame) -> DataFrame:
+            """Of queries with the cells that each wants: their best hits there."""
+            wants = queries.select("query_id", "q", "least", F.explode("cells").alias("cell"), "home", "block")
+            needed = scratch.write(wants.select("cell", "home", "block").distinct())
+            data = celled.join(needed, "cell").select("vec_id", "v", "cell", "home", "block", F.pmod(F.xxhash64("vec_id"), F.element_at(slices, F.col("cell"))).alias("slice"))
+            wants = wants.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), (F.element_at(slices, F.col("cell")) - 1).cast("long"))))
+            key = ("cell", "slice", "home", "block")
+            return data.groupBy(*key).cogroup(wants.groupBy(*key)).applyInPandas(_solve(dims, k), "query_id long, vec_id long, score long")
+
+        first = scratch.write(hits(asked.withColumn("least", F.lit(float("-inf")))))
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+        # Slightly lower than exact, for doubles round scores over 2**53.
+        least = F.coalesce(F.col("kth") - 1e-12 * F.abs("kth"), F.lit(float("-inf")))
+        known = asked.join(kth, "query_id", "left").select("query_id", "q", "home", "cells", "block", least.alias("least"))
+        every = first.unionByName(hits(scratch.write(known.mapInPandas(_other_cells(cells, dims), f"{query}, block int, least double"))))
+        ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return scratch.keep(ranked.select("query_id", "rank", "vec_id", "score"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,13 @@ import corpus_pipeline
 from scriptorium.llm import lines, mixing, suffixes
 from scriptorium.llm.token_files import read_token_files, token_positions, write_token_files
 from scriptorium.llm.tokens import tokenizer_path
-from tests.llm.test_training_data import WORDS, covered, prose
+from tests.llm.test_training_data import SPLITS, WORDS, covered, prose
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffixes_tell_texts_of_one_id_apart(spark, hot, monkeypatch):
+@pytest.mark.parametrize("splits", SPLITS)
+def test_suffixes_tell_texts_of_one_id_apart(spark, splits, monkeypatch):
     """300 texts without an id and 300 of one id, some with a passage in common, some rows repeated."""
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SPLITS", splits)
     rng = random.Random(9)
     shared = [prose(rng, 60) for _ in range(8)]
     rows = [(None if n < 300 else 5, f"{prose(rng, rng.randrange(30, 70))} {shared[n % 40] if n % 40 < 8 else ''} {prose(rng, 35)}") for n in range(600)]
@@ -52,7 +52,7 @@ def test_lines_cut_passages_of_few_stops(spark):
 
 def test_lines_repeat_whatever_their_length(spark):
     rows = [(1, "Alpha beta.\nOne line of nine words that comes again here.\ngamma"), (2, "Delta\none line  of nine words that comes again here.\nepsilon"), (3, "Alpha beta.\nzeta")]
-    found = {r["doc_id"]: r["text"] for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), short=3).collect()}
     assert found == {1: rows[0][1], 2: "Delta\nepsilon", 3: rows[2][1]}
 
 

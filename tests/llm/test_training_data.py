@@ -1,22 +1,28 @@
 """Training-data operators against plain versions, and on nulls, empty tables, ties, repeats and clashing columns."""
 
+import functools
 import hashlib
 import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from scriptorium.llm import lines, minhash, mixing, suffixes
 from scriptorium.llm.chat import ChatTemplate, format_conversations, read_formatted
+from scriptorium.llm.common import Scratch
 from scriptorium.llm.language import identify, train
 from scriptorium.llm.media import drawn, image_copies, to_graymap
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.token_files import read_token_files, token_positions, write_token_files
 from scriptorium.llm.tokens import ChunkMemo, tokenizer_path
-from scriptorium.llm.topk import top_k
+from scriptorium.llm.topk import Cells, top_k
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, kid string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -102,14 +108,15 @@ def test_super_minhash_estimates():
     assert (minhash.super_minhash([both[:1]]) < np.iinfo(np.uint64).max).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [minhash.TOGETHER, 20])
+def test_components(spark, together):
     rng = random.Random(2)
     pairs = [tuple(sorted(rng.sample(range(400), 2))) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)]
     root = {i: i for p in pairs for i in p}
     for a, b in pairs:
         x, y = root[a], root[b]
         root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    found = {r["id"]: r["root"] for r in minhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    found = {r["id"]: r["root"] for r in minhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), Scratch(spark), together).collect()}
     assert {k: found.get(k, k) for k in root} == root
 
 
@@ -128,9 +135,13 @@ def covered(texts, length=suffixes.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffixes(docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+#: Every bucket whole, in ranges, and by single strings.
+SPLITS = [suffixes.SPLITS, ((0, 23),), ((0, 1),)]
+
+
+@pytest.mark.parametrize("splits", SPLITS)
+def test_suffixes(docs, rows, splits, monkeypatch):
+    monkeypatch.setattr(suffixes, "SPLITS", splits)
     found = suffixes.repeated_substrings(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed"), "kept_sha256").collect()
     assert sorted(map(str, map(tuple, found))) == sorted(str((r[0], *c)) for r, c in zip(rows, covered([r[1] for r in rows])))
 
@@ -165,16 +176,22 @@ def test_lines(docs, rows):
 def test_token_memo():
     rng = random.Random(3)
     parts = ["a", "B", "é", ".", ",", " ", "\n", "\t", "!", "0", "'s", " ", "“", "好", "\x1c", "  ", ". ", "Foo", "ß", "<|endoftext|>"]
+    parts += ["<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "  \n "]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         memo = ChunkMemo(tokenizer_path(name))
-        for _ in range(1500):
-            text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
-            assert np.frombuffer(memo.encode([text])[0], "<u4").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(1500)] + ["plain words, and more. " * 4000, ""]
+        for text, ids in zip(texts, memo.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain_tokenizer(name).encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def plain_tokenizer(name):
+    """The named file's tokenizer as it is."""
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def whole_ids(name, text):
-    memo = ChunkMemo(tokenizer_path(name))
-    return memo.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return plain_tokenizer(name).encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_packing(docs, rows):
@@ -217,7 +234,7 @@ def test_mixing(docs, rows):
     for r in rows:
         sizes[r[3]] += len([w for w in (r[1] or "").split() if w])
     total = sum(sizes.values())
-    goal = mixing.targets(dict(sizes), mixing.source_weights(list(sizes)))
+    goal = plain_targets(sizes)
     assert abs(sum(goal.values()) - 1.5 * total) < 1e-6 and all(goal[s] <= 2 * sizes[s] + 1e-9 for s in sizes)
     taken = Counter()
     for r in found:
@@ -227,10 +244,67 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - goal[s]) <= 2 * biggest for s in sizes)
 
 
-def test_targets():
-    assert mixing.source_weights(["b", None, "a", "c"]) == {"a": 5, "b": 2, "c": 1, None: 5}
-    assert mixing.targets({"a": 10, "b": 10, "c": 10}, {"a": 5, "b": 2, "c": 1}) == {"a": 20, "b": pytest.approx(50 / 3), "c": pytest.approx(25 / 3)}
-    assert mixing.targets({"a": 0}, {"a": 5}) == {"a": 0}
+def plain_weights(sources):
+    return {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+def plain_targets(sizes):
+    """Shares by weight, a source at a time stopped at twice its size."""
+    weights, out = plain_weights(sizes), {}
+    while len(out) < len(sizes):
+        left = [s for s in sizes if s not in out]
+        unit = (1.5 * sum(sizes.values()) - sum(out.values())) / sum(weights[s] for s in left)
+        over = [s for s in left if unit * weights[s] > 2 * sizes[s]]
+        out |= {s: 2.0 * sizes[s] for s in over} if over else {s: unit * weights[s] for s in left}
+    return out
+
+
+def test_targets(spark):
+    def goal(sizes):
+        rows = [(s, n, float(w)) for (s, n), w in zip(sizes.items(), plain_weights(sizes).values())]
+        with Scratch(spark) as scratch:
+            return {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long, weight double"), 1.5, 2.0, scratch).collect()}
+
+    assert plain_weights(["b", None, "a", "c"]) == {"a": 5, "b": 2, "c": 1, None: 5}
+    assert goal({"a": 10, "b": 10, "c": 10}) == {"a": 20, "b": pytest.approx(50 / 3), "c": pytest.approx(25 / 3)}
+    assert goal({"a": 0}) == {"a": 0}
+    sizes = {f"s{n:02}": (n * 37) % 101 for n in range(40)}
+    assert goal(sizes) == {s: pytest.approx(t) for s, t in plain_targets(sizes).items()}
+
+
+def plain_copies(rows, goal, sizes, seed=17, draws=32):
+    """Copies of (source, size, doc_id, n) rows, recomputed row by row: the draw of least error, and its crossings."""
+    out = {}
+    for source in sizes:
+        mine = sorted([r for r in rows if r[0] == source], key=lambda r: r[1:3])
+        rate, best = goal[source] / sizes[source] if sizes[source] else 0.0, None
+        for n in range(draws):
+            name = f"{seed}/{n}/{'' if source is None else 's' + source}"
+            shift = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32
+            got = [int(np.floor(k * rate + shift) - np.floor((k - 1) * rate + shift)) for k in range(1, len(mine) + 1)]
+            miss = abs(sum(c * r[1] for c, r in zip(got, mine)) - goal[source])
+            if best is None or miss < best[0]:
+                best = (miss, got)
+        out |= {r[3]: c for r, c in zip(mine, best[1])}
+    return out
+
+
+def test_mixing_beside_a_plain_version(spark):
+    """Copies of every document as a plain loop takes them, and each source's words near its target."""
+    rng = random.Random(8)
+    raw = [(n, " ".join(["w"] * int(rng.paretovariate(1.1) * 20)), rng.choice(["a", "b", None, "ü", ""])) for n in range(700)]
+    sizes = Counter()
+    for _, text, source in raw:
+        sizes[source] += len(text.split())
+    goal = plain_targets(sizes)
+    want = plain_copies([(s, len(t.split()), n, n) for n, t, s in raw], goal, sizes)
+    found = mixing.mix_sources(spark.createDataFrame(raw, "doc_id long, text string, source string").repartition(6)).collect()
+    assert found[0].__fields__[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert {r["doc_id"]: r["copies"] for r in found} == want
+    taken = Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] for s in sizes)
 
 
 def test_chat(spark):
@@ -276,6 +350,20 @@ def test_language(spark, nothing):
     assert identify(odd, train(nothing)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_clashing_columns_and_rare_languages(spark, nothing):
+    """Columns named as the results are replaced; a language of one row in a thousand is learned."""
+    rng = random.Random(3)
+    words = {"aa": ["tala", "mena", "soru"], "bb": ["xik", "quz", "wyv"], "cc": ["öst", "åby", "äpp"]}
+    rows = [(n, " ".join(rng.choice(words[lang]) for _ in range(40)), lang, 7.0, "x", "y") for n in range(3000) for lang in ["cc" if n % 600 == 1 else "bb" if n % 9 == 0 else "aa"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score double, lang_pred string, rejected string")
+    found = identify(docs, train(docs, sample=300))
+    assert sorted(found.columns) == ["doc_id", "lang", "lang_pred", "rejected", "score", "text"]
+    assert found.filter("lang <> lang_pred").count() == 0
+    long = spark.createDataFrame([(1, "tala mena " * 200_000), (1, "xik quz"), (1, None)], "doc_id long, text string")
+    assert sorted(r["lang_pred"] for r in identify(long, train(docs, sample=300)).collect()) == ["aa", "bb", "und"]
+    assert identify(docs.limit(0), train(nothing)).count() == 0
+
+
 def test_media(spark):
     rng = np.random.default_rng(3)
     pictures = [drawn(rng.normal(0, 1, 16)) for _ in range(12)]
@@ -290,6 +378,96 @@ def test_media(spark):
     assert {r["group_id"] for r in image_copies(pair).collect()} == {1}
 
 
+def test_media_at_size(spark):
+    """Two in five of 500 larger pictures cropped, brightened or turned: their copies are found, and no others."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i in range(300):
+        big = np.kron(rng.integers(40, 200, (20, 24)), np.ones((10, 10))) + np.kron(rng.integers(-30, 31, (50, 60)), np.ones((4, 4)))
+        big = np.clip(big, 0, 235)
+        rows.append((i, to_graymap(big)))
+        want[i] = i
+        if i % 3 == 0:
+            edited = big[20:170, 30:200] if i % 2 else np.rot90(big * 0.9 + 8, 2)
+            rows.append((1000 + i, to_graymap(edited)))
+            want[1000 + i] = i
+    found = {r["image_id"]: r["group_id"] for r in image_copies(spark.createDataFrame(rows, "image_id long, media binary").repartition(4)).collect()}
+    assert {i: found[i] for i in range(300)} == {i: i for i in range(300)}
+    assert sum(found[i] == want[i] for i in want if i >= 1000) >= 0.95 * 100
+
+
+def test_topk_odd_rows(spark):
+    """A query id in several rows, vectors of no length, large components, and a score beyond a long."""
+    rows = [(20, [1.0, 2.0]), (20, [3.0, -1.0]), (1, [0.5, 0.5]), (2, []), (3, [1e6, -1e6]), (4, [2.0]), (5, [3.0, 3.0]), (5, [3.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = sorted([(-sum(a * b for a, b in zip(x, y)), i) for q, x in ints if q == 20 for i, y in ints if i != 20])[:10]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in top_k(table, "vec_id = 20").collect()) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    with pytest.raises(Exception, match="OverflowError|too large|out of bounds"):
+        top_k(spark.createDataFrame([(20, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>"), "vec_id = 20").collect()
+
+
+def test_topk_goes_to_few_cells():
+    """In clustered vectors a query that knows a score near its best goes to a small share of the cells."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(0, 10, (40, 16))
+    x = np.concatenate([m + rng.normal(0, 0.3, (50, 16)) for m in middles])
+    cell = ((x[:, None] - middles) ** 2).sum(2).argmin(1)
+    summaries = [{"cell": c, "n": int((cell == c).sum()), "radius": float(np.sqrt(((x[cell == c] - middles[c]) ** 2).sum(1)).max())} for c in range(40)]
+    cells = Cells(middles, summaries)
+    q = x[::50]
+    scores = q @ x.T
+    tenth = np.sort(scores, axis=1)[:, -11]
+    able = cells.able(q, tenth)
+    assert able.mean() < 0.2
+    best = np.argsort(-scores, axis=1)[:, :10]
+    assert all(able[n, cell[b]].all() for n, b in enumerate(best))
+    assert all(sum(summaries[c]["n"] for c in found) >= 40 for found in cells.nearest(q, 40))
+
+
+def test_lines_beside_sql(spark):
+    """Odd texts, copies and long runs of one word, as the query's SQL has them."""
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    texts = ["", " \n ", "One\n\ntwo", "one\nTWO\n\n three", passage, f"{prose(rng, 20)} {passage} {prose(rng, 15)}", "na " * 90, f"x {'na ' * 50}y", "żółć " * 30, "żółć " * 30, None]
+    texts += [prose(rng, rng.randrange(1, 60)) + "\n" + rng.choice(["same line here", "a b", prose(rng, 30)]) for _ in range(60)]
+    data = [(n, t) for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(data, columns=["doc_id", "text"]).astype({"text": "string"}))
+    want = {r[0]: (r[1], r[4]) for r in con.sql(lines.OP10_SQL).select("doc_id, text, n_spans, n_removed, removed").fetchall()}
+    found = {r["doc_id"]: (r["text"], ",".join(f"{s['start']}+{s['length']}" for s in r["removed"])) for r in lines.dedup_units(frame).collect()}
+    assert found == want
+
+
+def test_lines_remove_each_repeated_unit(spark):
+    """One line of fifteen words in thirty documents, and lines of one and two words, stay in the first document only."""
+    rng = random.Random(9)
+    common = " ".join(rng.choice(WORDS) for _ in range(15))
+    rows = [(n, f"{prose(rng, 12)}\n{common}\nThe end\nfin", "r", 3, "p") for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Removed string, places int, kid string")
+    found = {r["doc_id"]: r for r in lines.dedup_units(docs).collect()}
+    assert found[0]["text"] == rows[0][1] and found[0]["removed"] == []
+    assert all(found[n]["text"] == rows[n][1].split("\n")[0] + "\n" and found[n]["places"] == 3 and found[n]["kid"] == "p" for n in range(1, 30))
+
+
+def test_token_files_layout_and_selective_reads(spark, docs, tmp_path):
+    """Ids in a dictionary, numbers as deltas, bounded row groups, indexes of pages; a filter on ids reaches the scan."""
+    path = str(tmp_path / "t")
+    write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"))
+    groups = [g for f in sorted((tmp_path / "t").glob("part-*.parquet")) for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(n) for n in range(m.num_row_groups)) if g.num_rows]
+    for group in groups:
+        columns = {group.column(n).path_in_schema.split(".")[0]: group.column(n) for n in range(group.num_columns)}
+        assert group.total_byte_size <= 16 << 20
+        assert {"RLE_DICTIONARY"} <= set(columns["tokens"].encodings)
+        assert set(columns["n_tokens"].encodings) & {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"}
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    some = read_token_files(spark, path).filter("doc_id = 9").select("n_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,9)" in plan and "tokens:array" not in plan.split("ReadSchema")[1]
+    assert some.count() == 1
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     assert minhash.near_duplicates(nothing).count() == 0
     assert suffixes.repeated_substrings(nothing).count() == 0
