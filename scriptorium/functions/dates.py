@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import escape_html
+
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -34,3 +37,23 @@ def elapsed(ts: Column, now: Column) -> Column:
         text = F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
         out = F.when(seconds >= size, text) if out is None else out.when(seconds >= size, text)
     return out.otherwise("just now")
+
+
+def date_element(seconds: Column, form: str | None = None, hover: bool = False) -> Column:
+    """A rendered date: its UTC label in an element whose classes carry the time and the form that a browser shows it in."""
+    if hover and "agohover" not in (form or "").split("|")[1:]:
+        form = f"{form or '%c'}|agohover"
+    label = F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm")
+    classes = F.concat(F.lit("odate time_"), seconds.cast("string"), F.lit(f" format_{quote(form, safe=chr(39) + '!()*~')}" if form else ""))
+    return F.concat(F.lit('<span class="'), escape_html(classes), F.lit('">'), label, F.lit("</span>"))
+
+
+def valid_date(text: Column) -> Column:
+    """A timestamp from its text; one that can't be read is an error, not a null."""
+    found = F.try_to_timestamp(text)
+    return F.when(text.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("Invalid page date: "), text)).cast("timestamp")).otherwise(found)
+
+
+def defaulted(ts: Column) -> Column:
+    """A time that was given, else the time of the query."""
+    return F.coalesce(ts, F.current_timestamp())

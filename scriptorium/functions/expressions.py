@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import number_text, truth
+
 LENGTH_MOST = 256
 
 
@@ -131,3 +133,60 @@ def expression(source: str, **names: Column) -> Column:
     if reader.tokens[0][0] != "end":
         raise ExpressionError(f"unexpected {reader.tokens[0][1]}")
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+#: A directive without another one in it, and the deepest nesting that is resolved (fixed value).
+_DIRECTIVE = re.compile(r"\[\[#(expr|ifexpr|if)(?:\s+([^\[\]]*?))?\s*\]\]", re.I)
+NESTING_MOST = 64
+#: What stands for a directive that is resolved: characters of the private use area around its number.
+_MARK = re.compile("\ue000(\\d+)\ue001")
+
+
+def directives(source: str, **names: Column) -> Column:
+    """A source text with ``[[#expr e]]``, ``[[#ifexpr e | then | else]]`` and ``[[#if text | then | else]]`` resolved,
+    innermost first, as one Column over the columns of every row.
+
+    A directive inside an expression has to be an ``#expr``. An expression that can't be read or isn't finite shows
+    ``ERROR``, an empty one nothing, and a condition without branches nothing. A text that nests deeper than
+    NESTING_MOST stays as it is.
+    """
+    texts: list[Column] = []
+    values: dict[str, Column] = dict(names)
+
+    def joined(part: str) -> Column:
+        pieces = _MARK.split(part)
+        return F.concat(F.lit(""), *[texts[int(p)] if n % 2 else F.lit(p) for n, p in enumerate(pieces) if p])
+
+    def number(head: str) -> Column | None:
+        """The value of an expression, null where it has none; None for no expression at all."""
+        if not head:
+            return None
+        try:
+            return expression(_MARK.sub(lambda m: f"(v_{m[1]})", head), **values)
+        except ExpressionError:
+            return F.lit(None).cast("double")
+
+    def resolved(kind: str, body: str) -> Column:
+        head, *branches = (p.strip() for p in body.split("|", 2))
+        value = number(head) if kind != "if" else None
+        if kind == "expr":
+            values[f"v_{len(texts)}"] = value if value is not None else F.lit(None).cast("double")
+            return F.lit("") if value is None else F.coalesce(number_text(value), F.lit("ERROR"))
+        if not branches:
+            return F.lit("")
+        then, other = joined(branches[0]), joined(branches[1]) if len(branches) > 1 else F.lit("")
+        if kind == "if":
+            return F.when(truth(joined(head)), then).otherwise(other)
+        return F.lit("ERROR") if value is None else F.when(value.isNull(), "ERROR").when(value != 0, then).otherwise(other)
+
+    def mark(found: re.Match) -> str:
+        texts.append(resolved(found[1].lower(), found[2] or ""))
+        return f"\ue000{len(texts) - 1}\ue001"
+
+    text = source
+    for _ in range(NESTING_MOST):
+        after = _DIRECTIVE.sub(mark, text)
+        if after == text:
+            return joined(text)
+        text = after
+    return F.lit(source) if _DIRECTIVE.search(text) else joined(text)

@@ -149,3 +149,83 @@ def link_kind(target: Column) -> Column:
         .when(target.rlike("^!?(?:wikipedia|wp|google|dictionary|metawiki)(?:\\.[a-z]+)?:"), "interwiki")
         .otherwise("page")
     )
+
+
+def safe_local_path(path: Column) -> Column:
+    """A local path whose parts can each stand in a URL: none empty, dotted, ending in a blank, or holding a percent sign,
+    a control character or one of ``\\ ? #``; a leading slash doesn't count. Null where a part isn't safe."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    fine = F.forall(parts, lambda p: p.rlike(r"^[^\x00-\x1F\x7F\\\\/?#%]*[^\x00-\x20\x7F\\\\/?#%]$") & ~p.isin(".", ".."))
+    return F.when(fine, F.array_join(parts, "/"))
+
+
+def image_source(source: Column) -> Column:
+    """Struct (kind, site, page, file) of an image's source: ``url``, or a file of the page (file1), of another page
+    (file2) or of another site (file3, ``site:page/file`` or ``site/page/file``)."""
+    parts = F.split(source, "/")
+    last, folders = F.element_at(parts, -1), F.size(parts) - 1
+    colon, slash = F.instr(source, ":"), F.instr(source, "/")
+    none = F.lit(None).cast("string")
+    before = F.substring_index(source, ":", 1)
+    after = F.substring(source, F.length(before) + 2, F.length(source))
+    inner = F.array_join(F.slice(parts, 2, F.greatest(folders - 1, F.lit(0))), "/")
+
+    def of(kind: str, site: Column = none, page: Column = none, file: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), site.alias("site"), page.alias("page"), file.alias("file"))
+
+    return (
+        F.when(source.rlike("^(?:https?://|/)"), of("url", file=source))
+        .when((colon > 1) & (slash > colon), of("file3", before, F.regexp_replace(after, "/[^/]*$", ""), last))
+        .when(folders >= 2, of("file3", F.get(parts, F.lit(0)), inner, last))
+        .when(slash > 1, of("file2", page=F.get(parts, F.lit(0)), file=F.substring(source, F.length(F.get(parts, F.lit(0))) + 2, F.length(source))))
+        .otherwise(of("file1", file=source))
+    )
+
+
+def image_url(source: Column, page: Column) -> Column:
+    """Where an image is read from: its URL, or a safe path below ``/local--files/``; null where there is none."""
+    found = image_source(source)
+    url = source.rlike(r"^(?://|[A-Za-z][A-Za-z0-9+.-]*://)") & ~source.rlike(r"[\x00-\x1F\x7F\\\\]|^\s|\s$")
+    local = F.when(found["kind"] == "url", F.when(source.rlike("^/(?!/)") & ~source.rlike(r"[\x00-\x1F\x7F\\\\]|\s$"), source)).when(found["kind"] == "file1", F.concat_ws("/", page, found["file"]))
+    local = F.coalesce(local, F.when(found["kind"] != "url", F.concat_ws("/", found["site"], found["page"], found["file"])))
+    # A file's own parts can't hold slashes, so one path has as many parts as it was put together from.
+    return F.when((found["kind"] == "url") & url, source).otherwise(F.concat(F.lit("/local--files/"), safe_local_path(local)))
+
+
+def page_link(page: Column, site: Column, domains: dict[str, str] | None = None) -> Column:
+    """Link of ``page`` (its anchor in lower case) on this site, or on another by its domain: a known one, or a
+    site's name that is a domain itself; else the site's name is part of the path."""
+    bare, anchor = F.substring_index(page, "#", 1), F.regexp_extract(F.lower(page), "(?s)#.*$", 0)
+    bare = F.when(page.contains("#"), F.regexp_replace(bare, "/$", "")).otherwise(bare)
+    route = F.when(page.contains("#/"), F.lower(bare)).when(bare.startswith("/"), F.regexp_replace(F.lower(bare), r"\s+", "-")).otherwise(page_slug(bare))
+    path = F.concat(F.lit("/"), F.regexp_replace(route, "^/", ""), anchor)
+    known = F.create_map(*[F.lit(x) for pair in (domains or {"": ""}).items() for x in pair])
+    domain = F.coalesce(F.nullif(F.try_element_at(known, site), F.lit("")), F.when(site.contains("."), site))
+    away = F.when(domain.isNotNull(), F.concat(F.lit("https://"), F.regexp_replace(domain, "(?i)^https?://|/+$", ""))).otherwise(F.concat(F.lit("/"), page_slug(site)))
+    return F.when(page.startswith("//"), F.lower(page)).otherwise(F.concat(F.coalesce(F.when(F.coalesce(site, F.lit("")) != "", away), F.lit("")), path))
+
+
+#: What ids of embedded providers look like (fixed values).
+PROVIDER_IDS = {
+    "video": "[a-zA-Z0-9_-]+",
+    "github-user": "[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,37}[a-zA-Z0-9])?",
+    "gist": "[a-f0-9]+",
+    "gitlab-snippet": "[0-9]+",
+}
+
+
+def provider_id_fits(text: Column, provider: str) -> Column:
+    """Whether a text can be an id of a provider."""
+    return text.rlike(rf"\A(?:{PROVIDER_IDS[provider]})\z")
+
+
+def stable_hex(text: Column, digits: int) -> Column:
+    """A 32-bit FNV-1a hash of a text's UTF-16 units, once for every eight hex digits with the round in its start value."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0)
+    word = (1 << 32) - 1
+
+    def step(h: Column, unit: Column) -> Column:
+        return (h.bitwiseXOR(F.conv(unit, 16, 10).cast("long")) * 0x01000193).bitwiseAND(word)
+
+    rounds = [F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(0x811C9DC5 ^ n).cast("long"), step)), 8, "0")) for n in range(-(-digits // 8))]
+    return F.substring(F.concat(*rounds), 1, digits)

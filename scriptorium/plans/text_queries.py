@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import dates, text
-from scriptorium.functions.expressions import expression
+from scriptorium.functions.expressions import directives, expression
 from scriptorium.functions.selectors import TagCondition
 from scriptorium.plans.base_sql import LINKS, PAGES, TEXTS, USERS, sql
 from scriptorium.registry import query
@@ -64,6 +64,21 @@ _math("mx_roots", "floor(sqrt(quantity) * 1000 + 0.5) + floor(log(pow(10, line))
 _math("mx_circular", "floor(sin(line) * 1000 + 0.5) + floor(cos(quantity) * 1000 + 0.5) / 7 + floor(tan(line) * 100 + 0.5)", "floor(sin(l_linenumber) * 1000 + 0.5) + floor(cos(l_quantity) * 1000 + 0.5) / 7 + floor(tan(l_linenumber) * 100 + 0.5)")
 
 
+_SOURCE = "Line [[#expr line + 1]]: [[#ifexpr quantity > 25 | big, [[#expr [[#expr quantity]] * 2]] | small]] [[#if [[#expr line - 1]] | later | first]] [[#expr quantity / (line - 2)]][[#expr]][[#if x]] [[#EXPR 1 +]]."
+
+
+@query(
+    "mx_directives",
+    """SELECT l_orderkey, l_linenumber, 'Line ' || (l_linenumber + 1) || ': ' || CASE WHEN l_quantity > 25 THEN 'big, ' || CAST(l_quantity * 2 AS BIGINT) ELSE 'small' END || ' '
+      || CASE WHEN l_linenumber > 1 THEN 'later' ELSE 'first' END || ' ' || CASE l_linenumber WHEN 2 THEN 'ERROR' WHEN 1 THEN CAST(CAST(-l_quantity AS BIGINT) AS VARCHAR)
+      ELSE CASE WHEN l_quantity % (l_linenumber - 2) = 0 THEN CAST(CAST(l_quantity / (l_linenumber - 2) AS BIGINT) AS VARCHAR) ELSE CAST(l_quantity / (l_linenumber - 2) AS VARCHAR) END END || ' ERROR.' AS text FROM lineitem""",
+)
+def directive_texts(spark, folder: str) -> DataFrame:
+    """Expressions and conditions inside a source text, over every row of lineitem."""
+    made = directives(_SOURCE, quantity=F.col("l_quantity"), line=F.col("l_linenumber"))
+    return Wiki(spark, folder).table("lineitem").select("l_orderkey", "l_linenumber", made.alias("text"))
+
+
 @query("mx_truth", "SELECT event_id, NOT (lower(trim(t)) IN ('false', 'null', '', '0')) AS truth FROM (SELECT event_id, [' False ', '0', 'yes', '', 'NULL', '00', event_type][event_id % 7 + 1] AS t FROM events)")
 def truth(spark, folder: str) -> DataFrame:
     words = F.array(*map(F.lit, (" False ", "0", "yes", "", "NULL", "00")), F.col("event_type"))
@@ -170,3 +185,60 @@ def point_lookup(spark, folder: str) -> DataFrame:
     wiki = Wiki(spark, folder)
     wanted = wiki.spark.createDataFrame([(f"{c}:order-{n}",) for c, n in (("o", 11), ("f", 12), ("p", 13), ("o", 12), ("o", 13), ("f", 11), ("p", 11))], "fullname string")
     return wiki.pages().join(F.broadcast(wanted), "fullname", "left_semi").select("page_id", "fullname", "title")
+
+
+_IMAGES = """w_images AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'https://x.example/' || p_partkey || '.png' WHEN 1 THEN '/dir/' || p_partkey || '.png' WHEN 2 THEN 'pic-' || p_partkey || '.png'
+  WHEN 3 THEN 'page-' || p_size || '/pic.png' WHEN 4 THEN 'far:page-' || p_size || '/pic.png' WHEN 5 THEN 'far/page/' || p_partkey ELSE '/a/../b?' END AS source, p_partkey % 7 AS k, p_size FROM part)"""
+
+
+def _images(spark, folder: str) -> DataFrame:
+    key, size, kind = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    sources = [F.concat(F.lit("https://x.example/"), key, F.lit(".png")), F.concat(F.lit("/dir/"), key, F.lit(".png")), F.concat(F.lit("pic-"), key, F.lit(".png")), F.concat(F.lit("page-"), size, F.lit("/pic.png")),
+               F.concat(F.lit("far:page-"), size, F.lit("/pic.png")), F.concat(F.lit("far/page/"), key), F.lit("/a/../b?")]
+    return Wiki(spark, folder).table("part").select("p_partkey", F.get(F.array(*sources), kind.cast("int")).alias("source"))
+
+
+@query(
+    "st_image_source",
+    sql(_IMAGES, body="""SELECT p_partkey, CASE WHEN k IN (0, 1, 6) THEN 'url' WHEN k = 2 THEN 'file1' WHEN k = 3 THEN 'file2' ELSE 'file3' END AS kind, CASE WHEN k IN (4, 5) THEN 'far' END AS site,
+      CASE WHEN k IN (3, 4) THEN 'page-' || p_size WHEN k = 5 THEN 'page' END AS page, CASE WHEN k IN (3, 4) THEN 'pic.png' WHEN k = 5 THEN CAST(p_partkey AS VARCHAR) ELSE source END AS file,
+      CASE k WHEN 0 THEN source WHEN 1 THEN '/local--files' || source WHEN 2 THEN '/local--files/here/' || source WHEN 3 THEN '/local--files/' || source WHEN 4 THEN '/local--files/far/page-' || p_size || '/pic.png'
+        WHEN 5 THEN '/local--files/' || source END AS url FROM w_images"""),
+)
+def image_sources(spark, folder: str) -> DataFrame:
+    """Image sources by kind, and where each is read from; an unsafe path has no place."""
+    found = _images(spark, folder).withColumn("at", text.image_source(F.col("source")))
+    return found.select("p_partkey", "at.kind", "at.site", "at.page", "at.file", text.image_url(F.col("source"), F.lit("here")).alias("url"))
+
+
+@query("st_safe_path", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'a/size ' || p_size || '/b' END AS path FROM part")
+def safe_paths(spark, folder: str) -> DataFrame:
+    name, kind = F.concat(F.lit("size "), F.col("p_size").cast("string")), (F.col("p_partkey") % 4).cast("int")
+    made = F.get(F.array(F.concat(F.lit("/a/"), name, F.lit("/b")), F.concat(F.lit("a/./"), name), F.concat(F.lit("a//"), name), F.concat(name, F.lit("#/x"))), kind)
+    return Wiki(spark, folder).table("part").select("p_partkey", text.safe_local_path(made).alias("path"))
+
+
+@query(
+    "st_page_link",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://one.example' WHEN 2 THEN 'https://two.example' ELSE '/three' END || '/page-' || p_size || '#part-' || lower(p_brand) AS link FROM part""",
+)
+def page_links(spark, folder: str) -> DataFrame:
+    """Links to pages of this site, of a site with a known domain, of one named by its domain, and of another."""
+    site = F.get(F.array(F.lit(None).cast("string"), F.lit("one"), F.lit("two.example"), F.lit("Three")), (F.col("p_partkey") % 4).cast("int"))
+    page = F.concat(F.lit("Page "), F.col("p_size").cast("string"), F.lit("#Part-"), "p_brand")
+    return Wiki(spark, folder).table("part").select("p_partkey", text.page_link(page, site, {"one": "http://one.example//"}).alias("link"))
+
+
+@query("st_provider_ids", "SELECT p_partkey, regexp_full_match(p_brand, '[a-zA-Z0-9_-]+') AS video, regexp_full_match(CAST(p_partkey AS VARCHAR), '[0-9]+') AND p_partkey % 2 = 0 AS snippet, p_size % 2 = 0 AS hash FROM part")
+def provider_ids(spark, folder: str) -> DataFrame:
+    snippet = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x"))
+    digest = F.when(F.col("p_size") % 2 == 0, F.md5("p_name")).otherwise(F.upper(F.concat(F.md5("p_name"), F.lit("f"))))
+    return Wiki(spark, folder).table("part").select(
+        "p_partkey", text.provider_id_fits(F.col("p_brand"), "video").alias("video"), text.provider_id_fits(snippet, "gitlab-snippet").alias("snippet"), text.provider_id_fits(digest, "gist").alias("hash")
+    )
+
+
+@query("da_date_element", """SELECT event_id, '<span class="odate time_' || CAST(floor(epoch(ts)) AS BIGINT) || ' format_%25e%20%25b%7Cagohover">' || strftime(ts, '%d %b %Y %H:%M') || '</span>' AS element FROM events""")
+def date_elements(spark, folder: str) -> DataFrame:
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return Wiki(spark, folder).table("events").select("event_id", dates.date_element(seconds, "%e %b", hover=True).alias("element"))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.functions.dates import strftime
-from scriptorium.functions.expressions import ExpressionError, expression
+from scriptorium.functions.dates import date_element, defaulted, strftime, valid_date
+from scriptorium.functions.expressions import ExpressionError, directives, expression
 from scriptorium.functions.selectors import TagCondition, category_predicate, date_predicate, number_predicate, parent_name, tags_predicate
 from scriptorium.operators.aggregates import cloud_limit
 from scriptorium.operators.listing import Host, PageQuery, Template, bound_query, pager_neighbours, pager_pages, pager_parameters, pager_url, parse_order, url_parameters
@@ -127,3 +127,45 @@ def test_host_refuses_what_it_does_not_have():
     for query in (PageQuery(rating=">1"), PageQuery(order="random"), PageQuery(parent="-")):
         with pytest.raises(ValueError, match="support"):
             host.accepted(query)
+
+
+@pytest.mark.parametrize(
+    ("source", "shown"),
+    [
+        ("a [[#expr 2*3]] b", "a 6 b"), ("[[#expr 1/0]]", "ERROR"), ("[[#expr nope]]", "ERROR"), ("[[#expr ]]", ""), ("[[#if yes | a | b]][[#if 0|a|b]]", "ab"), ("[[#if x]]", ""),
+        ("[[#ifexpr 2 > 1 | [[#if false | q | [[#expr 4/8]]]] ]]", "0.5"), ("[[#ifexpr [[#expr 1+1]] = 2 | two]]", "two"), ("[[#ifexpr ( | a | b]]", "ERROR"), ("[[#other 1]]", "[[#other 1]]"),
+    ],
+)
+def test_directives(spark, source, shown):
+    assert value(spark, directives(source)) == shown
+
+
+def test_directives_too_deep(spark):
+    source = "[[#if 1 | " * 65 + "x" + "]]" * 65
+    assert value(spark, directives(source)) == source
+
+
+def plain_fnv(text_, digits):
+    out = ""
+    for n in range(-(-digits // 8)):
+        h = 0x811C9DC5 ^ n
+        data = text_.encode("utf-16-be")
+        for k in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[k : k + 2], "big")) * 0x01000193 % 2**32
+        out += f"{h:08x}"
+    return out[:digits]
+
+
+def test_hashes_dates_and_paths(spark):
+    for text_ in ("", "abc", "žó😀 x", "a" * 300):
+        assert value(spark, text.stable_hex(F.lit(text_), 32)) == plain_fnv(text_, 32) and value(spark, text.stable_hex(F.lit(text_), 40)) == plain_fnv(text_, 40)
+    assert value(spark, date_element(F.lit(0))) == '<span class="odate time_0">01 Jan 1970 00:00</span>'
+    assert value(spark, date_element(F.lit(60), "%d|agohover", True)) == '<span class="odate time_60 format_%25d%7Cagohover">01 Jan 1970 00:01</span>'
+    assert value(spark, valid_date(F.lit("2020-02-29 10:00:00"))) == datetime(2020, 2, 29, 10) and value(spark, valid_date(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="Invalid page date: 2020-02-30"):
+        value(spark, valid_date(F.lit("2020-02-30")))
+    assert value(spark, defaulted(F.lit(None).cast("timestamp"))) is not None
+    for path in ("", "a/b ", "a/\x01", "..", "a\\b", "a#b", "a/%41"):
+        assert value(spark, text.safe_local_path(F.lit(path))) is None
+    assert value(spark, text.page_link(F.lit("//Other.example/X"), F.lit(None).cast("string"))) == "//other.example/x"
+    assert value(spark, text.page_link(F.lit("/My Route/"), F.lit(""))) == "/my-route/"
