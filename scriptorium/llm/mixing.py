@@ -74,6 +74,7 @@ def mix_sources(
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("text").alias("tie"), *keys)
     with Scratch(docs.sparkSession) as scratch:
+        sized = scratch.write(sized)  # ranking reads its rows twice, and words should be counted once
         order = (F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc(), F.col("tie").asc())
         rows = ranked(sized, scratch, *order)
         totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("rank").alias("first"))
