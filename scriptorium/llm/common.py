@@ -71,6 +71,13 @@ class Scratch:
         fs.deleteOnExit(at)
         return table
 
+    def folder(self) -> str:
+        """An empty place for files that the result reads; it goes when the application ends."""
+        path = f"{shared_dir(self.spark)}/scriptorium/{uuid.uuid4().hex}"
+        fs, at = self._fs(path)
+        fs.deleteOnExit(at)
+        return path
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables whose last reader is done."""
         for table in tables:

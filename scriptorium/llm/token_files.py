@@ -8,7 +8,6 @@ long text is one row, whole. An empty table gives files without rows. Extra colu
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import parts, shared_dir
+from scriptorium.llm.common import Scratch, parts
 from scriptorium.llm.tokens import chunk_memo, tokenizer_path
 
 #: One row per document: its ids (the end id included) and their number.
@@ -99,6 +98,6 @@ def token_positions(files: DataFrame, end_id: int = 1) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files of the word-end BPE, read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    path = Scratch(spark).folder()
     write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"))
     return token_positions(read_token_files(spark, path))
