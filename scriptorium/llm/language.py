@@ -32,8 +32,10 @@ from scriptorium.llm.common import arrow_batches, parts, release_memory
 
 #: Subword lengths in bytes, buckets for each, and the embedding's width.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 14, 16
-#: At most so many labelled rows are learned from; a fifth of them calibrate.
+#: At most so many labelled rows are learned from; a fifth of them calibrate. Few rows are gone through more often, until
+#: there are as many steps as all of them would make.
 SAMPLE, EPOCHS, RATE = 2000, 4, 0.6
+STEPS = SAMPLE * EPOCHS * 4 // 5
 #: Share of the calibration rows' correct predictions that rejection may cost.
 COST = 0.002
 
@@ -111,8 +113,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 5, cost: flo
     embed = (rng.random((BUCKETS * len(ORDERS), WIDTH), dtype=np.float32) - 0.5) / WIDTH
     layer = (rng.random((WIDTH, len(languages)), dtype=np.float32) - 0.5) / WIDTH
     bias = np.zeros(len(languages), np.float32)
-    steps, done = EPOCHS * len(learn), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(learn)))
+    steps, done = epochs * len(learn), 0
+    for _ in range(epochs):
         for n in rng.permutation(len(learn)):
             at, share, lang = learn[n]
             rate = RATE * (1 - done / steps) + 1e-3
