@@ -3,9 +3,10 @@
 Every vector belongs to its nearest pivot, and there are about as many pivots as the square root of the rows, up to a
 bound. A cell's summary (count and radius r) bounds the scores of its vectors for any query: q.x <= q.p + |q| r. Each query
 is solved in the cells nearest to it that hold rows enough, which gives a score that its k-th hit must reach. It then goes only to the other cells that can reach that score, and brings from
-them only hits that do. Queries of one first cell stand in blocks, for they want much the same cells, and a cell's rows
-are copied to the blocks of which some query wants it, to no others. Cells are dealt in slices of bounded size, so a
-large cell, or many copies of one vector, is spread over tasks; each slice is solved locally and the hits are merged.
+them only hits that do. Queries whose first cells are near each other stand in blocks of QUERY_BLOCK, for they want much
+the same cells, and a cell's rows are copied to the blocks of which some query wants it, to no others. Cells are dealt to
+bins of bounded size, a large cell, or many copies of one vector, to several; each bin is solved locally and the hits are
+merged.
 
 Vectors that are null or hold null or non-finite components take no part; a null id neither. Components are whole numbers
 in doubles, exact up to 2**53; a score that doesn't fit a long raises an error. Vectors of different lengths are
@@ -20,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import Scratch, release_memory
 
 #: Most pivots (their vectors and summaries are what the driver and the tasks hold), and queries in a block.
 PIVOTS, QUERY_BLOCK = 1024, 2048
-#: Rows in a slice of a cell, and times k rows that a query's first cells hold.
-SLICE, FIRST_ROWS = 32768, 4
+#: Rows that are solved together, queries that are scored at once, and times k rows that a query's first cells hold.
+BIN, AT_ONCE, FIRST_ROWS = 8192, 256, 4
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
+    if len(vectors) and all(len(v) == dims for v in vectors):
+        return np.stack(vectors.to_list()).astype(float)
     out = np.zeros((len(vectors), dims))
     for n, v in enumerate(vectors):
         out[n, : len(v)] = v
@@ -60,6 +63,22 @@ class Cells:
         order = np.argsort(-(q @ self.pivot.T), axis=1, kind="stable")
         return [self.number[o[: int(np.searchsorted(self.count[o].cumsum(), rows)) + 1]] for o in order]
 
+    def dealt(self, rows: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+        """For each cell with rows the first part that they go to and how many parts they are spread over. Cells stand in
+        order along the axis of largest spread of their pivots; small neighbours share a part of ``size`` rows."""
+        spread = self.pivot - self.pivot.mean(0)
+        axis = np.linalg.svd(spread, full_matrices=False)[2][0]
+        out, part, room = {}, -1, 0
+        for cell in self.number[np.argsort(spread @ axis, kind="stable")].tolist():
+            n = rows.get(cell, 0)
+            if n > size:
+                out[cell], part, room = (part + 1, -(-n // size)), part + -(-n // size), 0
+            elif n:
+                if n > room:
+                    part, room = part + 1, size
+                out[cell], room = (part, 1), room - n
+        return out
+
     def able(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Queries x cells: whether a vector of the cell can reach the query's score."""
         at, wide = q @ self.pivot.T, np.sqrt((q**2).sum(1))[:, None] * self.radius
@@ -100,20 +119,30 @@ def _other_cells(cells: Cells, dims: int):
 
 def _solve(dims: int, k: int):
     def solve(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        """The k best rows of a slice for each query of a block, of those that reach the query's score."""
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")]
+        """The k best rows of a bin for each query of a block, of those that reach the query's score."""
+        out = [(np.zeros(0, np.int64),) * 3]
         if len(x) and len(q):
             x = x.sort_values("vec_id", kind="stable", ignore_index=True)
-            ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
-            scores = _exact_scores(_matrix(q["q"], dims), _matrix(x["v"], dims))
-            for query, row, least in zip(own, scores, q["least"].to_numpy()):
-                able = np.flatnonzero((row >= least) & (ids != query))
-                if len(able) > k:
-                    floor = np.partition(row[able], -k)[-k]
-                    able = able[row[able] >= floor]
-                able = able[np.argsort(-row[able], kind="stable")][:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[able], "score": row[able].astype("int64")}))
-        return pd.concat(out, ignore_index=True)
+            rows, ids, cell = _matrix(x["v"], dims), x["vec_id"].to_numpy(), x["cell"].to_numpy()
+            most = int(cell.max())
+            for at in range(0, len(q), AT_ONCE):
+                some = q.iloc[at : at + AT_ONCE]
+                own = some["query_id"].to_numpy()
+                scores = _exact_scores(_matrix(some["q"], dims), rows)
+                able = (scores >= some["least"].to_numpy()[:, None]) & (ids != own[:, None])
+                for n, wanted in enumerate(some["cells"]):  # a bin has cells that the query doesn't want, or has seen
+                    mine = np.zeros(most + 1, bool)
+                    mine[wanted[wanted <= most]] = True
+                    able[n] &= mine[cell]
+                for n in np.flatnonzero(able.sum(1) > k):  # the k best of more, ties to the smaller id
+                    there = np.flatnonzero(able[n])
+                    row = scores[n, there]
+                    there = there[row >= np.partition(row, -k)[-k]]
+                    able[n] = False
+                    able[n, there[np.argsort(-scores[n, there], kind="stable")][:k]] = True
+                query, hit = np.nonzero(able)
+                out.append((own[query], ids[hit], scores[query, hit].astype(np.int64)))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     return solve
 
@@ -133,18 +162,26 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = 1024.0,
         # As many rows as there are pivots come to the driver.
         summaries = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
         cells = Cells(centre, summaries)
-        slices = F.create_map(*[F.lit(x) for c in summaries for x in (int(c["cell"]), -(-int(c["n"]) // SLICE))])
-        block = F.pmod(F.xxhash64("query_id"), F.lit(-(-facts["queries"] // QUERY_BLOCK))).cast("int")
+        bins = cells.dealt({c["cell"]: c["n"] for c in summaries}, BIN)
         query = "query_id long, q array<long>, home int, cells array<int>"
-        asked = scratch.write(celled.filter(is_query).select("vec_id", "v").mapInPandas(_first_cells(cells, dims, FIRST_ROWS * k), query).withColumn("block", block))
+        asked = scratch.write(celled.filter(is_query).select("vec_id", "v").mapInPandas(_first_cells(cells, dims, FIRST_ROWS * k), query))
+        blocks = cells.dealt({r["home"]: r["count"] for r in asked.groupBy("home").count().collect()}, QUERY_BLOCK)
+
+        def part(parts: dict[int, tuple[int, int]], cell: Column, n: int) -> Column:
+            return F.element_at(F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p[n])]), cell)
+
+        def dealt(parts: dict[int, tuple[int, int]], cell: str, by: str) -> Column:
+            return (part(parts, F.col(cell), 0) + F.pmod(F.xxhash64(by), part(parts, F.col(cell), 1))).cast("int")
+
+        asked = asked.withColumn("block", dealt(blocks, "home", "query_id"))
 
         def hits(queries: DataFrame) -> DataFrame:
             """Of queries with the cells that each wants: their best hits there."""
-            wants = queries.select("query_id", "q", "least", F.explode("cells").alias("cell"), "home", "block")
-            needed = scratch.write(wants.select("cell", "home", "block").distinct())
-            data = celled.join(needed, "cell").select("vec_id", "v", "cell", "home", "block", F.pmod(F.xxhash64("vec_id"), F.element_at(slices, F.col("cell"))).alias("slice"))
-            wants = wants.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), (F.element_at(slices, F.col("cell")) - 1).cast("long"))))
-            key = ("cell", "slice", "home", "block")
+            needed = scratch.write(queries.select(F.explode("cells").alias("cell"), "block").distinct())
+            data = celled.join(needed, "cell").select("vec_id", "v", "cell", dealt(bins, "cell", "vec_id").alias("bin"), "block")
+            every = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(part(bins, c, 0), part(bins, c, 0) + part(bins, c, 1) - 1))))
+            wants = queries.select("query_id", "q", "least", "cells", F.explode(every).alias("bin"), "block")
+            key = ("bin", "block")
             return data.groupBy(*key).cogroup(wants.groupBy(*key)).applyInPandas(_solve(dims, k), "query_id long, vec_id long, score long")
 
         first = scratch.write(hits(asked.withColumn("least", F.lit(float("-inf")))))

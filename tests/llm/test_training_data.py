@@ -423,6 +423,12 @@ def test_topk_goes_to_few_cells():
     best = np.argsort(-scores, axis=1)[:, :10]
     assert all(able[n, cell[b]].all() for n, b in enumerate(best))
     assert all(sum(summaries[c]["n"] for c in found) >= 40 for found in cells.nearest(q, 40))
+    asked = {c: 30 if c % 3 else 250 for c in range(40) if c != 7}
+    places, loads = cells.dealt(asked, 100), Counter()
+    for c, (first, spread) in places.items():
+        for b in range(first, first + spread):
+            loads[b] += asked[c] / spread
+    assert set(places) == set(asked) and max(loads.values()) <= 100 and len(loads) <= 2 * sum(asked.values()) / 100 and set(loads) == set(range(len(loads)))
 
 
 def test_lines_beside_sql(spark):
