@@ -120,6 +120,47 @@ def modules(texts: DataFrame) -> DataFrame:
     return rows.select("page_id", "ord", F.lower(F.regexp_extract("open", opening, 1)).alias("name"), F.map_from_arrays(F.transform(keys, F.lower), values).alias("arguments"))
 
 
+def module_instances(texts: DataFrame) -> DataFrame:
+    """Modules with ``instance``: their place among the modules of their own kind on the page, from 0."""
+    mine = Window.partitionBy("page_id", "name").orderBy("ord")
+    return modules(texts).withColumn("instance", F.row_number().over(mine) - 1)
+
+
+def module_counts(texts: DataFrame) -> DataFrame:
+    """(page_id, name, modules): how many modules of each kind a page has."""
+    return modules(texts).groupBy("page_id", "name").agg(F.count("*").alias("modules"))
+
+
+def footnotes(texts: DataFrame) -> DataFrame:
+    """(page_id, number, body): footnotes in order, numbered from 1, each reference with its body."""
+    found = F.regexp_extract_all("source_text", F.lit(r"(?is)\[\[footnote\]\](.*?)\[\[/footnote\]\]"), 1)
+    return texts.select("page_id", F.posexplode(found).alias("ord", "body")).select("page_id", (F.col("ord") + 1).alias("number"), F.trim("body").alias("body"))
+
+
+def bibliography(texts: DataFrame) -> DataFrame:
+    """(page_id, number, label, entry): entries of the bibliographies of a page, numbered from 1; of a label that
+    stands there twice the first entry counts."""
+    blocks = F.array_join(F.regexp_extract_all("source_text", F.lit(r"(?is)\[\[bibliography\]\](.*?)\[\[/bibliography\]\]"), 1), "\n")
+    rows = texts.select("page_id", F.posexplode(F.regexp_extract_all(blocks, F.lit(r"(?m)^: *([^:\n]+?) *: *[^\n]*$"), 0)).alias("ord", "line"))
+    label, entry = (F.trim(F.regexp_extract("line", r"^: *([^:\n]+?) *: *([^\n]*)$", n)) for n in (1, 2))
+    first = rows.select("page_id", "ord", label.alias("label"), entry.alias("entry")).groupBy("page_id", "label").agg(F.min(F.struct("ord", "entry")).alias("e"))
+    return first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("e.ord")).alias("number"), "label", "e.entry")
+
+
+def citations(texts: DataFrame) -> DataFrame:
+    """(page_id, ord, label, number, entry): references to bibliography entries; number and entry are null for an unknown label."""
+    found = F.regexp_extract_all("source_text", F.lit(r"\(\(bibcite +([^)\s]+) *\)\)"), 1)
+    return texts.select("page_id", F.posexplode(found).alias("ord", "label")).join(bibliography(texts), ["page_id", "label"], "left").select("page_id", "ord", "label", "number", "entry")
+
+
+def equation_references(texts: DataFrame) -> DataFrame:
+    """(page_id, ord, name, number): references to named equations with their numbers, which all equations of a page count in."""
+    maths = F.regexp_extract_all("source_text", F.lit(r"(?i)\[\[math(?: +([^\]\s]+))? *\]\]"), 1)
+    numbered = texts.select("page_id", F.posexplode(maths).alias("at", "name")).filter("name <> ''").groupBy("page_id", "name").agg((F.min("at") + 1).alias("number"))
+    refs = texts.select("page_id", F.posexplode(F.regexp_extract_all("source_text", F.lit(r"(?i)\[\[eref +([^\]\s]+) *\]\]"), 1)).alias("ord", "name"))
+    return refs.join(numbered, ["page_id", "name"], "left").select("page_id", "ord", "name", "number")
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """(page_id, ord, kind, value, start): marks, words, white space and other characters, in order; they make up the text."""
     pattern = r"\[\[\[|\]\]\]|\[\[/?|\]\]|\*\*|//|__|--|\^\^|,,|\{\{|\}\}|@@|##|\|\||\n|[ \t]+|[\p{L}\p{N}]+|[\s\S]"

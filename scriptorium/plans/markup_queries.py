@@ -80,13 +80,15 @@ def module_rows(spark, folder: str) -> DataFrame:
     return found.select("page_id", "ord", "name", found["arguments"]["category"].alias("category"), found["arguments"]["perpage"].alias("per_page"))
 
 
-@query("nd_tokens", sql(SOURCES, body="SELECT page_id, length(source_text) AS chars, sha256(source_text) AS digest FROM w_src"))
+@query("nd_tokens", sql(SOURCES, body=r"""SELECT page_id, length(source_text) AS chars, sha256(source_text) AS digest, length(source_text) - length(replace(source_text, chr(10), '')) AS newlines,
+  len(regexp_extract_all(source_text, '[\p{L}\p{N}]+')) AS words, len(regexp_extract_all(source_text, '[ \t]+')) AS spaces FROM w_src"""))
 def token_rows(spark, folder: str) -> DataFrame:
-    """Tokens put together again give the text, and their starts its length."""
+    """Tokens put together again give the text, and their starts its length; kinds are counted."""
     found = markup.tokens(sources(spark, folder))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda t: t["value"]), "")
     chars = F.max(F.col("start") + F.length("value"))
-    return found.groupBy("page_id").agg(chars.alias("chars"), F.sha2(ordered, 256).alias("digest"))
+    kinds = [F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("newline", "newlines"), ("text", "words"), ("space", "spaces"))]
+    return found.groupBy("page_id").agg(chars.alias("chars"), F.sha2(ordered, 256).alias("digest"), *kinds)
 
 
 @query("dc_heading_of_html", "SELECT page_id, '+ ' || replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages")
@@ -115,3 +117,43 @@ def gallery(spark, folder: str) -> DataFrame:
     found = lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(files.alias("files"))
     names = lambda order: F.array_join(F.transform(markup.gallery_order(F.col("files"), order), lambda f: f["name"]), " ")
     return found.select("page_id", names("created_at desc").alias("by_time"), names("name desc").alias("by_name"))
+
+
+#: A text with footnotes, citations, equations and modules; a third of the parts lack the last equation.
+_NOTED = [
+    "Text[[footnote]] first ", "{key}", "[[/footnote]] and ((bibcite b)) then ((bibcite none))[[footnote]]second[[/footnote]]\n[[math one]]\nx\n[[/math]]\n[[math]]\nz\n[[/math]]\nsee [[eref two]] [[eref none]] [[eref one]]\n",
+    "[[bibliography]]\n: a : Alpha\n: b : Beta ", "{size}", "\n: a : again\n[[/bibliography]]\n[[module Rate]][[module ListPages category=\"x\"]][[module rate]]\n",
+]
+_LAST = "[[math two]]\ny\n[[/math]]"
+NOTED = "w_noted AS (SELECT p_partkey AS page_id, p_partkey, p_size FROM part)"
+
+
+def noted(spark, folder: str) -> DataFrame:
+    columns = {"{size}": F.col("p_size").cast("string"), "{key}": F.col("p_partkey").cast("string")}
+    source = F.concat(*[columns.get(p, F.lit(p)) for p in _NOTED], F.when(F.col("p_partkey") % 3 != 0, _LAST).otherwise(""))
+    return Wiki(spark, folder).table("part").select(F.col("p_partkey").alias("page_id"), source.alias("source_text"))
+
+
+@query("wn_footnotes", sql(NOTED, body="SELECT page_id, 1 AS number, 'first ' || p_partkey AS body FROM w_noted UNION ALL SELECT page_id, 2, 'second' FROM w_noted"))
+def footnote_rows(spark, folder: str) -> DataFrame:
+    return markup.footnotes(noted(spark, folder))
+
+
+@query("jn_citations", sql(NOTED, body="SELECT page_id, 0 AS ord, 'b' AS label, 2 AS number, 'Beta ' || p_size AS entry FROM w_noted UNION ALL SELECT page_id, 1, 'none', NULL, NULL FROM w_noted"))
+def citation_rows(spark, folder: str) -> DataFrame:
+    return markup.citations(noted(spark, folder))
+
+
+@query("jn_equation_references", sql(NOTED, body="SELECT page_id, 0 AS ord, 'two' AS name, CASE WHEN p_partkey % 3 <> 0 THEN 3 END AS number FROM w_noted UNION ALL SELECT page_id, 1, 'none', NULL FROM w_noted UNION ALL SELECT page_id, 2, 'one', 1 FROM w_noted"))
+def equation_rows(spark, folder: str) -> DataFrame:
+    return markup.equation_references(noted(spark, folder))
+
+
+@query("wn_module_instances", sql(NOTED, body="SELECT page_id, ord, CASE ord WHEN 1 THEN 'listpages' ELSE 'rate' END AS name, CASE ord WHEN 2 THEN 1 ELSE 0 END AS instance FROM w_noted, range(3) r(ord)"))
+def instance_rows(spark, folder: str) -> DataFrame:
+    return markup.module_instances(noted(spark, folder)).select("page_id", "ord", "name", "instance")
+
+
+@query("ag_module_counts", sql(NOTED, body="SELECT page_id, unnest(['listpages', 'rate']) AS name, unnest([1, 2]) AS modules FROM w_noted"))
+def module_count_rows(spark, folder: str) -> DataFrame:
+    return markup.module_counts(noted(spark, folder))
