@@ -163,12 +163,15 @@ def learnable() -> str:
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most ``sample`` learnable rows; only their bucket counts come to the driver.
 
-    Each language gives as many rows as any other while it has them, those of smallest hashed id, so that a rare
-    language is learned too.
+    Each language gives as many rows as any other while it has them, those of the smallest hash of id and text, so
+    that a rare language is learned too.
     """
-    mine = docs.filter(learnable()).select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("tie"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie"))
-    chosen = mine.select("lang", "place", "tie", turn.alias("turn")).filter(F.col("turn") <= sample).orderBy("turn", "place", "lang", "tie").limit(sample)
+    mine = docs.filter(learnable()).select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("place"), F.xxhash64("text").alias("tie"))
+    # Of a large language only rows with a low hash are ranked: twice as many as can be wanted, and the lowest are among them.
+    low = F.shiftrightunsigned("place", 1).cast("double") / float(1 << 63)
+    few = mine.join(mine.groupBy("lang").agg(F.count("*").alias("n")), "lang").filter(low < F.lit(2.0 * sample + 200) / F.col("n"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(low, "place", "tie"))
+    chosen = few.select("lang", "place", "tie", turn.alias("turn")).filter(F.col("turn") <= sample).orderBy("turn", "lang", "place", "tie").limit(sample)
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release_memory()
