@@ -46,9 +46,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = _numbered(docs, scratch)
     groups = near_duplicates(keyed.select(F.col("row_no").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("row_no"), "component_id")
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no")
-    named = groups.join(keyed.select("row_no", "doc_id"), "row_no")
-    first = named.groupBy("component_id").agg(F.min(ranked)["row_no"].alias("row_no"), F.count("*").alias("n"))
-    gone = scratch.keep(named.join(first.filter("n > 1").select("component_id", F.col("row_no").alias("stays")), "component_id").filter("row_no <> stays").select("row_no"))
+    with Scratch(spark) as passing:
+        named = passing.write(groups.join(keyed.select("row_no", "doc_id"), "row_no"))
+        first = named.groupBy("component_id").agg(F.min(ranked)["row_no"].alias("stays"), F.count("*").alias("n"))
+        # Written, so that a join alone deals out the groups and Spark can split a large one.
+        first = passing.write(first.filter("n > 1").select("component_id", "stays"))
+        gone = scratch.keep(named.join(first, "component_id").filter("row_no <> stays").select("row_no"))
     # Merged at every size: what goes grows with the documents, so it is never broadcast.
     return keyed.join(gone.hint("merge"), "row_no", "left_anti").select(*COLUMNS)
 
