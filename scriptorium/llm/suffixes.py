@@ -331,10 +331,10 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
         found = scratch.write(long.mapInArrow(_anchor_rows, "key long, doc long, tie long, at int, before short, more short"), rows=1024)
         shared = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", width.alias("width")))
         own = scratch.keep(found.join(shared, "key").groupBy("doc", "tie").agg(F.collect_set(F.struct("key", "at", "before", "more", "width")).alias("own")))
-    members = keyed.join(own, ["doc", "tie"]).select("doc", "tie", "text", "own").mapInArrow(_members, MEMBER)
+    members = keyed.join(own, ["doc", "tie"]).select("doc_id", "doc", "tie", "text", "own").mapInArrow(_members, MEMBER)
     runs = members.repartition("key").sortWithinPartitions("key").mapInPandas(_solved, "doc long, tie long, first int, last int")
     runs = runs.groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    out = keyed.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs")
+    out = keyed.join(runs, ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "runs")
     return out.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string")
 
 
