@@ -13,6 +13,7 @@ from scriptorium.llm.media import op4_media
 from scriptorium.llm.minhash import OP1_SQL, op1_minhash
 from scriptorium.llm.mixing import OP9_SQL, op9_mixing
 from scriptorium.llm.packing import op3_packing
+from scriptorium.llm.phrases import OP11_SQL, op11_phrases
 from scriptorium.llm.suffixes import op6_suffixes
 from scriptorium.llm.token_files import op5_token_files
 from scriptorium.llm.topk import OP2_SQL, op2_topk
@@ -28,6 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
+    "op11_phrases": op11_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_topk": OP2_SQL, "op8_chat": OP8_SQL, "op9_mixing": OP9_SQL, "op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": OP1_SQL,
+    "op2_topk": OP2_SQL,
+    "op8_chat": OP8_SQL,
+    "op9_mixing": OP9_SQL,
+    "op10_lines": OP10_SQL,
+    "op11_phrases": OP11_SQL,
+}
