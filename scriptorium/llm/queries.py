@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.chat import OP8_SQL, op8_chat
+from scriptorium.llm.divergence import OP13_SQL, op13_divergence
 from scriptorium.llm.language import op7_language
 from scriptorium.llm.lines import OP10_SQL, op10_lines
 from scriptorium.llm.media import op4_media
@@ -14,6 +15,7 @@ from scriptorium.llm.minhash import OP1_SQL, op1_minhash
 from scriptorium.llm.mixing import OP9_SQL, op9_mixing
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.phrases import OP11_SQL, op11_phrases
+from scriptorium.llm.secrets import OP12_SQL, op12_secrets
 from scriptorium.llm.suffixes import op6_suffixes
 from scriptorium.llm.token_files import op5_token_files
 from scriptorium.llm.topk import OP2_SQL, op2_topk
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
     "op11_phrases": op11_phrases,
+    "op12_secrets": op12_secrets,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mixing": OP9_SQL,
     "op10_lines": OP10_SQL,
     "op11_phrases": OP11_SQL,
+    "op12_secrets": OP12_SQL,
+    "op13_divergence": OP13_SQL,
 }
