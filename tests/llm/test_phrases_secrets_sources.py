@@ -207,10 +207,16 @@ def test_secrets(spark, secret_rows, sample, texts, odds):
 def test_model_tells_random_strings_from_names(spark, secret_rows):
     rng = random.Random(6)
     planted = [(1000 + i, f"we keep {random_string(rng, 40)} here", "en", "s") for i in range(40)]
+    parts = ["con", "fig", "ura", "tion", "set", "val", "ue", "note", "of", "every", "rel", "ease", "count", "The", "ele", "ments", "By", "name", "ing", "er", "est"]
+    parts += [p.upper() for p in parts]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 5))) for _ in range(3000)]
+    words += ["_".join(rng.choice(parts) for _ in range(3)) for _ in range(500)] + ["-".join(rng.choice(parts) for _ in range(3)) for _ in range(500)]
+    planted += [(3000 + i, " ".join(words[i * 40 : i * 40 + 40]) + f" secret={random_string(rng, 40)}", "en", "s") for i in range(100)]
     clean = [(2000 + i, f"we call {name} here, and {name.upper()} there", "en", "s") for i, name in enumerate(["set_configuration_value", "notes-of-every-release", "countTheElementsByName"])]
     got = {r["doc_id"]: r["spans"] for r in find_secrets(frame(spark, secret_rows + planted + clean)).collect()}
-    assert sum(len(got[i]) == 1 and got[i][0][:] == ("random", 8, 48) for i, *_ in planted) >= 38
+    assert sum(len(got[i]) == 1 and got[i][0][:] == ("random", 8, 48) for i, *_ in planted[:40]) >= 38
     assert not any(got[i] for i, *_ in clean)
+    assert all(kind != "random" for i, *_ in planted[40:] for kind, *_ in got[i])
 
 
 def test_secrets_without_a_sample(spark):
