@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -53,23 +54,27 @@ class Scratch:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _written(self, df: DataFrame, rows: int | None, options: dict[str, str]) -> tuple[DataFrame, str]:
+    def _written(self, df: DataFrame, rows: int | None, options: dict[str, str], stays: bool) -> tuple[DataFrame, str]:
         path = f"{shared_dir(self.spark)}/scriptorium/{uuid.uuid4().hex}"
-        with arrow_batches(self.spark, rows):
-            df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+        fs, at = self._fs(path)
+        if stays:
+            fs.deleteOnExit(at)
+        try:
+            with arrow_batches(self.spark, rows):
+                df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+        except BaseException:
+            fs.delete(at, True)  # what a failed job has written
+            raise
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def write(self, df: DataFrame, rows: int | None = None, **options: str) -> DataFrame:
         """A table for this run alone; ``rows``: at most so many rows in the Arrow batches on the way."""
-        self.tables.append(self._written(df, rows, options))
+        self.tables.append(self._written(df, rows, options, False))
         return self.tables[-1][0]
 
     def keep(self, df: DataFrame, rows: int | None = None, **options: str) -> DataFrame:
         """A table that the result reads after this run."""
-        table, path = self._written(df, rows, options)
-        fs, at = self._fs(path)
-        fs.deleteOnExit(at)
-        return table
+        return self._written(df, rows, options, True)[0]
 
     def folder(self) -> str:
         """An empty place for files that the result reads; it goes when the application ends."""
@@ -114,6 +119,24 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name for select, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(frame: DataFrame, name: str) -> str:
+    """How a frame spells a column, letter case apart."""
+    return next(c for c in frame.columns if c.lower() == name.lower())
+
+
+def in_arrow(frame: DataFrame, change: Callable, kept: Iterable[T.StructField], added: T.StructType) -> DataFrame:
+    """``change`` over the frame's batches, whose columns are named c0, c1, ... on the way, as names may have any characters. It
+    gives the columns ``kept`` and then ``added``."""
+    fields = [*kept, *added]
+    plain = T.StructType([T.StructField(f"c{n}", f.dataType, f.nullable) for n, f in enumerate(fields)])
+    return frame.toDF(*[f"c{n}" for n in range(len(frame.columns))]).mapInArrow(change, plain).toDF(*[f.name for f in fields])
+
+
 _held: list[Callable[[], None]] = []
 
 

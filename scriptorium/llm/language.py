@@ -27,8 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.common import arrow_batches, parts, release_memory
+from scriptorium.llm.common import arrow_batches, in_arrow, named, parts, quoted, release_memory
 
 #: Subword lengths in bytes, buckets for each, and the embedding's width.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 14, 16
@@ -193,18 +194,18 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     The model (buckets x languages) is small whatever the input.
     """
-    added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in added])
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in added.names])
+    text_at = kept.columns.index(named(kept, "text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in parts(batches):
-            langs, scores, rejected = model.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            langs, scores, rejected = model.predict(batch.column(text_at).to_pylist())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{n}" for n in range(len(columns))])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(map(" ".join, added.items()))
-    return kept.mapInArrow(predict, schema)
+    return in_arrow(kept, predict, kept.schema, added)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

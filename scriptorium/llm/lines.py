@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.common import Scratch, free_name, mix64, parts, release_memory, span_hashes
+from scriptorium.llm.common import Scratch, free_name, in_arrow, mix64, named, parts, quoted, release_memory, span_hashes
 from scriptorium.llm.minhash import _LOWER, _SPACE
 
 #: Least words of a run of repeats and of a repeated line that go; pieces to a unit, most words of a piece, neighbours of a cut.
@@ -144,7 +145,7 @@ def _without_repeats(text_at: int, least_words: int, short: int):
                     texts[n] = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])).decode()
                 spans.append([{"start": a, "length": b - a} for a, b in found])
             columns[text_at] = pa.array(texts, columns[text_at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*batch.schema.names[:-1], "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[f"c{n}" for n in range(len(columns) + 1)])
 
     return cut
 
@@ -153,7 +154,7 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, short: int = SH
     """The input's rows with their texts' repeats removed, and ``removed``: byte spans of the original text."""
     names = [c for c in docs.columns if c.lower() != "removed"]
     kid, tie, places = (free_name(x, names) for x in ("kid", "tie", "places"))
-    keyed = docs.select(*[f"`{c}`" for c in names]).withColumns({
+    keyed = docs.select(*[quoted(c) for c in names]).withColumns({
         kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), tie: F.xxhash64(F.col("text"), F.col("doc_id").isNull())
     })
     where = F.struct("kid", "tie", "place")
@@ -163,9 +164,10 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, short: int = SH
         firsts = scratch.write(found.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("digest", "first"))
         repeats = found.join(firsts, "digest").filter(where != F.col("first"))
         gone = scratch.keep(repeats.groupBy(F.col("kid").alias(kid), F.col("tie").alias(tie)).agg(F.collect_set("place").alias(places)))
-    joined = keyed.join(gone, [kid, tie], "left").select(*[f"`{c}`" for c in names], f"`{places}`")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-1]) + ", removed array<struct<start:long,length:long>>"
-    return joined.mapInArrow(_without_repeats(names.index("text"), least_words, short), schema)
+    joined = keyed.join(gone, [kid, tie], "left").select(*[quoted(c) for c in names], places)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+    added = T.StructType([T.StructField("removed", T.ArrayType(span))])
+    return in_arrow(joined, _without_repeats(joined.columns.index(named(joined, "text")), least_words, short), joined.schema[:-1], added)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

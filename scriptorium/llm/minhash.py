@@ -16,7 +16,7 @@ stars where there are many links.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with a
 null doc_id are linked with nothing and have a null component_id and kept = true. Repeated rows are copies of each
-other (the same doc_id, both kept). Texts shorter than a shingle count as one shingle. Very long texts are
+other (the same doc_id, both kept); different texts of one id are different documents. Texts shorter than a shingle count as one shingle. Very long texts are
 read whole. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -128,7 +128,7 @@ def _signed(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            ids, ties, texts = batch.column("doc_id"), batch.column("tie"), batch.column("text")
             for at in range(0, len(texts), 256):
                 sets = shingle_sets(texts.slice(at, 256).to_pylist(), width)
                 full = [n for n, s in enumerate(sets) if len(s)]
@@ -146,8 +146,8 @@ def _signed(width: int):
                         size += len(sets[n])
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [ids.slice(at, len(sets)), ties.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "tie", "n_shingles", "digest", "bands", "sketch"],
                 )
 
     return sign
@@ -157,7 +157,7 @@ def _with_sets(width: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"])
 
     return build
 
@@ -180,10 +180,11 @@ def _linked(percent: int):
     return confirm
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(id, elements) of the documents in ``ids``."""
-    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    return scratch.write(texts.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]), rows=1024)
+def sets_of(texts: DataFrame, classes: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(id, elements) of the classes in ``ids``, from one text of each."""
+    rows = classes.select(F.col("member").alias("id"), F.col("who.doc_id").alias("doc_id"), F.col("who.tie").alias("tie")).join(ids, "id", "left_semi")
+    found = texts.join(rows, ["doc_id", "tie"]).select("id", "text")
+    return scratch.write(found.mapInArrow(_with_sets(width), "id long, elements binary").dropDuplicates(["id"]), rows=1024)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -291,10 +292,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _near_duplicates(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     written = scratch.write
-    signed = written(texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), rows=1024)
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    signed = written(texts.mapInArrow(_signed(width), "doc_id long, tie long, n_shingles long, digest binary, bands array<long>, sketch binary"), rows=1024)
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n_shingles")))
-    member = classes.select(F.col("rep").alias("member"), F.explode("bands").alias("key"))
+    # A class has a number of its own: one id may have several texts, which are different documents.
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("who"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n_shingles"))
+    classes = written(classes.withColumn("member", F.monotonically_increasing_id()))
+    member = classes.select("member", F.explode("bands").alias("key"))
     shared = written(member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = written(member.join(shared, "key"))
     # The original of many edited copies meets more documents in its buckets than a copy does.
@@ -304,7 +308,7 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, scratch: Scratc
     dealt = met.join(led, "key").filter("member <> leader")
     pairs = written(dealt.select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).distinct())
     scratch.drop(shared, fame, led)
-    sets = sets_of(texts, scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width, scratch)
+    sets = sets_of(texts, classes, scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width, scratch)
     links = confirmed(pairs, sets, percent, scratch)
     roots = components(links, scratch)
     # Buckets whose members are still in different components: those outside the largest one there (outliers)
@@ -318,14 +322,16 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, scratch: Scratc
         F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.lit(1).alias("side"))),
     )).alias("cell")).select("key", "member", "root", "cell.*")
-    facts = classes.select(F.col("rep").alias("member"), "sketch", "bands").join(sets.withColumnRenamed("id", "member"), "member")
+    facts = classes.select("member", "sketch", "bands").join(sets.withColumnRenamed("id", "member"), "member")
     more = written(grid.join(facts, "member").groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
     if not more.isEmpty():
         roots = components(links.unionByName(more), scratch)
-    reps = classes.join(roots, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    grouped = written(classes.join(roots, F.col("member") == F.col("id"), "left").select("digest", F.col("who.doc_id").alias("first"), F.coalesce("root", "member").alias("group")))
+    least = grouped.groupBy("group").agg(F.min("first").alias("component"))
+    reps = grouped.join(least, "group").select("digest", "component")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return scratch.keep(
-        signed.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
+        signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(reps, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
