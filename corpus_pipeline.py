@@ -100,10 +100,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stage's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch, before = Scratch(spark), None
-    for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), rows=1024)
-        if before is not None:
-            scratch.drop(before)
-        before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        before = None
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), rows=1024)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
+        # The last stage keeps what its rows are read from, so no stage's table stays.
+        return STAGES[-1][1](spark, docs, sf_dir)
