@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import escape_html
 
 
+#: Characters besides letters, digits and ``-._`` that a form keeps in a class name.
+PLAIN = "'!()*~"
+
+
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -41,11 +45,13 @@ def elapsed(ts: Column, now: Column) -> Column:
 
 def date_element(seconds: Column, form: str | None = None, hover: bool = False) -> Column:
     """A rendered date: its UTC label in an element whose classes carry the time and the form that a browser shows it in."""
-    if hover and "agohover" not in (form or "").split("|")[1:]:
-        form = f"{form or '%c'}|agohover"
-    label = F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm")
-    classes = F.concat(F.lit("odate time_"), seconds.cast("string"), F.lit(f" format_{quote(form, safe=chr(39) + '!()*~')}" if form else ""))
-    return F.concat(F.lit('<span class="'), escape_html(classes), F.lit('">'), label, F.lit("</span>"))
+    shown, *extras = (form or "").split("|")
+    if hover:
+        shown, extras = shown or "%c", extras if "agohover" in extras else [*extras, "agohover"]
+    named = "|".join([shown, *extras])
+    classes = ["odate", F.concat(F.lit("time_"), seconds.cast("string")), *([f"format_{quote(named, safe=PLAIN)}"] if named else [])]
+    attribute = escape_html(F.concat_ws(" ", *[c if isinstance(c, Column) else F.lit(c) for c in classes]))
+    return F.format_string('<span class="%s">%s</span>', attribute, F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm"))
 
 
 def valid_date(text: Column) -> Column:

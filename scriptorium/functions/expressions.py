@@ -12,13 +12,33 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions import regions
 from scriptorium.functions.text import number_text, truth
 
 LENGTH_MOST = 256
 
 
 def _flag(rule: Column) -> Column:
-    return F.when(rule, 1.0).otherwise(0.0)
+    return F.when(rule, 1.0).when(~rule, 0.0)
+
+
+def _number(x: Column) -> Column:
+    """Whether a value is a number: what isn't compares with nothing."""
+    return ~F.isnan(x)
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """By zero an infinite value, or none for zero by zero: only a result has to be finite."""
+    endless = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, F.when(F.isnan(a), a).otherwise(endless))
+
+
+def remainder(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a % b).when(b == 0, float("nan"))
+
+
+def logarithm(x: Column, make: Callable[[Column], Column]) -> Column:
+    return F.when(x > 0, make(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
 
 
 #: Functions by name, with the least and most arguments.
@@ -33,8 +53,8 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Column]]] = {
     "sin": (1, 1, F.sin),
     "cos": (1, 1, F.cos),
     "tan": (1, 1, F.tan),
-    "ln": (1, 1, F.ln),
-    "log": (1, 1, F.log10),
+    "ln": (1, 1, lambda x: logarithm(x, F.ln)),
+    "log": (1, 1, lambda x: logarithm(x, F.log10)),
     "exp": (1, 1, F.exp),
     "pow": (2, 2, F.pow),
 }
@@ -43,11 +63,12 @@ LEVELS: list[dict[str, Callable[[Column, Column], Column]]] = [
     {"or": lambda a, b: _flag((a != 0) | (b != 0))},
     {"and": lambda a, b: _flag((a != 0) & (b != 0))},
     {
-        "<=": lambda a, b: _flag(a <= b), ">=": lambda a, b: _flag(a >= b), "<>": lambda a, b: _flag(a != b), "!=": lambda a, b: _flag(a != b),
-        "<": lambda a, b: _flag(a < b), ">": lambda a, b: _flag(a > b), "=": lambda a, b: _flag(a == b), "==": lambda a, b: _flag(a == b),
-    },
+        sign: (lambda rule: lambda a, b: _flag(rule(a, b) & _number(a) & _number(b)))(rule)
+        for sign, rule in (("<=", lambda a, b: a <= b), (">=", lambda a, b: a >= b), ("<", lambda a, b: a < b), (">", lambda a, b: a > b), ("=", lambda a, b: a == b), ("==", lambda a, b: a == b))
+    }
+    | dict.fromkeys(("<>", "!="), lambda a, b: _flag((a != b) | ~_number(a) | ~_number(b))),
     {"+": lambda a, b: a + b, "-": lambda a, b: a - b},
-    {"*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b), "%": lambda a, b: F.when(b != 0, a % b)},
+    {"*": lambda a, b: a * b, "/": quotient, "%": remainder},
 ]
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*|\.\d+)|([A-Za-z_]\w*)|(<=|>=|<>|!=|==|[-+*/%^()<>=!,]))")
 
@@ -139,12 +160,12 @@ def expression(source: str, **names: Column) -> Column:
 _DIRECTIVE = re.compile(r"\[\[#(expr|ifexpr|if)(?:\s+([^\[\]]*?))?\s*\]\]", re.I)
 NESTING_MOST = 64
 #: What stands for a directive that is resolved: characters of the private use area around its number.
-_MARK = re.compile("\ue000(\\d+)\ue001")
+_MARK = re.compile("\ue002(\\d+)\ue003")
 
 
 def directives(source: str, **names: Column) -> Column:
     """A source text with ``[[#expr e]]``, ``[[#ifexpr e | then | else]]`` and ``[[#if text | then | else]]`` resolved,
-    innermost first, as one Column over the columns of every row.
+    innermost first, as one Column over the columns of every row. Raw regions stay as they are.
 
     A directive inside an expression has to be an ``#expr``. An expression that can't be read or isn't finite shows
     ``ERROR``, an empty one nothing, and a condition without branches nothing. A text that nests deeper than
@@ -155,7 +176,7 @@ def directives(source: str, **names: Column) -> Column:
 
     def joined(part: str) -> Column:
         pieces = _MARK.split(part)
-        return F.concat(F.lit(""), *[texts[int(p)] if n % 2 else F.lit(p) for n, p in enumerate(pieces) if p])
+        return F.concat(F.lit(""), *[texts[int(p)] if n % 2 else F.lit(regions.restored_text(p, raw)) for n, p in enumerate(pieces) if p])
 
     def number(head: str) -> Column | None:
         """The value of an expression, null where it has none; None for no expression at all."""
@@ -181,9 +202,9 @@ def directives(source: str, **names: Column) -> Column:
 
     def mark(found: re.Match) -> str:
         texts.append(resolved(found[1].lower(), found[2] or ""))
-        return f"\ue000{len(texts) - 1}\ue001"
+        return f"\ue002{len(texts) - 1}\ue003"
 
-    text = source
+    text, raw = regions.masked_text(source)
     for _ in range(NESTING_MOST):
         after = _DIRECTIVE.sub(mark, text)
         if after == text:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import escape_html
+from scriptorium.operators.trees import depth_tree
 
 #: Inline markers and their HTML (fixed values of the markup).
 INLINE = [
@@ -63,6 +64,11 @@ def readable(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"^\s+|\s+$", "")
 
 
+def without_headings(source: Column) -> Column:
+    """A blank line in place of each heading: what is left are the paragraphs."""
+    return F.regexp_replace(source, r"(?md)^\+{1,6}\*? [^\n]*$", "\n")
+
+
 #: HTML elements back to markup (fixed values).
 BACK = [
     (r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", ""),
@@ -97,11 +103,9 @@ def headings(texts: DataFrame) -> DataFrame:
 
 
 def heading_parents(found: DataFrame) -> DataFrame:
-    """Each heading with the number of the last heading before it on a smaller level, null at the top: the latest of
-    the last headings of each of the five smaller levels."""
-    before = Window.partitionBy("page_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.col("level") > n, F.max(F.when(F.col("level") == n, F.col("number"))).over(before)) for n in range(1, 6)]
-    return found.withColumn("parent", F.greatest(*last))
+    """Each heading with the number of the last heading before it on a smaller level, null at the top."""
+    tree = depth_tree(found, "page_id", "number", "level").select("page_id", "number", "parent")
+    return found.join(tree, ["page_id", "number"])
 
 
 def page_links(texts: DataFrame) -> DataFrame:
@@ -112,12 +116,13 @@ def page_links(texts: DataFrame) -> DataFrame:
 
 
 def modules(texts: DataFrame) -> DataFrame:
-    """(page_id, ord, name, arguments): modules with their attributes, names in lower case."""
+    """(page_id, ord, name, arguments): modules with their attributes, names in lower case; of one given twice the last counts."""
     opening = r"(?i)\[\[module(?:654)?\s+([A-Za-z]+)([^\]]*)\]\]"
     rows = texts.select("page_id", F.posexplode(F.regexp_extract_all("source_text", F.lit(opening), 0)).alias("ord", "open"))
-    keys = F.regexp_extract_all(F.regexp_extract("open", opening, 2), F.lit(r'([A-Za-z_-]+)="([^"]*)"'), 1)
-    values = F.regexp_extract_all(F.regexp_extract("open", opening, 2), F.lit(r'([A-Za-z_-]+)="([^"]*)"'), 2)
-    return rows.select("page_id", "ord", F.lower(F.regexp_extract("open", opening, 1)).alias("name"), F.map_from_arrays(F.transform(keys, F.lower), values).alias("arguments"))
+    given = F.regexp_extract_all(F.regexp_extract("open", opening, 2), F.lit(r'[A-Za-z_-]+="[^"]*"'), 0)
+    pairs = F.transform(given, lambda g: F.struct(F.lower(F.substring_index(g, "=", 1)).alias("key"), F.regexp_extract(g, '"([^"]*)"', 1).alias("value")))
+    last = F.filter(pairs, lambda p, n: ~F.exists(F.slice(pairs, n + 2, F.size(pairs)), lambda later: later["key"] == p["key"]))
+    return rows.select("page_id", "ord", F.lower(F.regexp_extract("open", opening, 1)).alias("name"), F.map_from_entries(last).alias("arguments"))
 
 
 def module_instances(texts: DataFrame) -> DataFrame:

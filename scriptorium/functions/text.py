@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Limits of an excerpt's pattern and text.
-PATTERN_MOST, EXCERPT_TEXT_MOST = 4096, 1_000_000
+from scriptorium.functions import patterns
+
+#: Limits of an excerpt's text and of its match's number.
+EXCERPT_TEXT_MOST, MATCHES_MOST = 1_000_000, 10_000
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def grapheme_count(text: Column) -> Column:
@@ -52,17 +60,20 @@ def page_slug(name: Column) -> Column:
     """A page name as links have it, in lower case: category and name apart at the last colon, and each of them its runs
     of letters and digits with single hyphens between. An underscore at the front of a part marks a hidden one and stays.
     The default category isn't named. Names are expected in composed form."""
-    whole = F.lower(F.regexp_replace(F.trim(name), "^/", ""))
-    at = F.length(whole) - F.instr(F.reverse(whole), ":")  # characters before the last colon
-    cut = F.instr(whole, ":") > 0
 
     def part(text: Column) -> Column:
-        words = _words(text)
-        return F.when((words != "") & text.startswith("_"), F.concat(F.lit("_"), words)).otherwise(words)
+        return F.concat(F.when(text.startswith("_"), "_").otherwise(""), _words(text))
+
+    def parts(whole: Column) -> Column:
+        at = F.length(whole) - F.instr(F.reverse(whole), ":")  # characters before the last colon
+        cut = F.instr(whole, ":") > 0
+        category = F.when(cut, part(whole.substr(F.lit(1), at))).otherwise("")
+        return F.struct(category.alias("category"), part(F.when(cut, whole.substr(at + 2, F.length(whole))).otherwise(whole)).alias("rest"))
 
-    category = F.when(cut, part(whole.substr(F.lit(1), at))).otherwise("")
-    rest = part(F.when(cut, whole.substr(at + 2, F.length(whole))).otherwise(whole))
-    return F.when((category == "") | (category == "_default"), rest).when(rest == "", category).otherwise(F.concat_ws(":", category, rest))
+    def put_together(p: Column) -> Column:
+        return F.when(p["category"].isin("", "_default"), p["rest"]).when(p["rest"] == "", p["category"]).otherwise(F.concat_ws(":", p["category"], p["rest"]))
+
+    return let(let(F.lower(F.regexp_replace(F.trim(name), "^/", "")), parts), put_together)
 
 
 def lookup_name(name: Column) -> Column:
@@ -96,22 +107,27 @@ def first_paragraph(readable: Column) -> Column:
 
 def section(text: Column, number: int) -> Column:
     """The n-th part of a text cut at lines of four or more ``=``, trimmed; empty where there is none."""
-    return F.regexp_replace(F.coalesce(F.get(F.split(text, r"(?m)^={4,}[ ]*$"), F.lit(number - 1)), F.lit("")), r"^\s+|\s+$", "")
-
+    return F.regexp_replace(F.coalesce(F.get(F.split(text, r"(?md)^={4,}$"), F.lit(number - 1)), F.lit("")), r"^\s+|\s+$", "")
 
-_LOOKS_OR_REFERS = re.compile(r"\(\?[=!<]|\\[1-9]|\\k<|\(\?>|[*+?}]\+")
 
+def excerpt(text: Column, pattern: str, flags: str = "", group: int | str = 0, match: int = 1, most: int = 200) -> Column:
+    """The first ``most`` graphemes of the ``match``-th match of a pattern, or of its group by number or name.
 
-def excerpt(text: Column, pattern: str, flags: str = "", group: int = 0, match: int = 1, most: int | None = None) -> Column:
-    """The ``match``-th match of a pattern (or its group). Lookaround, back references, possessive forms,
-    unknown flags and texts over the limit give an empty string."""
-    fine = len(pattern) <= PATTERN_MOST and set(flags) <= set("ims") and match > 0 and not _LOOKS_OR_REFERS.search(pattern.replace("(?<", "(?P<") if re.search(r"\(\?<[A-Za-z]", pattern) else pattern)
-    if not fine:
+    Patterns of another dialect, ones that could take exponential time, unknown flags and groups, and numbers out of range give an
+    empty string; so does a text over the limit, or one whose matching could take more steps than the budget.
+    """
+    try:
+        found = patterns.compiled(pattern, flags)
+    except patterns.Refused:
         return F.lit("")
-    marked = f"(?{''.join(sorted(set(flags)))}){pattern}" if flags else pattern
-    found = F.coalesce(F.get(F.regexp_extract_all(text, F.lit(marked), group), F.lit(match - 1)), F.lit(""))
-    found = F.when(F.length(text) <= EXCERPT_TEXT_MOST, found).otherwise("")
-    return grapheme_prefix(found, most) if most else found
+    number = found.group(group)
+    if number is None or not 0 < match <= MATCHES_MOST or most <= 0:
+        return F.lit("")
+    part = F.coalesce(F.get(F.regexp_extract_all(text, F.lit(found.source), number), F.lit(match - 1)), F.lit(""))
+    fine = utf16_length(text) <= EXCERPT_TEXT_MOST
+    if found.loops:
+        fine = fine & found.affordable(text)
+    return grapheme_prefix(F.when(fine, part).otherwise(""), most)
 
 
 def truth(text: Column) -> Column:
@@ -120,15 +136,34 @@ def truth(text: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as a script prints it: whole numbers without a fraction, exponents from 1e+21 on."""
-    plain = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.format_string("%.0f", x)).otherwise(x.cast("string"))
-    plain = F.when(plain == "-0", "0").otherwise(plain)
-    power = F.regexp_extract(plain, r"^(.*?)(?:\.0)?E(-?)(\d+)$", 3).cast("int")
-    sign = F.when(F.regexp_extract(plain, r"E(-?)", 1) == "-", "-").otherwise("+")
-    exponent = F.concat(F.regexp_extract(plain, r"^(.*?)(?:\.0)?E", 1), F.lit("e"), sign, power.cast("string"))
-    whole = F.when((x == F.floor(x)) & (F.abs(x) < 1e21), F.regexp_replace(x.cast("decimal(38,0)").cast("string"), r"\.0$", ""))
-    small = F.when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e-3), F.regexp_replace(x.cast("decimal(38,22)").cast("string"), "0+$", ""))
-    return F.when(plain.contains("E"), F.coalesce(whole, small, exponent)).otherwise(plain)
+    """A double as a script prints it: its shortest decimal, in plain form from 1e-6 up to under 1e21, else with an exponent."""
+    size = F.abs(x)
+    # Fifteen digits are the shortest form wherever they read back as the same number; so are sixteen after them, and seventeen always do.
+    tried = [F.when(F.format_string(f"%.{n}e", size).try_cast("double") == size, F.format_string(f"%.{n}e", size)) for n in (14, 15, 16)]
+    shortest = F.coalesce(*tried, F.lower(size.cast("string")))
+    smallest = F.when(size == 5e-324, "5e-324").when(size == 1e-323, "1e-323")  # fewer digits than other printers give
+
+    def laid_out(shown: Column) -> Column:
+        """The number is 0.digits times ten to the power of ``point``."""
+        parts = F.split(shown, "e")
+        whole, fraction = F.substring_index(parts[0], ".", 1), F.when(parts[0].contains("."), F.substring_index(parts[0], ".", -1)).otherwise("")
+        every = F.concat(whole, fraction)
+        point = F.length(whole) + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)) - F.length(F.regexp_extract(every, "^0*", 0))
+        return F.struct(F.regexp_replace(every, "^0+|0+$", "").alias("digits"), point.alias("point"))
+
+    def printed(number: Column) -> Column:
+        digits, point, n = number["digits"], number["point"], F.length(number["digits"])
+        power = F.concat(F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string"))
+        long = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(""), F.lit("e"), power)
+        return (
+            F.when((point >= n) & (point <= 21), F.rpad(digits, point, "0"))
+            .when((point > 0) & (point <= 21), F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .otherwise(long)
+        )
+
+    text = F.concat(F.when(x < 0, "-").otherwise(""), let(let(F.coalesce(smallest, shortest), laid_out), printed))
+    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x < 0, "-Infinity").otherwise("Infinity")).when(x == 0, "0").otherwise(text)
 
 
 def email_address() -> str:
@@ -159,27 +194,25 @@ def safe_local_path(path: Column) -> Column:
     return F.when(fine, F.array_join(parts, "/"))
 
 
+#: What an image's source looks like, and which groups are its site, page and file; the first form that fits counts.
+IMAGE_FORMS = (
+    ("(?s)^((?:https?://|/).*)$", "url", (0, 0, 1)),
+    ("(?s)^([^:/]+):(.*)/([^/]*)$", "file3", (1, 2, 3)),
+    ("(?s)^([^/]*)/(.*)/([^/]*)$", "file3", (1, 2, 3)),
+    ("(?s)^([^/]+)/([^/]*)$", "file2", (0, 1, 2)),
+    ("(?s)^(.*)$", "file1", (0, 0, 1)),
+)
+
+
 def image_source(source: Column) -> Column:
     """Struct (kind, site, page, file) of an image's source: ``url``, or a file of the page (file1), of another page
     (file2) or of another site (file3, ``site:page/file`` or ``site/page/file``)."""
-    parts = F.split(source, "/")
-    last, folders = F.element_at(parts, -1), F.size(parts) - 1
-    colon, slash = F.instr(source, ":"), F.instr(source, "/")
-    none = F.lit(None).cast("string")
-    before = F.substring_index(source, ":", 1)
-    after = F.substring(source, F.length(before) + 2, F.length(source))
-    inner = F.array_join(F.slice(parts, 2, F.greatest(folders - 1, F.lit(0))), "/")
-
-    def of(kind: str, site: Column = none, page: Column = none, file: Column = none) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), site.alias("site"), page.alias("page"), file.alias("file"))
-
-    return (
-        F.when(source.rlike("^(?:https?://|/)"), of("url", file=source))
-        .when((colon > 1) & (slash > colon), of("file3", before, F.regexp_replace(after, "/[^/]*$", ""), last))
-        .when(folders >= 2, of("file3", F.get(parts, F.lit(0)), inner, last))
-        .when(slash > 1, of("file2", page=F.get(parts, F.lit(0)), file=F.substring(source, F.length(F.get(parts, F.lit(0))) + 2, F.length(source))))
-        .otherwise(of("file1", file=source))
-    )
+    found = F.lit(None)
+    for form, kind, groups in reversed(IMAGE_FORMS):
+        taken = [F.regexp_extract(source, form, n) if n else F.lit(None).cast("string") for n in groups]
+        fields = F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in zip(("site", "page", "file"), taken)])
+        found = F.when(source.rlike(form), fields).otherwise(found)
+    return found
 
 
 def image_url(source: Column, page: Column) -> Column:
@@ -192,17 +225,26 @@ def image_url(source: Column, page: Column) -> Column:
     return F.when((found["kind"] == "url") & url, source).otherwise(F.concat(F.lit("/local--files/"), safe_local_path(local)))
 
 
+#: What the target of a page link looks like, and what is made of its name; the first form that fits counts.
+ROUTES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("(?s)^.*?#/", F.lower),
+    ("(?s)^/", lambda name: F.regexp_replace(F.lower(name), r"\s+", "-")),
+    ("", page_slug),
+)
+
+
 def page_link(page: Column, site: Column, domains: dict[str, str] | None = None) -> Column:
     """Link of ``page`` (its anchor in lower case) on this site, or on another by its domain: a known one, or a
-    site's name that is a domain itself; else the site's name is part of the path."""
-    bare, anchor = F.substring_index(page, "#", 1), F.regexp_extract(F.lower(page), "(?s)#.*$", 0)
-    bare = F.when(page.contains("#"), F.regexp_replace(bare, "/$", "")).otherwise(bare)
-    route = F.when(page.contains("#/"), F.lower(bare)).when(bare.startswith("/"), F.regexp_replace(F.lower(bare), r"\s+", "-")).otherwise(page_slug(bare))
+    site's name that is a domain itself; else the site's name is part of the path. A target without a protocol stays as it is."""
+    name = F.regexp_replace(page, "(?s)/?#.*$", "")
+    anchor = F.lower(F.regexp_extract(page, "(?s)#.*$", 0))
+    route = reduce(lambda rest, form: F.when(page.rlike(form[0]), form[1](name)).otherwise(rest), reversed(ROUTES), F.lit(None).cast("string"))
     path = F.concat(F.lit("/"), F.regexp_replace(route, "^/", ""), anchor)
-    known = F.create_map(*[F.lit(x) for pair in (domains or {"": ""}).items() for x in pair])
-    domain = F.coalesce(F.nullif(F.try_element_at(known, site), F.lit("")), F.when(site.contains("."), site))
-    away = F.when(domain.isNotNull(), F.concat(F.lit("https://"), F.regexp_replace(domain, "(?i)^https?://|/+$", ""))).otherwise(F.concat(F.lit("/"), page_slug(site)))
-    return F.when(page.startswith("//"), F.lower(page)).otherwise(F.concat(F.coalesce(F.when(F.coalesce(site, F.lit("")) != "", away), F.lit("")), path))
+    hosts = F.create_map(*[F.lit(x) for pair in (domains or {"": ""}).items() for x in pair])
+    host = F.coalesce(F.nullif(F.try_element_at(hosts, site), F.lit("")), F.when(site.contains("."), site))
+    before = F.coalesce(F.concat(F.lit("https://"), F.regexp_replace(host, "(?i)^https?://|/+$", "")), F.concat(F.lit("/"), page_slug(site)))
+    own = F.coalesce(site, F.lit("")) == ""
+    return F.when(page.startswith("//"), F.lower(page)).when(own, path).otherwise(F.concat(before, path))
 
 
 #: What ids of embedded providers look like (fixed values).

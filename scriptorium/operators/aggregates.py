@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import regions
 from scriptorium.functions.text import url_component
 from scriptorium.sources.wiki import Wiki
 
@@ -88,21 +89,31 @@ INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]
 
 
 def include_edges(texts: DataFrame) -> DataFrame:
-    """(page_id, ord, directive, site, page, assignments): what each text includes, in order; a null site is this one."""
-    found = F.regexp_extract_all("source_text", F.lit(INCLUDE), 0)
-    rows = texts.select("page_id", F.posexplode(found).alias("ord", "directive"))
+    """(page_id, ord, directive, site, page, assignments): what each text includes, in order; a null site is this one.
+    Directives in raw regions are none, and raw regions in a value are part of it."""
+    masked, raws = regions.masked(F.col("source_text"))
+    rows = texts.select("page_id", raws.alias("_raws"), F.posexplode(F.regexp_extract_all(masked, F.lit(INCLUDE), 0)).alias("ord", "directive"))
     pairs = F.filter(F.split(F.regexp_extract("directive", INCLUDE, 2), r"\|"), lambda p: F.trim(p).rlike(r"^[^=]+=\s*\S"))
     # The first assignment of a key takes all its places.
     keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), r"^\s+|\s+$", "").alias("value")))
+    keyed = F.transform(keyed, lambda a: F.struct(a["key"], regions.restored(a["value"], F.col("_raws")).alias("value")))
     target = F.lower(F.regexp_extract("directive", INCLUDE, 1))
     away = target.rlike("^:[^:]*:")
     site, page = F.when(away, F.regexp_extract(target, "^:([^:]*):", 1)), F.when(away, F.regexp_replace(target, "^:[^:]*:", "")).otherwise(target)
-    return rows.select("page_id", "ord", "directive", site.alias("site"), page.alias("page"), keyed.alias("assignments"))
+    return rows.select("page_id", "ord", regions.restored(F.col("directive"), F.col("_raws")).alias("directive"), site.alias("site"), page.alias("page"), keyed.alias("assignments"))
 
 
-def substituted(content: Column, assignments: Column) -> Column:
-    """Each ``{$key}`` replaced by its assignment, one assignment after the other."""
-    return F.aggregate(assignments, content, lambda text, a: F.replace(text, F.concat(F.lit("{$"), a["key"], F.lit("}")), a["value"]))
+def substituted(content: Column, assignments: Column, most: int = INCLUDE_MOST) -> Column:
+    """Each ``{$key}`` replaced by its assignment, one assignment after the other. A value may hold later places, so a text can
+    double at each; null stands for one that would pass ``most``, before it is made."""
+
+    def step(text: Column, a: Column) -> Column:
+        place = F.concat(F.lit("{$"), a["key"], F.lit("}"))
+        gone = F.length(text) - F.length(F.replace(text, place, F.lit("")))
+        grown = F.length(text) - gone + gone / F.length(place) * F.length(a["value"])
+        return F.when((gone == 0) | (grown <= most), F.replace(text, place, a["value"]))
+
+    return F.aggregate(assignments, content, step)
 
 
 def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_ROUNDS, most: int = INCLUDE_MOST, materialize=None, trace: bool = False, only: list[str] | None = None) -> DataFrame:
@@ -126,14 +137,19 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
         edges = include_edges(state).join(state.select("page_id", "own"), "page_id").withColumn("wanted", wanted)
         content = F.when(F.col("site").isNull(), F.col("content"))
         missing = F.concat(F.lit('[[div class="error-block"]]\nIncluded page "'), F.col("page"), F.lit('" does not exist\n[[/div]]'))
-        text = F.when(F.col("wanted"), F.coalesce(substituted(content, F.col("assignments")), missing)).otherwise(F.col("directive"))
+        put = F.when(content.isNull(), missing).otherwise(substituted(content, F.col("assignments"), most))
+        text = F.when(F.col("wanted"), put).otherwise(F.col("directive"))
         texts_in = edges.join(library, "page", "left").select("page_id", "ord", "page", text.alias("text"), "wanted")
         swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "page", "wanted"))).alias("swaps"))
         # Each directive's own place: the text between directives and what stands for them, in turn.
-        gaps = F.split("source_text", INCLUDE)
+        masked, raws = regions.masked(F.col("source_text"))
+        gaps = F.transform(F.split(masked, INCLUDE), lambda gap: regions.restored(gap, raws))
         made = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("swaps")), lambda x: F.array(x["gap"], F.coalesce(x["swaps"]["text"], F.lit(""))))), "")
+        # Known before the text is made: a part that passed the limit, or parts that do together.
+        put_in = F.aggregate("swaps", F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"]))
+        made = F.when(~F.exists("swaps", lambda s: s["text"].isNull()) & (put_in <= most), made)
         joined = state.join(swaps.filter(F.exists("swaps", lambda x: x["wanted"])), "page_id", "left").withColumn("made", F.when(F.col("swaps").isNull(), F.col("source_text")).otherwise(made))
-        over = F.length("made") > most
+        over = F.coalesce(F.length("made") > most, F.col("swaps").isNotNull())
         changed = F.col("swaps").isNotNull() & ~over
         added = F.transform(F.filter("swaps", lambda x: x["wanted"]), lambda s: F.struct(F.lit(number).alias("round"), s["ord"].cast("int").alias("ord"), s["page"].alias("page")))
         state = materialize(joined.select(
@@ -165,9 +181,10 @@ def condition_holds(condition: Column, tags: Column) -> Column:
 
 def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataFrame:
     """(page_id, source_text) with tag conditions resolved, innermost first; a round takes one level of nesting.
-    Where tags are null nothing can be decided yet, and the text stays as it is."""
+    Where tags are null nothing can be decided yet, and the text stays as it is; so do raw regions, wherever conditions leave them."""
     materialize = materialize or (lambda df: df.checkpoint())
-    state = texts.select("page_id", "tags", "source_text")
+    masked, raws = regions.masked(F.col("source_text"))
+    state = texts.select("page_id", "tags", masked.alias("source_text"), raws.alias("raws"))
     for _ in range(rounds):
         found = state.filter("tags is not null").select("page_id", "tags", F.posexplode(F.regexp_extract_all("source_text", F.lit(IFTAGS), 0)).alias("ord", "directive"))
         inner = F.when(condition_holds(F.regexp_extract("directive", IFTAGS, 1), F.col("tags")), F.regexp_extract("directive", IFTAGS, 2)).otherwise("")
@@ -175,8 +192,8 @@ def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataF
         if swaps.isEmpty():
             break
         made = F.aggregate("swaps", F.col("source_text"), lambda text, s: F.replace(text, s["directive"], s["text"]))
-        state = materialize(state.join(swaps, "page_id", "left").select("page_id", "tags", F.coalesce(made, "source_text").alias("source_text")))
-    return state.select("page_id", "source_text")
+        state = materialize(state.join(swaps, "page_id", "left").select("page_id", "tags", F.coalesce(made, "source_text").alias("source_text"), "raws"))
+    return state.select("page_id", regions.restored(F.col("source_text"), F.col("raws")).alias("source_text"))
 
 
 def inserted_once(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
@@ -185,10 +202,11 @@ def inserted_once(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table with rows of ``changes`` (key and some of its columns) laid over it; null there is no change."""
+    """The table with rows of ``changes`` (key and some of its columns) laid over it, nulls too. Of changes with one key the
+    greatest by the columns counts, so a run gives the same rows every time and no row twice."""
     columns = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
-    return table.join(new, key, "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
+    new = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("_new"))
+    return table.join(new, key, "left").select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
 def deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:

@@ -61,15 +61,17 @@ class PageQuery:
 
 
 def parse_order(order: str) -> tuple[str, bool]:
-    """(column, descending): ``field asc``, ``fieldDesc`` or a bare field, which descends; ``metadata{key}`` is the
-    column ``metadata.key``; else newest first."""
-    registered = re.fullmatch(r"metadata\{([^}]*)\}(?:\s+(asc|desc))?", order.strip(), re.I)
-    if registered:
-        return f"metadata.{registered[1]}", (registered[2] or "desc").lower() != "asc"
-    found = re.fullmatch(r"\s*([a-z_]+?)(?:\s+(asc|desc)\b.*|(asc|desc))?\s*", order.lower())
-    if found and found[1] in ORDERS:
-        return ORDERS[found[1]], (found[2] or found[3] or "desc") != "asc"
-    return "created_at", True
+    """(column, descending): a field and its direction as two words or in one, where only ``asc`` ascends and further words
+    don't count; ``metadata{key}`` is the column ``metadata.key``; else newest first."""
+    name, _, rest = order.strip().partition("}")
+    if name[:9].lower() == "metadata{" and "}" in order and rest.lower().strip() in ("", "asc", "desc") and (not rest or rest[0].isspace()):
+        return f"metadata.{name[9:]}", rest.lower().strip() != "asc"
+    words = order.lower().split()
+    if len(words) > 1 and words[0] in ORDERS:
+        return ORDERS[words[0]], words[1] != "asc"
+    whole = order.strip().lower()
+    field_name = whole.removesuffix("desc") if whole.endswith("desc") else whole.removesuffix("asc")
+    return (ORDERS[field_name], whole == field_name or whole.endswith("desc")) if field_name in ORDERS else ("created_at", True)
 
 
 #: Attribute spellings of a listing (fixed values): other names for a selector.
@@ -235,7 +237,28 @@ def pager_url(path: str, parameter: str, page: int) -> str:
 #: What a listing shows without a template (fixed value).
 DEFAULT_BODY = "+ %%title_linked%%\n\nby %%created_by_linked%% %%created_at%%\n\n%%summary%%"
 
-_VARIABLE = re.compile(r"%%([a-z_]+)(?:\{([^}%]*)\})?(?:\((\d+)\))?(?:\|([^%]*(?:%[A-Za-z%][^%]*)*?))?%%", re.I)
+_QUOTED = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')"""
+#: A variable of a template. The braces of an excerpt end at the first one outside quotes.
+_VARIABLE = re.compile(
+    rf"%%(?:(excerpt)\{{((?:{_QUOTED}|[^\"'}}])*)\}}|([a-z_]+)(?:\{{([^}}%]*)\}})?(?:\((\d+)\))?(?:\|([^%]*(?:%[A-Za-z%][^%]*)*?))?)%%", re.I | re.S
+)
+_OPTION = re.compile(r"""\s*(pattern|flags|group|match|max)\s*=\s*(?:"((?:\\["\\]|\\(?!["\\])|[^"\\])*)"|'((?:\\['\\]|\\(?!['\\])|[^'\\])*)')(?=\s|\Z)""", re.S)
+OPTIONS_MOST = 8192
+
+
+def excerpt_options(source: str) -> dict[str, str] | None:
+    """Named, quoted options of an excerpt, each once; a backslash before the quote makes it a character of the value and
+    stays before anything else. None for a text that is anything but options, or gives no pattern."""
+    found, at = {}, 0
+    source = source.rstrip()
+    while at < len(source):
+        m = _OPTION.match(source, at)
+        if not m or m[1] in found or len(source) > OPTIONS_MOST:
+            return None
+        quote, value = ('"', m[2]) if m[2] is not None else ("'", m[3])
+        found[m[1]] = re.sub(rf"\\(\\|{quote})", lambda e: quote if e[1] == quote else e[0], value)
+        at = m.end()
+    return found if "pattern" in found else None
 
 
 class Template:
@@ -245,7 +268,7 @@ class Template:
         self.pieces, at = [], 0
         self.site = {"title": "Scriptorium", "name": "scriptorium", "domain": "scriptorium.example"} | (site or {})
         for m in _VARIABLE.finditer(source):
-            self.pieces += [source[at : m.start()], (m[1].lower(), m[2], m[3], m[4])]
+            self.pieces += [source[at : m.start()], (m[1].lower(), m[2], None, None) if m[1] else (m[3].lower(), m[4], m[5], m[6])]
             at = m.end()
         self.pieces.append(source[at:])
 
@@ -276,7 +299,7 @@ class Template:
         if name == "preview":
             return text.literal_markup(F.coalesce(text.grapheme_prefix(F.col("readable"), int(number or 200)), blank))
         if name in ("summary", "first_paragraph"):
-            return text.literal_markup(text.first_paragraph(F.col("readable")))
+            return text.literal_markup(text.first_paragraph(markup.readable(markup.without_headings(F.col("content")))))
         if name == "size":
             return F.coalesce(text.grapheme_count(F.col("readable")).cast("string"), F.col("size").cast("string"), blank)
         if name in ("tags", "_tags"):
@@ -295,9 +318,7 @@ class Template:
         if name.startswith("site_"):
             return F.lit(self.site.get(name[5:], ""))
         if name == "excerpt":
-            parts = dict(p.split("=", 1) for p in re.findall(r"\w+=\S+", brace or ""))
-            found = text.excerpt(F.col("readable"), parts.get("pattern", ""), parts.get("flags", ""), int(parts.get("group", 0)), int(parts.get("match", 1)), int(parts["max"]) if "max" in parts else None)
-            return text.literal_markup(F.coalesce(found, blank))
+            return text.literal_markup(F.coalesce(self._excerpt(excerpt_options(brace or "")), blank))
         made = {
             "title_linked": lambda: F.concat(F.lit("[[["), "fullname", F.lit(" | "), "title", F.lit("]]]")),
             "link": lambda: F.concat(F.lit(f"https://{self.site['domain']}/"), "fullname"),
@@ -313,6 +334,15 @@ class Template:
         )
         return F.coalesce(F.col(name).cast("string"), blank) if name in plain else blank
 
+    def _excerpt(self, options: dict[str, str] | None) -> Column:
+        """Of the options only a group may be other than a number."""
+        numbers = {k: (options or {}).get(k, d) for k, d in (("match", "1"), ("max", "200"))}
+        if options is None or not all(v.isascii() and v.isdecimal() for v in numbers.values()):
+            return F.lit("")
+        group = options.get("group", "0")
+        group = int(group) if group.isascii() and group.isdecimal() else group
+        return text.excerpt(F.col("readable"), options["pattern"], options.get("flags", ""), group, int(numbers["match"]), int(numbers["max"]))
+
     def _user(self, role: str, part: str | None) -> Column:
         """A user's name or part; nobody is Anonymous, but a page without comments has no one who commented."""
         nobody = F.lit("" if role == "commented" else "Anonymous")

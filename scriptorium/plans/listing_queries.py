@@ -148,7 +148,7 @@ _items(
     "LEFT JOIN w_read r USING (page_id)", (PAGES, _TEXTS), "page_id < 40", 40, **_EARLY,
 )
 _items(
-    "pj_summary_and_excerpt", r"%%summary%%|%%first_paragraph%%|%%excerpt{pattern=[a-z]+\.}%%",
+    "pj_summary_and_excerpt", r'%%summary%%|%%first_paragraph%%|%%excerpt{pattern="[a-z]+\."}%%',
     _literal("f") + " || '|' || " + _literal("f") + " || '|' || " + _literal("coalesce(regexp_extract(readable, '[a-z]+\\.'), '')"),
     "LEFT JOIN (SELECT *, coalesce(list_filter(list_transform(regexp_split_to_array(readable, '\\n[ \\t]*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], '') AS f FROM w_read) r USING (page_id)",
     (PAGES, _TEXTS), "page_id < 40", 40, **_EARLY,
