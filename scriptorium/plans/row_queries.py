@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import markup, regions, text
@@ -63,13 +63,16 @@ def number_texts(spark, folder: str) -> DataFrame:
     return Wiki(spark, folder).table("orders").select("o_orderkey", text.number_text(F.col("o_totalprice") * factor).alias("text"))
 
 
-_KEY = F.col("page_id").cast("string")
 _RAW_SOURCE = (
     "[!-- @@ --][[#expr line + 1]] @@[[#expr 1 + 1]] [[iftags +x]]@@ [[#if 1 | yes @@|@@ | no]]\n[[code type=\"a\"]]\n[[#expr 2]]\n[[/code]]\n"
     "[[html]] [[#expr 3]] [[/html]] @<[[#expr 4]]>@ @@ [[#expr 5]]\n@@[[html]] [[#expr 6]] [[code]] [[#expr 7]]"
 )
 
 
+def _key() -> Column:
+    return F.col("page_id").cast("string")
+
+
 @query(
     "mx_raw_directives",
     """SELECT l_orderkey, l_linenumber, '[!-- @@ --]' || (l_linenumber + 1) || ' @@[[#expr 1 + 1]] [[iftags +x]]@@ yes @@|@@' || chr(10) || '[[code type="a"]]' || chr(10) || '[[#expr 2]]' || chr(10) || '[[/code]]' || chr(10)
@@ -88,7 +91,7 @@ def raw_directives(spark, folder: str) -> DataFrame:
 def raw_conditions(spark, folder: str) -> DataFrame:
     """Tag conditions around and inside raw regions."""
     odd, rest = "[[iftags +a]]in @@[[iftags +a]]x[[/iftags]]@@ ", "[[/iftags]] [[code]][[iftags]]no[[/iftags]]"
-    source = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit(odd), _KEY, F.lit(rest))).otherwise(F.lit("[!-- [[code]] --][[iftags +b]]out @@ [[/iftags]] @@[[/iftags]] end"))
+    source = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit(odd), _key(), F.lit(rest))).otherwise(F.lit("[!-- [[code]] --][[iftags +b]]out @@ [[/iftags]] @@[[/iftags]] end"))
     return aggregates.expand_iftags(Wiki(spark, folder).pages().select("page_id", F.array(F.lit("a")).alias("tags"), source.alias("source_text")))
 
 
@@ -99,7 +102,7 @@ def raw_conditions(spark, folder: str) -> DataFrame:
 )
 def raw_includes(spark, folder: str) -> DataFrame:
     """Includes outside and inside raw regions, one with a raw region in its value."""
-    source = F.concat(F.lit("[[include part | a=@@ | "), _KEY, F.lit(" @@]]\n[[code]]\n[[include part | a = "), _KEY, F.lit("]]\n[[/code]]\n[[include part | b = x]]\n[[html]]\n[[include part | a = 1]]"))
+    source = F.concat(F.lit("[[include part | a=@@ | "), _key(), F.lit(" @@]]\n[[code]]\n[[include part | a = "), _key(), F.lit("]]\n[[/code]]\n[[include part | b = x]]\n[[html]]\n[[include part | a = 1]]"))
     pages = Wiki(spark, folder).pages().select("page_id", F.lit("here").alias("fullname"), source.alias("source_text"))
     library = spark.createDataFrame([("part", "Box {$a}.")], "page string, content string")
     return aggregates.expand_includes(pages, library)
