@@ -142,6 +142,33 @@ def footnotes(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", F.posexplode(found).alias("ord", "body")).select("page_id", (F.col("ord") + 1).alias("number"), F.trim("body").alias("body"))
 
 
+#: What a text's reader gets beside the text, by kind: how each is written.
+COLLECTED = {
+    "code": r"(?is)^\[\[code\b[^\]]*\]\]\n?(.*?)\n?(?:\[\[/code\]\])?$",
+    "html": r"(?is)^\[\[html\b[^\]]*\]\]\n?(.*?)\n?\[\[/html\]\]$",
+    "footnote": r"(?is)^\[\[footnote\]\](.*?)\[\[/footnote\]\]$",
+    "equation": r"(?is)^\[\[math\b[^\]]*\]\]\n?(.*?)\n?\[\[/math\]\]$",
+    "tabview": r"(?is)^\[\[tab(?:view|s)\b([^\]]*)\]\]$",
+    "heading": r"(?s)^\+{1,6} (.*)$",
+}
+_COLLECTED = (
+    r"(?is)\[\[code\b[^\]]*\]\](?:.*?\[\[/code\]\]|.*\z)|\[\[html\b[^\]]*\]\].*?\[\[/html\]\]|\[\[footnote\]\].*?\[\[/footnote\]\]|\[\[math\b[^\]]*\]\].*?\[\[/math\]\]"
+    r"|\[\[tab(?:view|s)\b[^\]]*\]\]|(?<![^\n])\+{1,6} [^\n]+"
+)
+
+
+def collected(texts: DataFrame) -> DataFrame:
+    """(page_id, ord, kind, number, body): code and HTML blocks, footnotes, equations, tab views and headings of each text in one
+    order, each numbered among its own kind from 0. What stands inside another one isn't looked at; comments go before."""
+    found = F.regexp_extract_all(without_comments(F.col("source_text")), F.lit(_COLLECTED), 0)
+    rows = texts.select("page_id", F.posexplode(found).alias("ord", "whole"))
+    kind, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, form in reversed(COLLECTED.items()):
+        kind, body = F.when(F.col("whole").rlike(form), name).otherwise(kind), F.when(F.col("whole").rlike(form), F.regexp_extract("whole", form, 1)).otherwise(body)
+    mine = Window.partitionBy("page_id", "kind").orderBy("ord")
+    return rows.select("page_id", "ord", kind.alias("kind"), body.alias("body")).withColumn("number", F.row_number().over(mine) - 1).select("page_id", "ord", "kind", "number", "body")
+
+
 def bibliography(texts: DataFrame) -> DataFrame:
     """(page_id, number, label, entry): entries of the bibliographies of a page, numbered from 1; of a label that
     stands there twice the first entry counts."""

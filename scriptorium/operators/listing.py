@@ -58,6 +58,7 @@ class PageQuery:
     offset: int = 0
     limit: int | None = None
     per_page: int = PER_PAGE
+    readable_sizes: bool = False
 
 
 def parse_order(order: str) -> tuple[str, bool]:
@@ -155,6 +156,10 @@ class Listing:
             pages = pages if q.rating_axis is not None else with_ratings(pages, self.wiki)
             for rule in (selectors.number_predicate(q.rating, F.col("rating")), selectors.number_predicate(q.votes, F.col("rating_votes"))):
                 pages = pages if rule is None else pages.filter(rule)
+        if order == "size" and q.readable_sizes:
+            # What a reader sees of a page; one without a text has no size and comes last.
+            texts = self.wiki.contents().select("page_id", text.grapheme_count(markup.readable(F.col("content"))).alias("sorted_by"))
+            pages = pages.join(texts, "page_id", "left")
         if order.startswith("metadata."):
             value = F.try_element_at("metadata", F.lit(order[9:]))
             by = F.when(value.isNotNull(), F.struct(*[value[k] for k in ("number", "date", "text", "user_id")]))
@@ -164,7 +169,7 @@ class Listing:
     def ordering(self) -> list[Column]:
         name, down = parse_order(self.query.order)
         down ^= self.query.reverse
-        by = F.xxhash64("page_id") if name == "random" else F.col("sorted_by" if name.startswith("metadata.") else name)
+        by = F.xxhash64("page_id") if name == "random" else F.col("sorted_by" if name.startswith("metadata.") or name == "size" and self.query.readable_sizes else name)
         return [by.desc_nulls_last() if down else by.asc_nulls_last(), F.col("page_id").desc() if down else F.col("page_id").asc()]
 
     def page_size(self) -> int:

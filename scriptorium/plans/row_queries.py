@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions import markup, regions, text
+from scriptorium.functions import markup, messages, regions, text
 from scriptorium.functions.expressions import directives
 from scriptorium.functions.row_expressions import with_values
 from scriptorium.operators import aggregates
@@ -156,3 +156,52 @@ def large_page(spark, folder: str) -> DataFrame:
     """The largest page that a listing has, with the readable size of its pages."""
     listing = Listing(Wiki(spark, folder), PageQuery(category="*", order="fullname asc", per_page=250), Current())
     return rendered(listing, Template("%%total%% %%size%%"))
+
+
+_READ = "w_read AS (SELECT doc_id AS page_id, length_grapheme(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*(\\S(?:[^*\\n]*\\S)?)\\*\\*', '\\1', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS n FROM documents)"
+
+
+@query(
+    "so_readable_size",
+    sql(PAGES, _READ, body="""SELECT page_id, row_number() OVER (ORDER BY n DESC NULLS LAST, page_id DESC) AS "index", total FROM (
+      SELECT page_id, n, count(*) OVER () AS total FROM w_pages LEFT JOIN w_read USING (page_id) WHERE NOT starts_with(name, '_') ORDER BY n DESC NULLS LAST, page_id DESC LIMIT 250)"""),
+)
+def readable_sizes(spark, folder: str) -> DataFrame:
+    """Pages by what a reader sees of them; those without a text come last."""
+    listing = Listing(Wiki(spark, folder), PageQuery(category="*", order="size desc", per_page=250, readable_sizes=True), Current())
+    return listing.page().select("page_id", "index", "total")
+
+
+@query(
+    "wn_collected",
+    """WITH s AS (SELECT doc_id AS page_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g') AS t FROM documents)
+      SELECT page_id, ord, kind, number, CASE ord WHEN 0 THEN 'Title' WHEN 2 THEN t WHEN 4 THEN 'b' WHEN 6 THEN 'end [[footnote]]x[[/footnote]]' WHEN 5 THEN ' x="1"' WHEN 3 THEN '[[math]] ' || page_id ELSE 'note ' || page_id END AS body
+      FROM s, (VALUES (0, 'heading', 0), (1, 'footnote', 0), (2, 'code', 0), (3, 'html', 0), (4, 'equation', 0), (5, 'tabview', 0), (6, 'code', 1)) v(ord, kind, number)""",
+)
+def collected(spark, folder: str) -> DataFrame:
+    """What each text gives beside itself, in one order, with a counter for each kind."""
+    key = F.col("doc_id").cast("string")
+    source = F.concat(
+        F.lit("+ Title\n[!-- [[code]] --]a[[footnote]]note "), key, F.lit("[[/footnote]]\n[[code type=\"x\"]]\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", ""), F.lit("\n[[/code]]\n[[html]]\n[[math]] "), key,
+        F.lit("\n[[/html]]\n++no heading\n[[math eq]]\nb\n[[/math]]\n[[tabview x=\"1\"]]\n[[code]]end [[footnote]]x[[/footnote]]"),
+    )
+    return markup.collected(Wiki(spark, folder).table("documents").select(F.col("doc_id").alias("page_id"), source.alias("source_text")))
+
+
+_MESSAGES = [("hello", "ja", "{name} さん、{ n }"), ("hello", "de", "Hallo {name"), ("note", "de", "It''s '{'{n}'}' {name}"), ("note", "ja", "{missing}"), ("plain", "ja", "{n, plural, other {x}}")]
+_DEFAULTS = [("hello", "Hello {name} ({n})"), ("note", "Note {n}"), ("plain", "Plain {other}")]
+
+
+@query(
+    "st_messages",
+    """SELECT c_custkey AS user_id, CASE WHEN k = 0 AND l = 1 THEN c_name || ' さん、' || c_custkey WHEN k = 0 THEN 'Hello ' || c_name || ' (' || c_custkey || ')'
+      WHEN k = 1 AND l = 2 THEN 'It''s {' || c_custkey || '} ' || c_name WHEN k = 1 THEN 'Note ' || c_custkey WHEN k = 2 THEN 'Plain {other}' END AS message,
+      NOT ((k = 0 AND l = 1) OR (k = 1 AND l = 2)) AS fallback FROM (SELECT *, c_custkey % 4 AS k, c_custkey % 3 AS l FROM customer)""",
+)
+def message_texts(spark, folder: str) -> DataFrame:
+    """A message to every customer in a language of theirs, with defaults for those that can't be shown."""
+    users, k = Wiki(spark, folder).users(), F.col("user_id")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
+    rows = users.select("user_id", pick(("hello", "note", "plain", "none"), k % 4).alias("id"), pick(("en", "ja", "de"), k % 3).alias("locale"), F.create_map(F.lit("name"), "name", F.lit("n"), k.cast("string")).alias("values"))
+    translations = spark.createDataFrame(_MESSAGES, "id string, locale string, text string")
+    return messages.translated(rows, translations, spark.createDataFrame(_DEFAULTS, "id string, text string")).select("user_id", "message", "fallback")
