@@ -30,7 +30,7 @@ def test_query_agrees_with_sql(spark, name):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     mine = QUERIES[name](spark, SF).toPandas()
     theirs = con.sql(ORACLE_SQL[name]).df()[list(mine.columns)]
-    order = [c for c in ("doc_id", "conv_id", "query_id", "rank") if c in mine.columns]
+    order = [c for c in ("doc_id", "conv_id", "query_id", "lang", "source", "part", "rank") if c in mine.columns]
     mine, theirs = (x.sort_values(order, ignore_index=True) for x in (mine, theirs))
     pd.testing.assert_frame_equal(mine, theirs, check_dtype=False)
 
