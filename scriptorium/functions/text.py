@@ -93,6 +93,29 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def _replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
+
+
+#: What stands for characters inside a script's string (fixed values); the backslash comes first.
+JS_ESCAPES = (("\\", "\\\\"), ("'", "\\x27"), ('"', "\\x22"), ("<", "\\x3c"), (">", "\\x3e"), ("&", "\\x26"), ("\n", "\\n"), ("\r", "\\r"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
+
+
+def escape_text(text: Column) -> Column:
+    """Text between elements: quotes can stay there."""
+    return _replaced(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")))
+
+
+def escape_script(text: Column) -> Column:
+    """Text inside a quoted string of a script that stands in a page."""
+    return _replaced(text, JS_ESCAPES)
+
+
+def escape_style(css: Column) -> Column:
+    """A style sheet that can't end its element."""
+    return F.regexp_replace(css, "(?i)</style", r"<\\/style")
+
+
 def literal_markup(text: Column) -> Column:
     """Text that markup can't act in: every character as a numeric entity, inside ``@<...>@``."""
     coded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))), "")

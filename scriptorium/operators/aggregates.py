@@ -120,14 +120,16 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
     """Texts with includes put in place: (page_id, source_text, rounds, too_long), with ``trace`` also ``included``:
     round, place and page of what was put in.
 
-    Each round joins the directives of the texts that still have some to ``library`` (page, content), replaces
-    them, and stops where none is left; only unfinished texts go from round to round. A page that includes itself keeps
-    the directive; a missing page, and any page of another site, gives an error block; a text over ``most`` is left as it
+    Each round joins the directives of the texts that still have some to ``library`` (page, content, and site for pages of other
+    sites, null for this one), replaces them, and stops where none is left; only unfinished texts go from round to round. A page that
+    includes itself keeps the directive; a missing page gives an error block; a text over ``most`` is left as it
     was before the round. ``only``: no other pages than these are put in. ``materialize`` cuts lineage.
     """
     materialize = materialize or (lambda df: df.checkpoint())
     step = "array<struct<round:int,ord:int,page:string>>"
     kept = ["page_id", "source_text", "rounds", "too_long", "included"]
+    sites = F.lower("site") if "site" in library.columns else F.lit(None).cast("string")
+    library = library.select("page", F.coalesce(sites, F.lit("")).alias("from"), "content")
     state = texts.select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"), F.array().cast(step).alias("included"))
     done = []
     for number in range(1, rounds + 1):
@@ -135,11 +137,11 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
         if only is not None:
             wanted = wanted & F.col("page").isin(only) & F.col("site").isNull()
         edges = include_edges(state).join(state.select("page_id", "own"), "page_id").withColumn("wanted", wanted)
-        content = F.when(F.col("site").isNull(), F.col("content"))
-        missing = F.concat(F.lit('[[div class="error-block"]]\nIncluded page "'), F.col("page"), F.lit('" does not exist\n[[/div]]'))
+        content = F.col("content")
+        missing = F.concat(F.lit('[[div class="error-block"]]\nPage to be included "'), F.col("page"), F.lit('" cannot be found!\n[[/div]]'))
         put = F.when(content.isNull(), missing).otherwise(substituted(content, F.col("assignments"), most))
         text = F.when(F.col("wanted"), put).otherwise(F.col("directive"))
-        texts_in = edges.join(library, "page", "left").select("page_id", "ord", "page", text.alias("text"), "wanted")
+        texts_in = edges.withColumn("from", F.coalesce("site", F.lit(""))).join(library, ["page", "from"], "left").select("page_id", "ord", "page", text.alias("text"), "wanted")
         swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "page", "wanted"))).alias("swaps"))
         # Each directive's own place: the text between directives and what stands for them, in turn.
         masked, raws = regions.masked(F.col("source_text"))

@@ -263,7 +263,7 @@ def _library(wiki: Wiki) -> tuple[DataFrame, DataFrame]:
 
 _PART = """CASE page_id % 5 WHEN 0 THEN 'Zero ' || page_id || '.' WHEN 1 THEN 'One.' || chr(10) || 'Zero nested ' || page_id || '.'
   WHEN 2 THEN 'Two ' || page_id || ' ' || page_id || ' {$empty}' WHEN 3 THEN 'One.' || chr(10) || 'Zero nested deep.'
-  ELSE '[[div class="error-block"]]' || chr(10) || 'Included page "part-4" does not exist' || chr(10) || '[[/div]]' END"""
+  ELSE '[[div class="error-block"]]' || chr(10) || 'Page to be included "part-4" cannot be found!' || chr(10) || '[[/div]]' END"""
 
 
 @query(

@@ -125,7 +125,7 @@ def includers(spark, folder: str) -> DataFrame:
 
 
 _EDITED = """CASE page_id % 5 WHEN 0 THEN 'Nil ' || page_id || '!' WHEN 1 THEN 'One.' || chr(10) || 'Nil nested ' || page_id || '!'
-  WHEN 2 THEN '[[div class="error-block"]]' || chr(10) || 'Included page "part-2" does not exist' || chr(10) || '[[/div]]' WHEN 3 THEN 'One.' || chr(10) || 'Nil nested deep!'
+  WHEN 2 THEN '[[div class="error-block"]]' || chr(10) || 'Page to be included "part-2" cannot be found!' || chr(10) || '[[/div]]' WHEN 3 THEN 'One.' || chr(10) || 'Nil nested deep!'
   ELSE 'Four' END"""
 
 

@@ -10,7 +10,7 @@ from scriptorium.functions.expressions import directives
 from scriptorium.functions.row_expressions import with_values
 from scriptorium.operators import aggregates
 from scriptorium.operators.listing import Current, Listing, PageQuery, Template, rendered
-from scriptorium.plans.base_sql import PAGES, sql
+from scriptorium.plans.base_sql import LINKS, PAGES, sql
 from scriptorium.registry import query
 from scriptorium.sources.wiki import Wiki
 
@@ -205,3 +205,40 @@ def message_texts(spark, folder: str) -> DataFrame:
     rows = users.select("user_id", pick(("hello", "note", "plain", "none"), k % 4).alias("id"), pick(("en", "ja", "de"), k % 3).alias("locale"), F.create_map(F.lit("name"), "name", F.lit("n"), k.cast("string")).alias("values"))
     translations = spark.createDataFrame(_MESSAGES, "id string, locale string, text string")
     return messages.translated(rows, translations, spark.createDataFrame(_DEFAULTS, "id string, text string")).select("user_id", "message", "fallback")
+
+
+@query(
+    "st_escapes",
+    r"""SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS element,
+      sha256(replace(replace(replace(replace(replace(replace(replace(html, '\', '\\'), '''', '\x27'), '"', '\x22'), '<', '\x3c'), '>', '\x3e'), '&', '\x26'), chr(10), '\n')) AS script,
+      'a<\/style>b<\/style' || page_id AS style FROM pages""",
+)
+def escapes(spark, folder: str) -> DataFrame:
+    """Every page's HTML as text and as a script's string, and a style sheet that tries to end its element."""
+    style = text.escape_style(F.concat(F.lit("a</STYLE>b</style"), F.col("page_id").cast("string")))
+    return Wiki(spark, folder).table("pages").select("page_id", F.sha2(text.escape_text(F.col("html")), 256).alias("element"), F.sha2(text.escape_script(F.col("html")), 256).alias("script"), style.alias("style"))
+
+
+@query(
+    "dt_include_sites",
+    sql(PAGES, body="""SELECT page_id, 'Own part.' || chr(10) || 'Far part ' || page_id || '.' || chr(10) || '[[div class="error-block"]]' || chr(10) || 'Page to be included "part" cannot be found!' || chr(10) || '[[/div]]' AS source_text,
+      1 AS rounds, false AS too_long FROM w_pages"""),
+)
+def included_sites(spark, folder: str) -> DataFrame:
+    """Includes from this site, from another one and from one that isn't known, into every page."""
+    source = F.concat(F.lit("[[include part]]\n[[include :Far:part | n = "), _key(), F.lit("]]\n[[include :none:part]]"))
+    library = spark.createDataFrame([("part", None, "Own part."), ("part", "far", "Far part {$n}."), ("other", "none", "x")], "page string, site string, content string")
+    return aggregates.expand_includes(Wiki(spark, folder).pages().select("page_id", F.lit("here").alias("fullname"), source.alias("source_text")), library)
+
+
+@query("st_lookup_name", r"SELECT p_partkey, regexp_replace(lower(trim(p_name || ' / ' || p_brand)), '[\s/]+', '-', 'g') AS name FROM part")
+def lookup_names(spark, folder: str) -> DataFrame:
+    return Wiki(spark, folder).table("part").select("p_partkey", text.lookup_name(F.concat("p_name", F.lit(" / "), "p_brand")).alias("name"))
+
+
+@query("fi_link_to", sql(PAGES, LINKS, body="SELECT page_id FROM w_pages WHERE NOT starts_with(name, '_') AND page_id IN (SELECT page_id FROM w_links WHERE target = (SELECT min(target) FROM w_links))"))
+def linking_pages(spark, folder: str) -> DataFrame:
+    """The pages that link to one target."""
+    wiki = Wiki(spark, folder)
+    target = wiki.links().agg(F.min("target").alias("target")).first()["target"]
+    return Listing(wiki, PageQuery(category="*", link_to=target), Current()).matching().select("page_id")

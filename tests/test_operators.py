@@ -19,7 +19,7 @@ def test_includes(spark):
     found = {r["page_id"]: r for r in aggregates.expand_includes(texts, library, most=50, materialize=here).collect()}
     assert found[1]["source_text"] == "x\nv v {$q}\nend\ny" and found[1]["rounds"] == 2
     assert found[2]["source_text"] == "[[include b]]"
-    assert 'Included page "none" does not exist' in found[3]["source_text"] or found[3]["too_long"]
+    assert 'Page to be included "none" cannot be found!' in found[3]["source_text"] or found[3]["too_long"]
     assert found[5]["too_long"] and found[5]["source_text"] == "[[include big]]"
 
 
