@@ -36,7 +36,7 @@ def _signed(tokens: Column, sign: str) -> Column:
 
 
 def parsed_queries(queries: DataFrame) -> DataFrame:
-    """query_id and ``spec``: the selectors taken apart, alike for queries that ask the same.
+    """query_id, ``spec``: the selectors taken apart, alike for queries that ask the same, and the rows that are shown (skip, take).
 
     ``tags``: ``+t`` required, ``-t`` forbidden, bare ones any, ``=`` any of the page's own visible tags, ``==`` the same
     visible tags, a lone ``-`` none. ``category``: names, ``*``, ``.`` for the page's own, ``-x`` excluded. ``parent``: ``-``, ``=``, ``-=``, ``.``.
@@ -71,10 +71,10 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
         F.coalesce("pagetype", F.lit("normal")).alias("pagetype"),
         F.coalesce(field, F.lit("created_at")).alias("field"),
         (field.isNull() | (F.coalesce(F.get(words, F.lit(1)), F.lit("desc")) != "asc")).alias("down"),
-        F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).alias("offset"),
-        F.least(F.when(F.col("limit") < 0, PER_PAGE).otherwise(F.coalesce("limit", F.lit(PER_PAGE))), F.lit(PER_PAGE_MOST)).alias("limit"),
     )
-    return given.select("query_id", spec.alias("spec"))
+    skip = F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0))
+    take = F.least(F.when(F.col("limit") < 0, PER_PAGE).otherwise(F.coalesce("limit", F.lit(PER_PAGE))), F.lit(PER_PAGE_MOST))
+    return given.select("query_id", spec.alias("spec"), skip.alias("skip"), take.alias("take"))
 
 
 def tag_index(pages: DataFrame) -> DataFrame:
@@ -129,7 +129,8 @@ def batch_listings(wiki: Wiki, queries: DataFrame, rated: bool = False, material
     """(query_id, index, page_id, total) of every listing of a query table; see ``parsed_queries`` for its columns.
 
     ``rated``: orders by rating and votes are wanted, so votes are joined. A query that nothing fits has no row. ``total`` counts the matches
-    before paging. ``materialize`` cuts lineage (by default a checkpoint): what is read twice is made once.
+    before paging. A condition that only excludes (``-x``, ``-=``) narrows nothing: a specification without another one meets most
+    pages, once for all queries that ask the same. ``materialize`` cuts lineage (by default a checkpoint): what is read twice is made once.
     """
     materialize = materialize or (lambda df: df.checkpoint())
     none = F.array().cast(_NONE)
@@ -155,15 +156,15 @@ def batch_listings(wiki: Wiki, queries: DataFrame, rated: bool = False, material
     found = found.unionByName(rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).join(pages.select("page_id", salt.alias("salt")), "salt").select("spec_id", "page_id"))
 
     spec = F.col("spec")
-    fits = found.join(specs, "spec_id").join(pages, "page_id").filter(_fits(spec)).select("spec_id", "page_id", *[o.alias(f"o{n}") for n, o in enumerate(_keys(spec))], spec["offset"].alias("skip"), spec["limit"].alias("take"))
+    fits = found.join(specs, "spec_id").join(pages, "page_id").filter(_fits(spec)).select("spec_id", "page_id", *[o.alias(f"o{n}") for n, o in enumerate(_keys(spec))])
     fits = materialize(fits)
-    most = asked.agg(F.max(spec["offset"] + spec["limit"]).alias("most")).first()["most"] or 0
+    most = asked.agg(F.max(F.col("skip") + F.col("take")).alias("most")).first()["most"] or 0
     order = [F.col("o0").asc_nulls_last(), F.col("o1").asc_nulls_last(), F.col("o2").desc_nulls_last(), F.col("o3").asc()]
     first = fits.withColumn("index", F.row_number().over(Window.partitionBy("spec_id").orderBy(*order))).filter(F.col("index") <= int(most))
-    first = first.filter((F.col("index") > F.col("skip")) & (F.col("index") <= F.col("skip") + F.col("take")))
     totals = fits.groupBy("spec_id").agg(F.count("*").alias("total"))
     rows = first.join(totals, "spec_id").select("spec_id", F.col("index").cast("long").alias("index"), "page_id", "total")
-    return asked.select("query_id", "spec_id").join(rows, "spec_id").select("query_id", "index", "page_id", "total")
+    shown = asked.select("query_id", "spec_id", "skip", "take").join(rows, "spec_id").filter((F.col("index") > F.col("skip")) & (F.col("index") <= F.col("skip") + F.col("take")))
+    return shown.select("query_id", "index", "page_id", "total")
 
 
 def _keys(spec: Column) -> list[Column]:

@@ -31,7 +31,7 @@ def customer_queries(wiki: Wiki) -> DataFrame:
     rows = wiki.users().select(F.col("user_id").alias("query_id")).join(first, "query_id", "left").join(own, "own_id", "left").join(tags, "own_id", "left")
     return rows.select(
         "query_id", "own_id", "own_parent", "own_category", "own_tags", _pick(_TAGS, k % 8).alias("tags"), _pick(_CATEGORY, k % 5).alias("category"), F.when(k % 4 == 0, k).alias("owner_id"),
-        _pick((".", "-=", None, None, "="), k % 5).alias("parent"), F.when(k % 6 == 0, F.lit("1995-01-01").cast("timestamp")).alias("created_from"), _pick(_ORDER, k % 5).alias("order"),
+        _pick((".", None, None, None, "="), k % 5).alias("parent"), F.when(k % 6 == 0, F.lit("1995-01-01").cast("timestamp")).alias("created_from"), _pick(_ORDER, k % 5).alias("order"),
         (k % 3).alias("offset"), (k % 4 + 5).alias("limit"),
     )
 
@@ -49,7 +49,7 @@ _BATCH = sql(PAGES, TAGS, """q AS (
       WHEN 3 THEN list_has_any(every, ['flag-a', 'flag-n']) WHEN 4 THEN list_contains(every, 'flag-r') AND list_contains(every, '_bulk') WHEN 5 THEN len(every) = 0 WHEN 6 THEN true
       ELSE list_has_any(p.tags, own_tags) AND NOT list_contains(every, 'flag-a') END
     AND (query_id % 4 <> 0 OR owner_id = query_id) AND (query_id % 6 <> 0 OR created_at >= DATE '1995-01-01')
-    AND CASE m WHEN 0 THEN parent_id = own_id WHEN 1 THEN parent_id IS DISTINCT FROM own_parent WHEN 4 THEN parent_id IS NOT DISTINCT FROM own_parent ELSE true END
+    AND CASE m WHEN 0 THEN parent_id = own_id WHEN 4 THEN parent_id IS NOT DISTINCT FROM own_parent ELSE true END
 ), r AS (
   SELECT query_id, page_id, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY
     CASE WHEN m = 0 THEN title END, CASE WHEN m = 1 THEN size END DESC, CASE WHEN m = 2 THEN created_at END DESC, CASE WHEN m = 3 THEN fullname END DESC,
