@@ -86,11 +86,11 @@ BACK = [
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def from_html(html: Column) -> Column:
-    """Markup of a page's HTML; three or more line ends become two."""
+def from_html(html: Column, entities: list[tuple[str, str]] = ENTITIES) -> Column:
+    """Markup of a page's HTML; three or more line ends become two. ``entities`` that aren't listed stay as they are."""
     for pattern, mark in BACK:
         html = F.regexp_replace(html, pattern, mark)
-    for entity, char in ENTITIES:
+    for entity, char in entities:
         html = F.replace(html, F.lit(entity), F.lit(char))
     return F.regexp_replace(F.regexp_replace(html, r"\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "")
 
