@@ -1,10 +1,13 @@
-"""Many listings at once: a table of queries answered in one plan over an inverted index of the pages.
+"""Many listings at once: a table of queries answered in one plan over classes of the pages and an inverted index of them.
 
 Each query is the selectors of one listing on one page, as columns. Equal selectors are one specification, answered once.
-A specification's candidates come from the index: of its conditions that the index knows (a required tag, any of some tags, the same
-tags, a category, an owner, a parent) the one with the fewest pages is looked up, and the candidates are then checked against
-all conditions exactly. So no plan holds the product of pages and queries; popular entries of the index are
-dealt out by a salt. Each specification's first rows are a ranked top-k, which Spark limits before the shuffle.
+Pages alike in category, tags and in being hidden or at the top are one class. A specification's classes come from an inverted index:
+of its conditions that the index knows (a required tag, any of some tags, the same tags, a category, no parent) the one with the
+fewest classes is looked up, and its classes are then checked exactly. What else a specification asks (owner, parent, dates) and its order are its
+view: the first pages of a class in a view are ranked once for all specifications that show them, a top-k which Spark limits
+before the shuffle, and a specification merges those of its classes. Where an owner or a parent has fewer pages than the classes,
+its pages are looked up instead and checked against all conditions. So no plan holds the product of pages and queries,
+and popular classes and entries are dealt out by a salt.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ SELECTORS = {
 }
 #: Parts of an index entry's pages.
 SALT = 16
+#: What pages of one class have in common, and the parts of a specification that it decides; the other parts are its view.
+FACETS = ("category", "tags", "hidden_tags", "hidden", "top")
+_BY_CLASS = ("categories", "not_categories", "required", "forbidden", "any", "any_own", "same", "untagged", "pagetype", "top")
+_BY_PAGE = ("owner_id", "parent", "parent_id", "created_from", "created_before", "field", "down")
 _NONE = "array<string>"
 
 
@@ -69,6 +76,7 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
         "created_from",
         "created_before",
         F.coalesce("pagetype", F.lit("normal")).alias("pagetype"),
+        F.coalesce((parent == "-") | ((parent == "=") & F.col("own_parent").isNull()), F.lit(False)).alias("top"),
         F.coalesce(field, F.lit("created_at")).alias("field"),
         (field.isNull() | (F.coalesce(F.get(words, F.lit(1)), F.lit("desc")) != "asc")).alias("down"),
     )
@@ -77,36 +85,49 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
     return given.select("query_id", spec.alias("spec"), skip.alias("skip"), take.alias("take"))
 
 
-def tag_index(pages: DataFrame) -> DataFrame:
-    """(entry, page_id): each page under its tags, its set of visible tags, its category, owner and parent."""
+def _entry(kind: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{kind}:"), value.cast("string")))
 
-    def entry(kind: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{kind}:"), value.cast("string")))
 
-    single = [entry("tags", F.array_join("tags", " ")), entry("category", F.col("category")), entry("owner", F.col("owner_id")), entry("parent", F.coalesce(F.col("parent_id").cast("string"), F.lit("-")))]
+def class_index(classes: DataFrame) -> DataFrame:
+    """(entry, class_id): each class under its tags, its set of visible tags, its category, and whether its pages have no parent."""
+    single = [_entry("tags", F.array_join("tags", " ")), _entry("category", F.col("category")), F.when(F.col("top"), "top:")]
     tagged = F.transform(F.array_distinct(F.array_union("tags", "hidden_tags")), lambda t: F.concat(F.lit("tag:"), t))
-    return pages.select(F.explode(F.array_compact(F.concat(F.array(*single), tagged))).alias("entry"), "page_id")
+    return classes.select(F.explode(F.array_compact(F.concat(F.array(*single), tagged))).alias("entry"), "class_id")
+
+
+def page_index(pages: DataFrame) -> DataFrame:
+    """(entry, page_id): each page under its owner and its parent."""
+    return pages.select(F.explode(F.array_compact(F.array(_entry("owner", F.col("owner_id")), _entry("parent", F.col("parent_id"))))).alias("entry"), "page_id")
 
 
 def _groups(spec: Column) -> Column:
-    """The ways to look a specification up: each a list of entries that together have all its pages."""
+    """The ways to look a specification's classes up: each a list of entries that together have all of them."""
     named = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v))
-    one = lambda kind, value: F.array(F.concat(F.lit(f"{kind}:"), value.cast("string")))
     ways = F.array(
-        F.when(spec["same"].isNotNull(), one("tags", F.array_join(spec["same"], " "))),
+        F.when(spec["same"].isNotNull(), F.array(F.concat(F.lit("tags:"), F.array_join(spec["same"], " ")))),
         F.when(F.size(spec["any"]) > 0, named("tag", spec["any"])),
         F.when(spec["any_own"].isNotNull(), named("tag", spec["any_own"])),
         F.when(spec["categories"].isNotNull(), named("category", spec["categories"])),
-        F.when(spec["owner_id"].isNotNull(), one("owner", spec["owner_id"])),
-        F.when(spec["parent"] == "-", one("parent", F.lit("-"))).when(spec["parent"].isin("=", "."), one("parent", F.coalesce(spec["parent_id"].cast("string"), F.lit("-")))),
+        F.when(spec["top"], F.array(F.lit("top:"))),
     )
     return F.array_compact(F.concat(ways, F.transform(spec["required"], lambda t: F.array(F.concat(F.lit("tag:"), t)))))
 
 
-def _fits(spec: Column) -> Column:
-    """All conditions of a specification over a page's columns."""
+def _entries(spec: Column) -> Column:
+    """Entries of the page index that a specification's pages all stand under; one that no page has where nothing fits."""
+    below = F.when(spec["parent"].isin("=", ".") & spec["parent_id"].isNotNull(), _entry("parent", spec["parent_id"])).when((spec["parent"] == ".") & spec["parent_id"].isNull(), "none:")
+    return F.array_compact(F.array(_entry("owner", spec["owner_id"]), below))
+
+
+def _all(rules: list[Column]) -> Column:
+    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), rules, F.lit(True))
+
+
+def _fits_class(spec: Column) -> Column:
+    """The conditions of a specification that a class decides."""
     every = F.array_union("tags", "hidden_tags")
-    rules = [
+    return _all([
         spec["categories"].isNull() | F.array_contains(spec["categories"], F.col("category")),
         ~F.array_contains(spec["not_categories"], F.col("category")),
         F.size(F.array_except(spec["required"], every)) == 0,
@@ -115,53 +136,93 @@ def _fits(spec: Column) -> Column:
         spec["any_own"].isNull() | F.arrays_overlap(spec["any_own"], F.col("tags")),
         spec["same"].isNull() | (spec["same"] == F.array_sort(F.array_distinct("tags"))),
         ~spec["untagged"] | (F.size(every) == 0),
-        spec["owner_id"].isNull() | (spec["owner_id"] == F.col("owner_id")),
-        spec["parent"].isNull() | F.when(spec["parent"] == "-", F.col("parent_id").isNull()).when(spec["parent"] == "-=", ~F.col("parent_id").eqNullSafe(spec["parent_id"]))
-        .when(spec["parent"] == "=", F.col("parent_id").eqNullSafe(spec["parent_id"])).otherwise(F.col("parent_id") == spec["parent_id"]),
-        spec["created_from"].isNull() | (F.col("created_at") >= spec["created_from"]),
-        spec["created_before"].isNull() | (F.col("created_at") < spec["created_before"]),
-        F.when(spec["pagetype"] == "normal", ~F.col("name").startswith("_")).when(spec["pagetype"] == "hidden", F.col("name").startswith("_")).otherwise(True),
-    ]
-    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), rules, F.lit(True))
+        F.when(spec["pagetype"] == "normal", ~F.col("hidden")).when(spec["pagetype"] == "hidden", F.col("hidden")).otherwise(True),
+        ~spec["top"] | F.col("top"),
+    ])
+
+
+def _fits_page(view: Column) -> Column:
+    """The other conditions, over a page's columns."""
+    return _all([
+        view["owner_id"].isNull() | (view["owner_id"] == F.col("owner_id")),
+        view["parent"].isNull() | F.when(view["parent"] == "-", F.col("parent_id").isNull()).when(view["parent"] == "-=", ~F.col("parent_id").eqNullSafe(view["parent_id"]))
+        .when(view["parent"] == "=", F.col("parent_id").eqNullSafe(view["parent_id"])).otherwise(F.col("parent_id") == view["parent_id"]),
+        view["created_from"].isNull() | (F.col("created_at") >= view["created_from"]),
+        view["created_before"].isNull() | (F.col("created_at") < view["created_before"]),
+    ])
+
+
+def _digest(value: Column) -> Column:
+    return F.unhex(F.sha2(F.to_json(value, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256))
+
+
+def _classes_of(wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(facet_id, class_id, pages): the classes that fit each (facet_id, spec), by the index entry that has the fewest."""
+    index = class_index(classes)
+    ways = wanted.select("facet_id", F.posexplode(_groups(F.col("spec"))).alias("way", "entries")).select("facet_id", "way", F.explode_outer("entries").alias("entry"))
+    counts = index.join(ways.select("entry").distinct(), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("classes"))
+    costs = ways.join(counts, "entry", "left").groupBy("facet_id", "way").agg(F.coalesce(F.sum("classes"), F.lit(0)).alias("classes"), F.collect_set("entry").alias("entries"))
+    best = costs.groupBy("facet_id").agg(F.min(F.struct("classes", "way", "entries"))["entries"].alias("entries"))
+    salt, salts = F.pmod(F.xxhash64("class_id"), F.lit(SALT)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    looked = best.select("facet_id", F.explode("entries").alias("entry")).withColumn("salt", salts)
+    found = looked.join(index.withColumn("salt", salt), ["entry", "salt"]).select("facet_id", "class_id").distinct()
+    # Without a condition that the index knows, the specification's classes are most classes: these few specifications meet all.
+    rest = wanted.join(best, "facet_id", "left_anti").select("facet_id").withColumn("salt", salts)
+    found = found.unionByName(rest.join(classes.select("class_id", salt.alias("salt")), "salt").select("facet_id", "class_id"))
+    return found.join(wanted, "facet_id").join(classes, "class_id").filter(_fits_class(F.col("spec"))).select("facet_id", "class_id", "pages")
 
 
 def batch_listings(wiki: Wiki, queries: DataFrame, rated: bool = False, materialize=None) -> DataFrame:
     """(query_id, index, page_id, total) of every listing of a query table; see ``parsed_queries`` for its columns.
 
     ``rated``: orders by rating and votes are wanted, so votes are joined. A query that nothing fits has no row. ``total`` counts the matches
-    before paging. A condition that only excludes (``-x``, ``-=``) narrows nothing: a specification without another one meets most
-    pages, once for all queries that ask the same. ``materialize`` cuts lineage (by default a checkpoint): what is read twice is made once.
+    before paging. Views differ by dates, owners and orders: pages are ranked once for each view that shows their class. ``materialize``
+    cuts lineage (by default a checkpoint): what is read twice is made once.
     """
     materialize = materialize or (lambda df: df.checkpoint())
     none = F.array().cast(_NONE)
     pages = wiki.pages().join(wiki.tag_lists(), "page_id", "left").withColumns({c: F.coalesce(c, none) for c in ("tags", "hidden_tags")})
-    pages = pages.select("page_id", "category", "name", "fullname", "title", "created_at", "updated_at", "commented_at", "owner_id", "parent_id", "size", "comments", "revisions", "tags", "hidden_tags")
+    pages = pages.withColumns({"hidden": F.col("name").startswith("_"), "top": F.col("parent_id").isNull()}).withColumn("class_id", _digest(F.struct(*FACETS)))
+    pages = pages.select("page_id", "class_id", *FACETS, "fullname", "title", "created_at", "updated_at", "commented_at", "owner_id", "parent_id", "size", "comments", "revisions")
     pages = with_ratings(pages, wiki).drop("rating_percent") if rated else pages.withColumns({c: F.lit(0).cast("long") for c in ("rating", "rating_votes")})
     pages = materialize(pages)
-    asked = materialize(parsed_queries(queries).withColumn("spec_id", F.sha2(F.to_json("spec"), 256)))
+    asked = materialize(parsed_queries(queries).withColumn("spec_id", _digest(F.col("spec"))))
+    spec = F.col("spec")
     specs = asked.groupBy("spec_id").agg(F.first("spec").alias("spec"))
-
-    index = tag_index(pages)
-    ways = specs.select("spec_id", F.posexplode(_groups(F.col("spec"))).alias("way", "entries")).select("spec_id", "way", F.explode_outer("entries").alias("entry"))
-    wanted = ways.select("entry").distinct()
-    counts = index.join(wanted, "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("pages"))
-    costs = ways.join(counts, "entry", "left").groupBy("spec_id", "way").agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.collect_set("entry").alias("entries"))
-    best = costs.groupBy("spec_id").agg(F.min(F.struct("pages", "way", "entries"))["entries"].alias("entries"))
-
+    specs = materialize(specs.select("spec_id", "spec", _digest(F.struct(*[spec[c] for c in _BY_CLASS])).alias("facet_id"), F.struct(*[spec[c].alias(c) for c in _BY_PAGE]).alias("view")))
+
+    classes = materialize(pages.groupBy("class_id", *FACETS).agg(F.count("*").alias("pages")))
+    met = materialize(_classes_of(specs.groupBy("facet_id").agg(F.first("spec").alias("spec")), classes))
+    by_class = met.groupBy("facet_id").agg(F.sum("pages").alias("by_class"))
+    index = page_index(pages)
+    ways = specs.select("spec_id", F.explode(_entries(spec)).alias("entry"))
+    index = index.join(ways.select("entry").distinct(), "entry", "left_semi")
+    costs = ways.join(index.groupBy("entry").agg(F.count("*").alias("pages")), "entry", "left").select("spec_id", F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "entry").alias("way"))
+    plans = specs.join(by_class, "facet_id").join(costs.groupBy("spec_id").agg(F.min("way").alias("way")), "spec_id", "left")
+    plans = materialize(plans.withColumn("entry", F.when(F.col("way.pages") <= F.col("by_class"), F.col("way.entry"))).drop("way", "by_class"))
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")
-    looked = best.select("spec_id", F.explode("entries").alias("entry")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    found = looked.join(index.withColumn("salt", salt), ["entry", "salt"]).select("spec_id", "page_id").distinct()
-    # Without a condition that the index knows, the specification's pages are most pages: these few specifications meet all.
-    rest = specs.join(best, "spec_id", "left_anti").select("spec_id")
-    found = found.unionByName(rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).join(pages.select("page_id", salt.alias("salt")), "salt").select("spec_id", "page_id"))
+    near = plans.filter("entry is not null")
+    found = near.select("spec_id", "entry", salts.alias("salt")).join(index.withColumn("salt", salt), ["entry", "salt"]).select("spec_id", "page_id")
+    keys = lambda of: [o.alias(f"o{n}") for n, o in enumerate(_keys(of))]
+    fits = materialize(found.join(near.select("spec_id", "spec"), "spec_id").join(pages, "page_id").filter(_fits_class(spec) & _fits_page(spec)).select("spec_id", "page_id", *keys(spec)))
 
-    spec = F.col("spec")
-    fits = found.join(specs, "spec_id").join(pages, "page_id").filter(_fits(spec)).select("spec_id", "page_id", *[o.alias(f"o{n}") for n, o in enumerate(_keys(spec))])
-    fits = materialize(fits)
-    most = asked.agg(F.max(F.col("skip") + F.col("take")).alias("most")).first()["most"] or 0
+    most = int(asked.agg(F.max(F.col("skip") + F.col("take")).alias("most")).first()["most"] or 0)
     order = [F.col("o0").asc_nulls_last(), F.col("o1").asc_nulls_last(), F.col("o2").desc_nulls_last(), F.col("o3").asc()]
-    first = fits.withColumn("index", F.row_number().over(Window.partitionBy("spec_id").orderBy(*order))).filter(F.col("index") <= int(most))
-    totals = fits.groupBy("spec_id").agg(F.count("*").alias("total"))
+    ranked = lambda rows, by: rows.withColumn("index", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("index") <= most)
+    # A part is a class in a view; ``shown_in`` has the parts of each specification.
+    far = plans.filter("entry is null").select("spec_id", "facet_id", "view").join(met.drop("pages"), "facet_id")
+    shown_in = materialize(far.select("spec_id", "class_id", "view", _digest(F.struct(F.hex("class_id").alias("class_id"), "view")).alias("part")))
+    needed = shown_in.groupBy("part").agg(F.first("class_id").alias("class_id"), F.first("view").alias("view")).withColumn("salt", salts)
+    view = F.col("view")
+    hits = pages.withColumn("salt", salt).join(needed, ["class_id", "salt"]).filter(_fits_page(view))
+    sizes = materialize(hits.groupBy("part").agg(F.count("*").alias("total")))
+    tops = materialize(ranked(hits.select("part", "page_id", *keys(view)), "part").drop("index"))
+    parts = shown_in.select("spec_id", "part")
+
+    first = ranked(fits.unionByName(parts.join(tops, "part").drop("part")), "spec_id")
+    totals = fits.groupBy("spec_id").agg(F.count("*").alias("total")).unionByName(parts.join(sizes, "part").groupBy("spec_id").agg(F.sum("total").alias("total")))
     rows = first.join(totals, "spec_id").select("spec_id", F.col("index").cast("long").alias("index"), "page_id", "total")
     shown = asked.select("query_id", "spec_id", "skip", "take").join(rows, "spec_id").filter((F.col("index") > F.col("skip")) & (F.col("index") <= F.col("skip") + F.col("take")))
     return shown.select("query_id", "index", "page_id", "total")
