@@ -180,7 +180,7 @@ def page_tree_shown(spark, folder: str) -> DataFrame:
     """The whole tree below a page, the page itself shown."""
     pages = Wiki(spark, folder).pages().select("page_id", "parent_id", "fullname")
     top = pages.filter("page_id = 3").select("fullname").first()
-    return graphs.page_tree_of(graphs.page_forest(pages), pages, top["fullname"] if top else "", show_root=True)
+    return graphs.page_tree_of(graphs.page_forest(pages, top=3), pages, top["fullname"] if top else "", show_root=True)
 
 
 #: Lines of an order with places of their own, as line numbers repeat.

@@ -29,6 +29,25 @@ def split_fullname(fullname: Column) -> tuple[Column, Column]:
     return category, F.when(at > 0, fullname.substr(at + 1, F.length(fullname))).otherwise(fullname)
 
 
+#: Rows that a task gets, at most, where rows are counted before they are spread.
+SHARE = 250_000
+
+
+def spread(rows: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
+    """The rows dealt by ``keys`` to as many tasks as a shuffle of the session has, and to one for each SHARE of ``count`` rows if that is more;
+    where ``count`` gives each core a SHARE at most they stay as they are.
+
+    A table of one row group is read by one task, and adaptive execution puts shuffled rows that compress well into a few tasks, however many
+    they are. What is dear for each row, or keeps many of them, is spread before. Joins and groups of the same keys need no other shuffle.
+    """
+    spark, tasks = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if count is not None:
+        if count <= SHARE * spark.sparkContext.defaultParallelism:
+            return rows
+        tasks = max(tasks, -(-count // SHARE))
+    return rows.repartition(tasks, *keys)
+
+
 @dataclass(frozen=True)
 class Wiki:
     """Tables of one wiki, read from a folder of Parquet files; every table is a lazy scan."""
