@@ -104,8 +104,8 @@ def headings(texts: DataFrame) -> DataFrame:
 
 def heading_parents(found: DataFrame) -> DataFrame:
     """Each heading with the number of the last heading before it on a smaller level, null at the top."""
-    tree = depth_tree(found, "page_id", "number", "level").select("page_id", "number", "parent")
-    return found.join(tree, ["page_id", "number"])
+    others = tuple(c for c in found.columns if c not in ("page_id", "number", "level"))
+    return depth_tree(found, "page_id", "number", "level", also=others).select(*found.columns, "parent")
 
 
 def page_links(texts: DataFrame) -> DataFrame:

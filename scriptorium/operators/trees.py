@@ -43,14 +43,14 @@ def depth_places(items: Column) -> Column:
     return F.aggregate(items, start, step)["out"]
 
 
-def depth_tree(rows: DataFrame, key: str, order: str, depth: str, kind: str | None = None) -> DataFrame:
-    """``rows`` (key, order, depth, kind) with ``list``, ``above`` and ``parent``, which is the order of the item above: one shuffle by
-    key and one fold, whatever the depths."""
-    item = F.struct(F.col(order).alias("order"), F.col(depth).cast("int").alias("depth"), (F.col(kind) if kind else F.lit("")).cast("string").alias("kind"))
+def depth_tree(rows: DataFrame, key: str, order: str, depth: str, kind: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (key, order, depth, kind, and what ``also`` names) with ``list``, ``above`` and ``parent``, which is the order of the item above: one
+    shuffle by key and one fold, whatever the depths."""
+    item = F.struct(F.col(order).alias("order"), F.col(depth).cast("int").alias("depth"), (F.col(kind) if kind else F.lit("")).cast("string").alias("kind"), *also)
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     places = lists.withColumn("places", depth_places(F.col("items"))).select(key, "items", F.posexplode(F.arrays_zip("items", "places")).alias("n", "x"))
     parent = F.get(F.col("items"), F.col("x.places.parent"))["order"]
-    return places.select(key, F.col("x.items.order").alias(order), F.col("x.items.depth").alias(depth), *([F.col("x.items.kind").alias(kind)] if kind else []), F.col("x.places.list").alias("list"), F.col("x.places.above").alias("above"), parent.alias("parent"))
+    return places.select(key, F.col("x.items.order").alias(order), F.col("x.items.depth").alias(depth), *([F.col("x.items.kind").alias(kind)] if kind else []), *[F.col(f"x.items.{c}") for c in also], F.col("x.places.list").alias("list"), F.col("x.places.above").alias("above"), parent.alias("parent"))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
