@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import regions
 from scriptorium.functions.text import url_component
-from scriptorium.sources.wiki import Wiki
+from scriptorium.sources.wiki import Wiki, spread
 
 
 def tag_counts(wiki: Wiki, category: str | None = None) -> DataFrame:
@@ -88,11 +88,13 @@ INCLUDE_ROUNDS, INCLUDE_MOST = 10, 1_000_000
 INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]\n]*\]\]|\[(?!\[)|\](?!\])|[^\[\]])*)\]\]"
 
 
-def include_edges(texts: DataFrame) -> DataFrame:
+def include_edges(texts: DataFrame, *also: str) -> DataFrame:
     """(page_id, ord, directive, site, page, assignments): what each text includes, in order; a null site is this one.
-    Directives in raw regions are none, and raw regions in a value are part of it."""
+    Directives in raw regions are none, and raw regions in a value are part of it. ``also``: other columns of the texts to keep."""
     masked, raws = regions.masked(F.col("source_text"))
-    rows = texts.select("page_id", raws.alias("_raws"), F.posexplode(F.regexp_extract_all(masked, F.lit(INCLUDE), 0)).alias("ord", "directive"))
+    # Made before the rows are exploded, so once for each text.
+    parted = texts.select("page_id", *also, masked.alias("_masked"), raws.alias("_raws"))
+    rows = parted.select("page_id", *also, "_raws", F.posexplode(F.regexp_extract_all("_masked", F.lit(INCLUDE), 0)).alias("ord", "directive"))
     pairs = F.filter(F.split(F.regexp_extract("directive", INCLUDE, 2), r"\|"), lambda p: F.trim(p).rlike(r"^[^=]+=\s*\S"))
     # The first assignment of a key takes all its places.
     keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), r"^\s+|\s+$", "").alias("value")))
@@ -100,7 +102,7 @@ def include_edges(texts: DataFrame) -> DataFrame:
     target = F.lower(F.regexp_extract("directive", INCLUDE, 1))
     away = target.rlike("^:[^:]*:")
     site, page = F.when(away, F.regexp_extract(target, "^:([^:]*):", 1)), F.when(away, F.regexp_replace(target, "^:[^:]*:", "")).otherwise(target)
-    return rows.select("page_id", "ord", regions.restored(F.col("directive"), F.col("_raws")).alias("directive"), site.alias("site"), page.alias("page"), keyed.alias("assignments"))
+    return rows.select("page_id", *also, "ord", regions.restored(F.col("directive"), F.col("_raws")).alias("directive"), site.alias("site"), page.alias("page"), keyed.alias("assignments"))
 
 
 def substituted(content: Column, assignments: Column, most: int = INCLUDE_MOST) -> Column:
@@ -130,13 +132,14 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
     kept = ["page_id", "source_text", "rounds", "too_long", "included"]
     sites = F.lower("site") if "site" in library.columns else F.lit(None).cast("string")
     library = library.select("page", F.coalesce(sites, F.lit("")).alias("from"), "content")
-    state = texts.select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"), F.array().cast(step).alias("included"))
+    # Texts are spread once, by page: what is joined and grouped by page stays in its task.
+    state = spread(texts.select("page_id", "fullname", "source_text"), "page_id").select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"), F.array().cast(step).alias("included"))
     done = []
     for number in range(1, rounds + 1):
         wanted = (F.col("page") != F.col("own")) | F.col("site").isNotNull()
         if only is not None:
             wanted = wanted & F.col("page").isin(only) & F.col("site").isNull()
-        edges = include_edges(state).join(state.select("page_id", "own"), "page_id").withColumn("wanted", wanted)
+        edges = include_edges(state, "own").withColumn("wanted", wanted)
         content = F.col("content")
         missing = F.concat(F.lit('[[div class="error-block"]]\nPage to be included "'), F.col("page"), F.lit('" cannot be found!\n[[/div]]'))
         put = F.when(content.isNull(), missing).otherwise(substituted(content, F.col("assignments"), most))
@@ -145,12 +148,13 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
         swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "page", "wanted"))).alias("swaps"))
         # Each directive's own place: the text between directives and what stands for them, in turn.
         masked, raws = regions.masked(F.col("source_text"))
-        gaps = F.transform(F.split(masked, INCLUDE), lambda gap: regions.restored(gap, raws))
+        parted = state.select("*", masked.alias("_masked"), raws.alias("_raws"))
+        gaps = F.transform(F.split("_masked", INCLUDE), lambda gap: regions.restored(gap, F.col("_raws")))
         made = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("swaps")), lambda x: F.array(x["gap"], F.coalesce(x["swaps"]["text"], F.lit(""))))), "")
         # Known before the text is made: a part that passed the limit, or parts that do together.
         put_in = F.aggregate("swaps", F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"]))
         made = F.when(~F.exists("swaps", lambda s: s["text"].isNull()) & (put_in <= most), made)
-        joined = state.join(swaps.filter(F.exists("swaps", lambda x: x["wanted"])), "page_id", "left").withColumn("made", F.when(F.col("swaps").isNull(), F.col("source_text")).otherwise(made))
+        joined = parted.join(swaps.filter(F.exists("swaps", lambda x: x["wanted"])), "page_id", "left").withColumn("made", F.when(F.col("swaps").isNull(), F.col("source_text")).otherwise(made))
         over = F.coalesce(F.length("made") > most, F.col("swaps").isNotNull())
         changed = F.col("swaps").isNotNull() & ~over
         added = F.transform(F.filter("swaps", lambda x: x["wanted"]), lambda s: F.struct(F.lit(number).alias("round"), s["ord"].cast("int").alias("ord"), s["page"].alias("page")))
