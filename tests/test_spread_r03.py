@@ -38,7 +38,7 @@ def test_tree_of_a_page_is_made_alone_and_meets_at_no_root(spark, monkeypatch):
 #: Queries whose work for each row is spread: before, a table of one row group was one task.
 SPREAD = [
     "rn_html", "rn_round_trip", "nd_tokens", "wn_heading_parents",
-    "dt_include_raw", "dt_include_expansion", "dt_include_sites", "dt_include_trace",
+    "dt_include_raw", "dt_include_expansion", "dt_include_sites", "dt_include_trace", "dt_include_refresh",
 ]
 
 
