@@ -12,12 +12,19 @@ from scriptorium.functions.text import url_component
 from scriptorium.sources.wiki import Wiki, spread
 
 
-def tag_counts(wiki: Wiki, category: str | None = None) -> DataFrame:
-    """Visible tags with the number of their pages."""
-    tags = wiki.page_tags().filter(~F.col("tag").startswith("_"))
+def _visible_tags(wiki: Wiki, tags: DataFrame, category: str | None) -> DataFrame:
+    """Rows of ``tags`` (page_id, tag) that are shown, of the pages of a category if one is given."""
+    tags = tags.filter(~F.col("tag").startswith("_"))
     if category:
         tags = tags.join(wiki.pages().filter(F.col("category") == category).select("page_id"), "page_id", "left_semi")
-    return tags.groupBy("tag").agg(F.count("*").alias("weight"))
+    return tags
+
+
+def tag_counts(wiki: Wiki, category: str | None = None) -> DataFrame:
+    """Visible tags with the number of their pages. The rows are spread by page before each tag of a page is taken once: a table of a few
+    large parts would give their tasks all the pairs of page and tag to hold."""
+    tags = _visible_tags(wiki, spread(wiki.tag_rows(), "page_id"), category)
+    return tags.distinct().groupBy("tag").agg(F.count("*").alias("weight"))
 
 
 def scaled(low: float, high: float, share: Column) -> Column:
@@ -34,7 +41,8 @@ def cloud_status(wiki: Wiki, category: str | None = None) -> DataFrame:
     """One row (status, message): ``ok``, ``no-tags``, or ``category-not-found`` where no page is in the category."""
     pages = wiki.pages() if category is None else wiki.pages().filter(F.col("category") == category)
     there = pages.select(F.lit(1).alias("n")).limit(1).agg(F.count("*").alias("found"))
-    tagged = tag_counts(wiki, category).limit(1).agg(F.count("*").alias("tags"))
+    # Whether there is a tag, not how many: no row needs to be known apart from another one.
+    tagged = _visible_tags(wiki, wiki.tag_rows(), category).limit(1).agg(F.count("*").alias("tags"))
     missing = F.lit(category is not None) & (F.col("found") == 0)
     status = F.when(missing, "category-not-found").when(F.col("tags") == 0, "no-tags").otherwise("ok")
     message = F.when(missing, F.lit(f'Category "{category}" can not be found.'))

@@ -108,7 +108,7 @@ class Wiki:
         """(page_id, content): sources of the pages that have one."""
         return self.table("documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
 
-    def _tag_rows(self) -> DataFrame:
+    def tag_rows(self) -> DataFrame:
         """Tags as often as the table has them: sets are made where they are gathered."""
         bulk = F.when(F.col("l_quantity") >= 49, F.lit("_bulk"))
         found = F.array(F.concat(F.lit("flag-"), F.lower("l_returnflag")), F.concat(F.lit("status-"), F.lower("l_linestatus")), bulk)
@@ -117,11 +117,11 @@ class Wiki:
 
     def page_tags(self) -> DataFrame:
         """Each tag of each page once."""
-        return self._tag_rows().distinct()
+        return self.tag_rows().distinct()
 
     def tag_lists(self) -> DataFrame:
         """Visible and hidden tags of each tagged page, sorted; hidden tags begin with an underscore."""
-        lists = self._tag_rows().groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
+        lists = self.tag_rows().groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
         return lists.select("page_id", F.filter("all", lambda t: ~t.startswith("_")).alias("tags"), F.filter("all", lambda t: t.startswith("_")).alias("hidden_tags"))
 
     def users(self) -> DataFrame:

@@ -47,3 +47,9 @@ def test_query_spreads_its_rows(name, spark, folder):
     from scriptorium.registry import QUERIES
 
     assert QUERIES[name](spark, folder).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_status_of_a_cloud_tells_no_tags_apart(spark, folder):
+    from scriptorium.registry import QUERIES
+
+    assert "Aggregate [page_id" not in QUERIES["ag_cloud_status"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
