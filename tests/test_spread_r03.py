@@ -53,3 +53,9 @@ def test_status_of_a_cloud_tells_no_tags_apart(spark, folder):
     from scriptorium.registry import QUERIES
 
     assert "Aggregate [page_id" not in QUERIES["ag_cloud_status"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_are_spread_before_each_is_taken_once(spark, folder):
+    from scriptorium.registry import QUERIES
+
+    assert "RepartitionByExpression [page_id" in QUERIES["ag_tag_cloud"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
