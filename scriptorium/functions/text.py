@@ -159,11 +159,31 @@ def truth(text: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as a script prints it: its shortest decimal, in plain form from 1e-6 up to under 1e21, else with an exponent."""
+    """A double as a script prints it: its shortest decimal, in plain form from 1e-6 up to under 1e21, else with an exponent.
+
+    The value is bound once: a tree that names it in every branch makes code too large to be compiled. Whole numbers under 2^53 and short
+    decimals in the range that a cast shows plainly are printed as they are, so only the rest is laid out anew.
+    """
+
+    def printed(x: Column) -> Column:
+        whole = (F.abs(x) < float(1 << 53)) & (x == F.rint(x))
+        plain = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)
+        short = let(x.cast("string"), lambda shown: F.when(plain & (F.length(shown) <= 16), shown).otherwise(_laid_out(x)))
+        # A null would be formatted as a text, which is no number: an exception for each row.
+        return F.when(whole, x.cast("bigint").cast("string")).when(x.isNotNull(), short)
+
+    return let(x, printed)
+
+
+def _laid_out(x: Column) -> Column:
     size = F.abs(x)
-    # Fifteen digits are the shortest form wherever they read back as the same number; so are sixteen after them, and seventeen always do.
-    tried = [F.when(F.format_string(f"%.{n}e", size).try_cast("double") == size, F.format_string(f"%.{n}e", size)) for n in (14, 15, 16)]
-    shortest = F.coalesce(*tried, F.lower(size.cast("string")))
+
+    def shortest(printed: Column) -> Column:
+        # A decimal of at most fifteen digits is the shortest of its number, but for subnormal ones. Else fifteen digits are the shortest form
+        # wherever they read back as the same number; so are sixteen after them, and seventeen always do.
+        tried = [let(F.format_string(f"%.{n}e", size), lambda shown: F.when(shown.try_cast("double") == size, shown)) for n in (14, 15, 16)]
+        return F.coalesce(F.when((F.length(printed) <= 16) & (size >= 1e-300), printed), *tried, printed)
+
     smallest = F.when(size == 5e-324, "5e-324").when(size == 1e-323, "1e-323")  # fewer digits than other printers give
 
     def laid_out(shown: Column) -> Column:
@@ -185,7 +205,7 @@ def number_text(x: Column) -> Column:
             .otherwise(long)
         )
 
-    text = F.concat(F.when(x < 0, "-").otherwise(""), let(let(F.coalesce(smallest, shortest), laid_out), printed))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), let(let(F.coalesce(smallest, let(F.lower(size.cast("string")), shortest)), laid_out), printed))
     return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x < 0, "-Infinity").otherwise("Infinity")).when(x == 0, "0").otherwise(text)
 
 
