@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import let
+
 _ROW = "struct<depth:int,kind:string,list:int,above:int,last:int>"
 _OUT = "struct<list:int,above:int,parent:int>"
 
@@ -22,23 +24,31 @@ def depth_places(items: Column) -> Column:
         return F.struct(depth.cast("int").alias("depth"), kind.alias("kind"), number.cast("int").alias("list"), above.cast("int").alias("above"), last.cast("int").alias("last")).cast(_ROW)
 
     def step(s: Column, x: Column) -> Column:
-        """The stack's top stands last; each open level is a row with the last item that stands in its list."""
-        place, none = F.size(s["out"]), F.lit(None).cast("int")
-        d = F.greatest(F.coalesce(x["depth"].cast("int"), F.lit(0)), F.lit(0))
-        kept = F.slice(s["stack"], 1, F.least(F.size(s["stack"]), d + 1))
-        there = F.size(kept)
-        top = F.get(kept, there - 1)
-        fresh = F.transform(F.sequence(there, d), lambda level: row(level, x["kind"], s["lists"] + level - there, F.when(level > there, s["lists"] + level - there - 1).otherwise(top["list"]), none))
-        grown = F.when(there <= d, F.concat(kept, fresh)).otherwise(kept)
-        other = (there > d) & ~top["kind"].eqNullSafe(x["kind"])
-        last = F.get(grown, d)
-        mine = F.when(other, row(d, x["kind"], s["lists"], last["above"], none)).otherwise(last)
-        below = F.slice(grown, 1, d)
-        parent = F.array_max(F.transform(below, lambda r: r["last"]))
-        stack = F.concat(below, F.array(row(d, mine["kind"], mine["list"], mine["above"], place)))
-        lists = s["lists"] + F.when(there <= d, d - there + 1).when(other, 1).otherwise(0)
-        out = F.concat(s["out"], F.array(F.struct(mine["list"].alias("list"), mine["above"].alias("above"), parent.alias("parent")).cast(_OUT)))
-        return F.struct(stack.alias("stack"), lists.cast("int").alias("lists"), out.alias("out"))
+        """The stack's top stands last; each open level is a row with the last item that stands in its list. What is named more than once is bound
+        by ``let``: a fold is evaluated as it is written."""
+        def opened(d: Column, kept: Column) -> Column:
+            there = F.size(kept)
+            above = F.get(kept, there - 1)["list"]
+            fresh = F.transform(F.sequence(there, d), lambda level: row(level, x["kind"], s["lists"] + level - there, F.when(level > there, s["lists"] + level - there - 1).otherwise(above), none))
+            return let(F.when(there <= d, F.concat(kept, fresh)).otherwise(kept), lambda grown: placed(d, there, grown))
+
+        def placed(d: Column, there: Column, grown: Column) -> Column:
+            # An item on a level that was open has another list where it is of another kind.
+            last = F.get(grown, d)
+            other = (there > d) & ~last["kind"].eqNullSafe(x["kind"])
+            lists = s["lists"] + F.when(there <= d, d - there + 1).when(other, 1).otherwise(0)
+            mine = let(last, lambda last: F.when(other, row(d, x["kind"], s["lists"], last["above"], none)).otherwise(last))
+            return let(mine, lambda mine: let(F.slice(grown, 1, d), lambda below: put(d, mine, below, lists)))
+
+        def put(d: Column, mine: Column, below: Column, lists: Column) -> Column:
+            stack = F.concat(below, F.array(row(d, mine["kind"], mine["list"], mine["above"], F.size(s["out"]))))
+            parent = F.array_max(F.transform(below, lambda r: r["last"]))
+            out = F.concat(s["out"], F.array(F.struct(mine["list"].alias("list"), mine["above"].alias("above"), parent.alias("parent")).cast(_OUT)))
+            return F.struct(stack.alias("stack"), lists.cast("int").alias("lists"), out.alias("out"))
+
+        none = F.lit(None).cast("int")
+        depth = F.greatest(F.coalesce(x["depth"].cast("int"), F.lit(0)), F.lit(0))
+        return let(depth, lambda d: let(F.slice(s["stack"], 1, F.least(F.size(s["stack"]), d + 1)), lambda kept: opened(d, kept)))
 
     return F.aggregate(items, start, step)["out"]
 

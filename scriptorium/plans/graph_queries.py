@@ -10,7 +10,7 @@ from scriptorium.operators.aggregates import expand_includes
 from scriptorium.operators.batch import batch_listings
 from scriptorium.plans.base_sql import PAGES, TAGS, sql
 from scriptorium.registry import query
-from scriptorium.sources.wiki import Wiki
+from scriptorium.sources.wiki import Wiki, spread
 
 #: Selectors of the customers' listings by the customer's number.
 _TAGS = ("+status-f -_bulk", "==", "=", "flag-a flag-n", "+flag-r +_bulk", "-", None, "= -flag-a")
@@ -190,7 +190,9 @@ _ITEMS = """x AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY
 
 def _items(wiki: Wiki) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
-    return wiki.table("lineitem").select(F.col("l_orderkey").alias("page_id"), place.cast("long").alias("ord"), F.concat(F.lit("flag-"), "l_returnflag").alias("style"), F.col("l_quantity").cast("long").alias("q"))
+    # Spread, as a list's fold is dear and its numbers compress so well that few tasks would get all.
+    lines = spread(wiki.table("lineitem"), "l_orderkey")
+    return lines.select(F.col("l_orderkey").alias("page_id"), place.cast("long").alias("ord"), F.concat(F.lit("flag-"), "l_returnflag").alias("style"), F.col("l_quantity").cast("long").alias("q"))
 
 
 @query(
