@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import regions
-from scriptorium.functions.text import url_component
+from scriptorium.functions.text import let, url_component
 from scriptorium.sources.wiki import Wiki, spread
 
 
@@ -186,28 +186,40 @@ IFTAGS = r"(?i)\[\[iftags\s*([^\]]*)\]\]((?:(?!\[\[/?iftags)[\s\S])*?)\[\[/iftag
 
 def condition_holds(condition: Column, tags: Column) -> Column:
     """A tag condition given as a column: as TagCondition, with the tokens in the row."""
-    tokens = F.filter(F.split(F.trim(condition), r"\s+"), lambda t: t != "")
-    named = lambda sign: F.transform(F.filter(tokens, lambda t: t.startswith(sign) & (F.length(t) > 1)), lambda t: F.substring(t, 2, 1 << 20))
-    bare = F.filter(tokens, lambda t: ~t.rlike("^[+-]"))
-    holds = F.forall(named("+"), lambda t: F.array_contains(tags, t)) & ~F.arrays_overlap(named("-"), tags) & ((F.size(bare) == 0) | F.arrays_overlap(bare, tags))
-    return (F.size(tokens) > 0) & ~F.array_contains(tokens, "+") & holds
+    named = lambda tokens, sign: F.transform(F.filter(tokens, lambda t: t.startswith(sign) & (F.length(t) > 1)), lambda t: F.substring(t, 2, 1 << 20))
+
+    def met(tokens: Column) -> Column:
+        bare = F.filter(tokens, lambda t: ~t.rlike("^[+-]"))
+        holds = F.forall(named(tokens, "+"), lambda t: F.array_contains(tags, t)) & ~F.arrays_overlap(named(tokens, "-"), tags) & let(bare, lambda bare: (F.size(bare) == 0) | F.arrays_overlap(bare, tags))
+        return (F.size(tokens) > 0) & ~F.array_contains(tokens, "+") & holds
+
+    return let(F.filter(F.split(F.trim(condition), r"\s+"), lambda t: t != ""), met)
 
 
 def expand_iftags(texts: DataFrame, rounds: int = 10, materialize=None) -> DataFrame:
     """(page_id, source_text) with tag conditions resolved, innermost first; a round takes one level of nesting.
-    Where tags are null nothing can be decided yet, and the text stays as it is; so do raw regions, wherever conditions leave them."""
-    materialize = materialize or (lambda df: df.checkpoint())
+    Where tags are null nothing can be decided yet, and the text stays as it is; so do raw regions, wherever conditions leave them.
+
+    The rounds are a fold inside each row, as a condition looks at its own page only: nothing is shuffled or stored, so ``materialize`` has no
+    history to cut."""
     masked, raws = regions.masked(F.col("source_text"))
     state = texts.select("page_id", "tags", masked.alias("source_text"), raws.alias("raws"))
-    for _ in range(rounds):
-        found = state.filter("tags is not null").select("page_id", "tags", F.posexplode(F.regexp_extract_all("source_text", F.lit(IFTAGS), 0)).alias("ord", "directive"))
-        inner = F.when(condition_holds(F.regexp_extract("directive", IFTAGS, 1), F.col("tags")), F.regexp_extract("directive", IFTAGS, 2)).otherwise("")
-        swaps = materialize(found.groupBy("page_id").agg(F.collect_set(F.struct("directive", inner.alias("text"))).alias("swaps")))
-        if swaps.isEmpty():
-            break
-        made = F.aggregate("swaps", F.col("source_text"), lambda text, s: F.replace(text, s["directive"], s["text"]))
-        state = materialize(state.join(swaps, "page_id", "left").select("page_id", "tags", F.coalesce(made, "source_text").alias("source_text"), "raws"))
-    return state.select("page_id", regions.restored(F.col("source_text"), F.col("raws")).alias("source_text"))
+
+    def left(directive: Column) -> Column:
+        return F.when(condition_holds(F.regexp_extract(directive, IFTAGS, 1), F.col("tags")), F.regexp_extract(directive, IFTAGS, 2)).otherwise("")
+
+    def step(s: Column, _: Column) -> Column:
+        def placed(found: Column) -> Column:
+            # Each condition's own place: the text between conditions and what is left of them, in turn.
+            swaps = F.concat(F.transform(found, left), F.array(F.lit("")))
+            made = F.array_join(F.zip_with(F.split(s["text"], IFTAGS, -1), swaps, lambda gap, swap: F.concat(gap, swap)), "")
+            return F.struct(F.when(F.size(found) > 0, made).otherwise(s["text"]).alias("text"), (F.size(found) > 0).alias("open"))
+
+        return let(F.when(s["open"], F.regexp_extract_all(s["text"], F.lit(IFTAGS), 0)).otherwise(F.array().cast("array<string>")), placed)
+
+    start = F.struct(F.col("source_text").alias("text"), F.col("tags").isNotNull().alias("open"))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["text"] if rounds > 0 else F.col("source_text")
+    return state.select("page_id", made.alias("source_text"), "raws").select("page_id", regions.restored(F.col("source_text"), F.col("raws")).alias("source_text"))
 
 
 def inserted_once(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
