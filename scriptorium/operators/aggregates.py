@@ -92,8 +92,9 @@ def page_tree(wiki: Wiki, root: int, depth: int) -> DataFrame:
 #: Rounds of includes, and the longest text that including may give.
 INCLUDE_ROUNDS, INCLUDE_MOST = 10, 1_000_000
 #: A directive at the start of a line: its page, ``page`` or ``:site:page``, and its arguments. Double brackets inside them
-#: (a link, a module) don't end it; one level of them is known.
-INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]\n]*\]\]|\[(?!\[)|\](?!\])|[^\[\]])*)\]\]"
+#: (a link, a module) don't end it; one level of them is known. The parts of the arguments begin differently and none of them can
+#: begin with what ends the directive, so none is ever given back.
+INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:[^\[\]]++|\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]\n]*\]\]|\[(?!\[)|\](?!\]))*+)\]\]"
 
 
 def include_edges(texts: DataFrame, *also: str) -> DataFrame:
