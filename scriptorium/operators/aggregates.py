@@ -97,21 +97,42 @@ INCLUDE_ROUNDS, INCLUDE_MOST = 10, 1_000_000
 INCLUDE = r"(?im)^\[\[include\s+([^\s\]|]+)((?:[^\[\]]++|\[\[\[[^\[\]\n]*\]\]\]|\[\[[^\[\]\n]*\]\]|\[(?!\[)|\](?!\]))*+)\]\]"
 
 
+#: The name that a directive includes; as no part of INCLUDE gives anything back, it is the name that INCLUDE finds.
+INCLUDED = r"(?i)^\[\[include\s+([^\s\]|]+)"
+
+
+def _target(directive: Column) -> Column:
+    return F.lower(F.regexp_extract(directive, INCLUDED, 1))
+
+
+def _away(target: Column) -> Column:
+    """Whether a target names a site."""
+    return target.rlike("^:[^:]*:")
+
+
+def _site_and_page(target: Column) -> tuple[Column, Column]:
+    return F.when(_away(target), F.regexp_extract(target, "^:([^:]*):", 1)), F.when(_away(target), F.regexp_replace(target, "^:[^:]*:", "")).otherwise(target)
+
+
+def _assignments(directive: Column, raws: Column) -> Column:
+    """(key, value) of a directive that still has the marks of ``raws``."""
+    given = directive.substr(F.length(F.regexp_extract(directive, INCLUDED, 0)) + 1, F.length(directive) - F.length(F.regexp_extract(directive, INCLUDED, 0)) - 2)
+    pairs = F.filter(F.split(given, r"\|"), lambda p: F.trim(p).rlike(r"^[^=]+=\s*\S"))
+    # The first assignment of a key takes all its places.
+    keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), r"^\s+|\s+$", "").alias("value")))
+    return F.transform(keyed, lambda a: F.struct(a["key"], regions.restored(a["value"], raws).alias("value")))
+
+
 def include_edges(texts: DataFrame, *also: str) -> DataFrame:
     """(page_id, ord, directive, site, page, assignments): what each text includes, in order; a null site is this one.
     Directives in raw regions are none, and raw regions in a value are part of it. ``also``: other columns of the texts to keep."""
     masked, raws = regions.masked(F.col("source_text"))
     # Made before the rows are exploded, so once for each text.
     parted = texts.select("page_id", *also, masked.alias("_masked"), raws.alias("_raws"))
-    rows = parted.select("page_id", *also, "_raws", F.posexplode(F.regexp_extract_all("_masked", F.lit(INCLUDE), 0)).alias("ord", "directive"))
-    pairs = F.filter(F.split(F.regexp_extract("directive", INCLUDE, 2), r"\|"), lambda p: F.trim(p).rlike(r"^[^=]+=\s*\S"))
-    # The first assignment of a key takes all its places.
-    keyed = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), r"^\s+|\s+$", "").alias("value")))
-    keyed = F.transform(keyed, lambda a: F.struct(a["key"], regions.restored(a["value"], F.col("_raws")).alias("value")))
-    target = F.lower(F.regexp_extract("directive", INCLUDE, 1))
-    away = target.rlike("^:[^:]*:")
-    site, page = F.when(away, F.regexp_extract(target, "^:([^:]*):", 1)), F.when(away, F.regexp_replace(target, "^:[^:]*:", "")).otherwise(target)
-    return rows.select("page_id", *also, "ord", regions.restored(F.col("directive"), F.col("_raws")).alias("directive"), site.alias("site"), page.alias("page"), keyed.alias("assignments"))
+    rows = parted.select("page_id", *also, "_raws", F.posexplode(F.regexp_extract_all("_masked", F.lit(INCLUDE), 0)).alias("ord", "directive")).withColumn("_target", _target(F.col("directive")))
+    site, page = _site_and_page(F.col("_target"))
+    assignments = _assignments(F.col("directive"), F.col("_raws"))
+    return rows.select("page_id", *also, "ord", regions.restored(F.col("directive"), F.col("_raws")).alias("directive"), site.alias("site"), page.alias("page"), assignments.alias("assignments"))
 
 
 def substituted(content: Column, assignments: Column, most: int = INCLUDE_MOST) -> Column:
@@ -122,7 +143,8 @@ def substituted(content: Column, assignments: Column, most: int = INCLUDE_MOST)
         place = F.concat(F.lit("{$"), a["key"], F.lit("}"))
         gone = F.length(text) - F.length(F.replace(text, place, F.lit("")))
         grown = F.length(text) - gone + gone / F.length(place) * F.length(a["value"])
-        return F.when((gone == 0) | (grown <= most), F.replace(text, place, a["value"]))
+        # Most texts have no place of most keys.
+        return F.when(~text.contains(place), text).when(grown <= most, F.replace(text, place, a["value"]))
 
     return F.aggregate(assignments, content, step)
 
@@ -131,46 +153,60 @@ def expand_includes(texts: DataFrame, library: DataFrame, rounds: int = INCLUDE_
     """Texts with includes put in place: (page_id, source_text, rounds, too_long), with ``trace`` also ``included``:
     round, place and page of what was put in.
 
-    Each round joins the directives of the texts that still have some to ``library`` (page, content, and site for pages of other
-    sites, null for this one), replaces them, and stops where none is left; only unfinished texts go from round to round. A page that
-    includes itself keeps the directive; a missing page gives an error block; a text over ``most`` is left as it
-    was before the round. ``only``: no other pages than these are put in. ``materialize`` cuts lineage.
+    Each round parts the texts that still have directives once, at these, joins the directives to ``library`` (page, content, and
+    site for pages of other sites, null for this one), and puts the parts together again; it stops where none is left, and only texts
+    with something to put in go to the next round. A page that includes itself keeps the directive; a missing page gives an error block; a
+    text over ``most`` is left as it was before the round. ``only``: no other pages than these are put in. ``materialize`` cuts lineage.
     """
     materialize = materialize or (lambda df: df.checkpoint())
     step = "array<struct<round:int,ord:int,page:string>>"
     kept = ["page_id", "source_text", "rounds", "too_long", "included"]
     sites = F.lower("site") if "site" in library.columns else F.lit(None).cast("string")
     library = library.select("page", F.coalesce(sites, F.lit("")).alias("from"), "content")
-    # Texts are spread once, by page: what is joined and grouped by page stays in its task.
+    # Texts are spread once, by page: what is grouped by page stays in its task.
     state = spread(texts.select("page_id", "fullname", "source_text"), "page_id").select("page_id", F.lower("fullname").alias("own"), "source_text", F.lit(0).alias("rounds"), F.lit(False).alias("too_long"), F.array().cast(step).alias("included"))
+
+    def wanted(target: Column) -> Column:
+        found = (target != F.col("own")) | _away(target)
+        return F.coalesce(found if only is None else found & target.isin(only), F.lit(False))
+
+    masked, raws = regions.masked(F.col("source_text"))
+    found = F.regexp_extract_all("_masked", F.lit(INCLUDE), 0)
     done = []
     for number in range(1, rounds + 1):
-        wanted = (F.col("page") != F.col("own")) | F.col("site").isNotNull()
-        if only is not None:
-            wanted = wanted & F.col("page").isin(only) & F.col("site").isNull()
-        edges = include_edges(state, "own").withColumn("wanted", wanted)
+        # A part is the text before a directive and the directive, the last one has no directive. Rows of one page are told apart by a number.
+        parted = state.select("page_id", "own", "rounds", "included", masked.alias("_masked"), raws.alias("_raws"), F.monotonically_increasing_id().alias("_row"))
+        pieces = F.arrays_zip(F.split("_masked", INCLUDE).alias("gap"), found.alias("directive"))
+        rows = parted.select("page_id", "_row", "own", "rounds", "included", "_raws", F.posexplode_outer(pieces).alias("ord", "_piece")).select("*", "_piece.gap", "_piece.directive")
+        rows = rows.withColumn("_target", _target(F.col("directive"))).withColumn("wanted", wanted(F.col("_target")))
+        site, page = _site_and_page(F.col("_target"))
+        rows = rows.withColumns({"page": F.when(F.col("wanted"), page), "from": F.when(F.col("wanted"), F.coalesce(site, F.lit("")))})
         content = F.col("content")
         missing = F.concat(F.lit('[[div class="error-block"]]\nPage to be included "'), F.col("page"), F.lit('" cannot be found!\n[[/div]]'))
-        put = F.when(content.isNull(), missing).otherwise(substituted(content, F.col("assignments"), most))
-        text = F.when(F.col("wanted"), put).otherwise(F.col("directive"))
-        texts_in = edges.withColumn("from", F.coalesce("site", F.lit(""))).join(library, ["page", "from"], "left").select("page_id", "ord", "page", text.alias("text"), "wanted")
-        swaps = texts_in.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "page", "wanted"))).alias("swaps"))
-        # Each directive's own place: the text between directives and what stands for them, in turn.
-        masked, raws = regions.masked(F.col("source_text"))
-        parted = state.select("*", masked.alias("_masked"), raws.alias("_raws"))
-        gaps = F.transform(F.split("_masked", INCLUDE), lambda gap: regions.restored(gap, F.col("_raws")))
-        made = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("swaps")), lambda x: F.array(x["gap"], F.coalesce(x["swaps"]["text"], F.lit(""))))), "")
+        put = F.when(F.col("wanted"), F.when(content.isNull(), missing).otherwise(substituted(content, _assignments(F.col("directive"), F.col("_raws")), most)))
+        own = F.coalesce(regions.restored(F.col("directive"), F.col("_raws")), F.lit(""))
+        part = F.struct("ord", regions.restored(F.col("gap"), F.col("_raws")).alias("gap"), own.alias("directive"), put.alias("text"), "page", "wanted")
+        joined = rows.join(library, ["page", "from"], "left").select("page_id", "_row", "own", "rounds", "included", part.alias("part"))
+        whole = joined.groupBy("page_id", "_row").agg(*[F.first(c).alias(c) for c in ("own", "rounds", "included")], F.array_sort(F.collect_list("part")).alias("parts"))
+
+        def put_together(shown) -> Column:
+            parts = F.col("parts")
+            return F.when(F.size(parts) == 1, parts[0]["gap"]).otherwise(F.array_join(F.flatten(F.transform(parts, lambda p: F.array(p["gap"], shown(p)))), ""))
+
+        shown = lambda p: F.when(p["wanted"], p["text"]).otherwise(p["directive"])
         # Known before the text is made: a part that passed the limit, or parts that do together.
-        put_in = F.aggregate("swaps", F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"]))
-        made = F.when(~F.exists("swaps", lambda s: s["text"].isNull()) & (put_in <= most), made)
-        joined = parted.join(swaps.filter(F.exists("swaps", lambda x: x["wanted"])), "page_id", "left").withColumn("made", F.when(F.col("swaps").isNull(), F.col("source_text")).otherwise(made))
-        over = F.coalesce(F.length("made") > most, F.col("swaps").isNotNull())
-        changed = F.col("swaps").isNotNull() & ~over
-        added = F.transform(F.filter("swaps", lambda x: x["wanted"]), lambda s: F.struct(F.lit(number).alias("round"), s["ord"].cast("int").alias("ord"), s["page"].alias("page")))
-        state = materialize(joined.select(
-            "page_id", "own", F.when(over, F.col("source_text")).otherwise(F.col("made")).alias("source_text"), F.when(changed, F.lit(number)).otherwise(F.col("rounds")).alias("rounds"),
-            over.alias("too_long"), F.when(changed, F.concat("included", added)).otherwise(F.col("included")).alias("included"), changed.alias("open"),
-        ))
+        put_in = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(shown(p)))
+        some = F.exists("parts", lambda p: p["wanted"])
+        made = whole.withColumn("made", F.when(some & (put_in <= most), put_together(shown)))
+        changed = F.coalesce(F.length("made") <= most, F.lit(False))
+        made = made.withColumn("changed", changed).withColumn("source_text", F.when(F.col("changed"), F.col("made")).otherwise(put_together(lambda p: p["directive"])))
+        added = F.transform(F.filter("parts", lambda p: p["wanted"]), lambda p: F.struct(F.lit(number).alias("round"), p["ord"].cast("int").alias("ord"), p["page"].alias("page")))
+        made = made.select(
+            "page_id", "own", "source_text", F.when(F.col("changed"), F.lit(number)).otherwise(F.col("rounds")).alias("rounds"),
+            (~F.col("changed") & (some | F.coalesce(F.length("source_text") > most, F.lit(False)))).alias("too_long"),
+            F.when(F.col("changed"), F.concat("included", added)).otherwise(F.col("included")).alias("included"), F.when(F.col("changed"), masked).alias("_masked"),
+        )
+        state = materialize(made.withColumn("open", F.coalesce(F.exists(found, lambda d: wanted(_target(d))), F.lit(False))).drop("_masked"))
         done.append(state.filter(~F.col("open")).select(*kept))
         state = state.filter("open").drop("open")
         if state.isEmpty():
