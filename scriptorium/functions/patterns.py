@@ -54,7 +54,9 @@ class Pattern:
             runs = F.transform(F.regexp_extract_all(text, F.lit(loop + "+"), 0), F.length)
             longest = F.coalesce(F.array_max(runs), F.lit(0)) + 1
             steps = F.greatest(steps, F.length(text) * F.pow(longest.cast("double"), F.lit(float(self.degree))))
-        return steps <= STEPS_MOST
+        # No run is longer than its text, so the runs of short texts needn't be looked for.
+        short = F.length(text) * F.pow(F.length(text).cast("double") + 1, F.lit(float(self.degree))) <= STEPS_MOST
+        return short | (steps <= STEPS_MOST)
 
 
 def _translated(source: str, multiline: bool) -> tuple[str, str]:

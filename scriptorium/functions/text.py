@@ -146,8 +146,10 @@ def excerpt(text: Column, pattern: str, flags: str = "", group: int | str = 0, m
     number = found.group(group)
     if number is None or not 0 < match <= MATCHES_MOST or most <= 0:
         return F.lit("")
-    part = F.coalesce(F.get(F.regexp_extract_all(text, F.lit(found.source), number), F.lit(match - 1)), F.lit(""))
-    fine = utf16_length(text) <= EXCERPT_TEXT_MOST
+    # The first match needs no look for others.
+    part = F.regexp_extract(text, found.source, number) if match == 1 else F.coalesce(F.get(F.regexp_extract_all(text, F.lit(found.source), number), F.lit(match - 1)), F.lit(""))
+    # A character has two units at most, so those of short texts needn't be counted.
+    fine = (F.length(text) * 2 <= EXCERPT_TEXT_MOST) | (utf16_length(text) <= EXCERPT_TEXT_MOST)
     if found.loops:
         fine = fine & found.affordable(text)
     return grapheme_prefix(F.when(fine, part).otherwise(""), most)

@@ -12,7 +12,7 @@ from scriptorium.operators import aggregates
 from scriptorium.operators.listing import Current, Listing, PageQuery, Template, rendered
 from scriptorium.plans.base_sql import LINKS, PAGES, sql
 from scriptorium.registry import query
-from scriptorium.sources.wiki import Wiki
+from scriptorium.sources.wiki import Wiki, spread
 
 #: Expressions with a number in them, and what each is in SQL.
 _FORMS = [
@@ -141,7 +141,8 @@ _OPTIONS = [
 )
 def excerpt_options(spark, folder: str) -> DataFrame:
     """Excerpts of every document, by quoted options, names of groups, bad and hostile patterns; shown without their wrapping."""
-    docs = Wiki(spark, folder).table("documents").filter("text is not null").select(F.col("doc_id").alias("page_id"), F.regexp_replace("text", "[^ -~]", "?").alias("readable"))
+    docs = spread(Wiki(spark, folder).table("documents").filter("text is not null").select("doc_id", "text"), "doc_id")  # a text takes long, and its table may have few row groups
+    docs = docs.select(F.col("doc_id").alias("page_id"), F.regexp_replace("text", "[^ -~]", "?").alias("readable"))
     parts = [F.array_join(F.transform(F.regexp_extract_all(Template(source).column(), F.lit(r"&#(\d+);"), 1), lambda c: F.char(c.cast("int"))), "") for source, _ in _OPTIONS]
     return docs.select("page_id", F.concat_ws("|", *parts).alias("item"))
 
